@@ -41,10 +41,10 @@ def sorted_with_position(df: DataFrame, order: list[Column | str],
     """Range-partition + sort on ``order``; add ``_pid`` and in-partition ``_pos``."""
     n = _num_partitions(df, num_partitions)
     s = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    s = s.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_mid", F.monotonically_increasing_id())
+    s = s.withColumn("_ord_pid", F.spark_partition_id()).withColumn(
+        "_ord_mid", F.monotonically_increasing_id())
     # monotonically_increasing_id = (partition << 33) + position in partition
-    s = s.withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)).drop("_mid")
+    s = s.withColumn("_ord_pos", F.col("_ord_mid") - F.shiftleft(F.col("_ord_pid").cast("long"), 33)).drop("_ord_mid")
     if write:
         s = materialize(s, "sorted")
     return s
@@ -58,14 +58,14 @@ def with_global_index(df: DataFrame, order: list[Column | str], index_col: str =
     to be repeatable.
     """
     s = sorted_with_position(df, order, num_partitions, write)
-    counts = s.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    counts = s.groupBy("_ord_pid").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: the window below runs on a table of at most
     # num_partitions rows, never on the data.
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    out = s.join(F.broadcast(offsets), "_pid").withColumn(
-        index_col, (F.col("_off") + F.col("_pos")).cast("long"))
-    return out.drop("_pid", "_pos", "_off")
+    w = Window.orderBy("_ord_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_ord_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_ord_off"))
+    out = s.join(F.broadcast(offsets), "_ord_pid").withColumn(
+        index_col, (F.col("_ord_off") + F.col("_ord_pos")).cast("long"))
+    return out.drop("_ord_pid", "_ord_pos", "_ord_off")
 
 
 def with_prefix_sums(df: DataFrame, order: list[Column | str], sums: dict[str, Column],
@@ -80,15 +80,15 @@ def with_prefix_sums(df: DataFrame, order: list[Column | str], sums: dict[str, C
     tmp = {name: f"_v_{name}" for name in sums}
     base = df.withColumns({tmp[k]: v for k, v in sums.items()})
     s = sorted_with_position(base, order, num_partitions, write)
-    totals = s.groupBy("_pid").agg(*[F.sum(tmp[k]).alias(f"_t_{k}") for k in sums])
-    w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select("_pid", *[
+    totals = s.groupBy("_ord_pid").agg(*[F.sum(tmp[k]).alias(f"_t_{k}") for k in sums])
+    w_all = Window.orderBy("_ord_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("_ord_pid", *[
         F.coalesce(F.sum(f"_t_{k}").over(w_all), F.lit(0)).alias(f"_c_{k}") for k in sums])
     frame_end = 0 if inclusive else -1
-    w_in = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, frame_end)
-    out = s.join(F.broadcast(carry), "_pid")
+    w_in = Window.partitionBy("_ord_pid").orderBy("_ord_pos").rowsBetween(Window.unboundedPreceding, frame_end)
+    out = s.join(F.broadcast(carry), "_ord_pid")
     out = out.withColumns({
         k: F.col(f"_c_{k}") + F.coalesce(F.sum(tmp[k]).over(w_in), F.lit(0)) for k in sums
     })
-    drop = ["_pid", "_pos"] + list(tmp.values()) + [f"_c_{k}" for k in sums]
+    drop = ["_ord_pid", "_ord_pos"] + list(tmp.values()) + [f"_c_{k}" for k in sums]
     return out.drop(*drop)
