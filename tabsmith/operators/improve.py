@@ -51,3 +51,208 @@ def attempt_improvements(attempts: DataFrame, score_col: str, goal: str = "maxim
     better = s > prev if goal == "maximize" else s < prev
     improved = F.when(s.isNull(), 0).when(prev.isNull() | better, 1).otherwise(0)
     return attempts.withColumn(score_col, F.round(s, 4)).withColumn("improved", improved)
+
+
+# ---------------------------------------------------------------- H2 metric -> search score
+class MetricEvaluator:
+    """H2: an evaluator computing the run's own metric (same averaging as the
+    final scoring, Q10) from the distributed aggregates in ``metrics``."""
+
+    def __new__(cls, task: str, metric: str, label: str, n_classes: int):
+        from pyspark.ml.evaluation import Evaluator
+
+        from . import metrics as me
+
+        class _Eval(Evaluator):
+            def _evaluate(self, dataset):
+                if task in ("classification", "nlp_classification"):
+                    row = me.classification_metrics(dataset, label, "prediction",
+                                                    positive=1.0 if n_classes <= 2 else None).first()
+                else:
+                    row = me.regression_metrics(dataset, label, "prediction").first()
+                v = row[metric] if metric in row.asDict() else None
+                return float(v) if v is not None else float("-inf")
+
+            def isLargerBetter(self):
+                return metric not in ("rmse", "mae")
+
+        return _Eval()
+
+
+# ---------------------------------------------------------------- H4 correlated pruning
+def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
+    """All column-pair Pearson correlations in one aggregate (pairwise complete rows),
+    as a tidy (left, right, corr) frame with left before right."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "left string, right string, corr double")
+    one = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"_c{k}")
+                   for k, (i, j) in enumerate(pairs)])
+    entries = F.array(*[F.struct(F.lit(cols[i]).alias("left"), F.lit(cols[j]).alias("right"),
+                                 F.col(f"_c{k}").alias("corr")) for k, (i, j) in enumerate(pairs)])
+    return one.select(F.explode(entries).alias("e")).select("e.*")
+
+
+def correlated_columns(df: DataFrame, cols: list[str], limit: float = 0.95) -> DataFrame:
+    """H4: later column of every pair with |corr| > limit (strict upper triangle:
+    a column goes even if the earlier one goes too)."""
+    return (correlation_pairs(df, cols).where(F.abs(F.col("corr")) > limit)
+            .select(F.col("right").alias("column_name")).distinct())
+
+
+# ---------------------------------------------------------------- H1/H3/H6 driver for J3
+class ImproveContext:
+    """Holds the fitted preprocessing and feature tables of one improvement job."""
+
+    def __init__(self, spark, task, target, train, val, spec, metric, goal, threshold, seed=42):
+        from ..functions.ordering import materialize
+        from . import features as fe
+        self.spark, self.task, self.target = spark, task, target
+        self.train_raw, self.val_raw, self.spec = train, val, spec
+        self.metric, self.goal, self.threshold, self.seed = metric, goal, threshold, seed
+        self.fitted = fe.fit_features(train, spec)
+        self.label, self.n_classes, self.indexer = "label", 0, None
+        if task in ("classification", "nlp_classification"):
+            self.indexer = fe.label_indexer(target).fit(train)
+            self.label, self.n_classes = "label_idx", len(self.indexer.labels)
+        self.train_f = materialize(self._featurize(train, self.fitted), "improve-train")
+        self.val_f = materialize(self._featurize(val, self.fitted), "improve-val")
+        self.n_rows = self.train_f.count()
+
+    def _featurize(self, d, fitted):
+        out = fitted.transform(d)
+        if self.indexer is not None:
+            out = self.indexer.transform(out)
+        else:
+            out = out.withColumn("label", F.col(self.target).cast("double"))
+        return out.select("features", self.label)
+
+    def evaluator(self):
+        return MetricEvaluator(self.task, self.metric, self.label, self.n_classes)
+
+    def score_model(self, name, params=None, train_f=None, val_f=None):
+        from . import models as mo
+        est = mo.get_model(name, self.task, n_classes=self.n_classes, n_rows=self.n_rows,
+                           label=self.label, params=params)
+        model = est.fit(train_f if train_f is not None else self.train_f)
+        pred = model.transform(val_f if val_f is not None else self.val_f)
+        return self.evaluator().evaluate(pred), model
+
+    def passes(self, score) -> bool:
+        if score is None:
+            return False
+        return score >= self.threshold if self.goal == "maximize" else score <= self.threshold
+
+    def better(self, new, old) -> bool:
+        if old is None:
+            return new is not None
+        if new is None:
+            return False
+        return new > old if self.goal == "maximize" else new < old
+
+    def _log(self, log, attempt, strategy, name, params, score, secs, improved):
+        log.append({"attempt": attempt, "strategy": strategy, "model_name": name, "parameters": params,
+                    "validation_score": round(score, 4) if score is not None else None,
+                    "training_duration": round(secs, 2), "improved": improved})
+
+    def tune(self, attempt, best, log) -> bool:
+        """H1: seeded random sample of the grid, 3 folds (X6 fold column), refit best."""
+        import itertools
+        import random
+        import time
+
+        from pyspark.ml.tuning import CrossValidator
+
+        from . import models as mo
+        from .split import cv_folds
+        grid = mo.PARAM_GRIDS.get(best["name"], {})
+        if not grid:
+            self._log(log, attempt, "hyperparameter_tuning", best["name"], {}, None, 0.0, False)
+            return False
+        keys = sorted(grid)
+        combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
+        n = search_size_for(grid)
+        chosen = combos if len(combos) <= n else random.Random(self.seed).sample(combos, n)
+        est = mo.get_model(best["name"], self.task, n_classes=self.n_classes, n_rows=self.n_rows,
+                           label=self.label)
+        inner = est.getClassifier() if hasattr(est, "getClassifier") else est
+        maps = []
+        for c in chosen:
+            m = {}
+            for k, v in c.items():
+                if k == "C":
+                    m[inner.getParam("regParam")] = 1.0 / (v * max(self.n_rows, 1))
+                elif inner.hasParam(k):
+                    m[inner.getParam(k)] = v
+            maps.append(m)
+        folds = cv_folds(self.train_f.withColumn("_rid", F.monotonically_increasing_id()),
+                         self.label if self.n_classes else None, ["_rid"], 3, self.seed).drop("_rid")
+        cv = CrossValidator(estimator=inner if inner is not est else est, estimatorParamMaps=maps,
+                            evaluator=self.evaluator(), foldCol="fold", parallelism=2, seed=self.seed)
+        t0 = time.perf_counter()
+        try:
+            cvm = cv.fit(folds)
+        except Exception:  # noqa: BLE001
+            self._log(log, attempt, "hyperparameter_tuning", best["name"], {}, None, 0.0, False)
+            return False
+        secs = time.perf_counter() - t0
+        score = self.evaluator().evaluate(cvm.bestModel.transform(self.val_f))
+        i = max(range(len(cvm.avgMetrics)), key=lambda j: cvm.avgMetrics[j]
+                if self.goal == "maximize" else -cvm.avgMetrics[j])
+        params = {k: str(v) for k, v in chosen[i].items()}
+        imp = self.better(score, best["score"])
+        self._log(log, attempt, "hyperparameter_tuning", best["name"], params, score, secs, imp)
+        if imp:
+            best.update(score=score, model=cvm.bestModel)
+        return self.passes(score if imp else best["score"])
+
+    def alternatives(self, attempt, best, log) -> bool:
+        """H3: untried models of the family; stop early when the gate passes."""
+        import time
+
+        from . import models as mo
+        tried = [r["model_name"] for r in log] + [best["name"]]
+        alts = mo.alternative_models(self.task, tried)
+        if not alts:
+            self._log(log, attempt, "alternative_model", "none", {}, None, 0.0, False)
+            return False
+        for name in alts:
+            t0 = time.perf_counter()
+            try:
+                score, model = self.score_model(name)
+            except Exception:  # noqa: BLE001
+                continue
+            imp = self.better(score, best["score"])
+            self._log(log, attempt, "alternative_model", name, {}, score, time.perf_counter() - t0, imp)
+            if imp:
+                best.update(score=score, model=model, name=name)
+            if self.passes(score):
+                return True
+        return self.passes(best["score"])
+
+    def data_changes(self, attempt, best, log) -> bool:
+        """H6: drop correlated numeric columns (H4), refit on the reduced features."""
+        import time
+        from dataclasses import replace
+
+        from ..functions.ordering import materialize
+        from . import features as fe
+        drop = [r["column_name"] for r in correlated_columns(self.train_raw, self.spec.numerical).collect()]
+        actions = [f"Dropped {len(drop)} correlated features"] if drop else []
+        # Q12: text columns keep their text role
+        spec = replace(self.spec, numerical=[c for c in self.spec.numerical if c not in drop])
+        fitted = fe.fit_features(self.train_raw, spec)
+        tr = materialize(self._featurize(self.train_raw, fitted), "improve-train-reduced")
+        va = materialize(self._featurize(self.val_raw, fitted), "improve-val-reduced")
+        t0 = time.perf_counter()
+        score, model = self.score_model(best["name"], train_f=tr, val_f=va)
+        imp = self.better(score, best["score"])
+        self._log(log, attempt, "data_improvement", best["name"], {"actions": "; ".join(actions)}, score,
+                  time.perf_counter() - t0, imp)
+        if imp:
+            best.update(score=score, model=model)
+        return self.passes(score if imp else best["score"])
+
+
+def search_size_for(grid: dict) -> int:
+    return min(20, max(5, 3 * len(grid)))

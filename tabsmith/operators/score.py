@@ -30,3 +30,86 @@ def predicted_vs_actual(df: DataFrame, y: str, p: str, key: str, n: int = 20) ->
 def history(runs: DataFrame, n: int = 50, order_col: str = "id") -> DataFrame:
     """The last ``n`` experiment rows, newest first (a top-n report)."""
     return runs.orderBy(F.col(order_col).desc()).limit(n)
+
+
+# ---------------------------------------------------------------- S14 load / I1 batch scoring
+def load_model(path: str, spark=None):
+    """Load a saved Spark ML model by the class recorded in its metadata (or our own models)."""
+    import importlib
+    import os
+
+    from pyspark.ml.util import DefaultParamsReader
+
+    if os.path.exists(os.path.join(path.replace("file:", ""), "nodes")):
+        from .unsupervised import IsolationForestModel
+        return IsolationForestModel.load(path, spark)
+    from pyspark import SparkContext
+    meta = DefaultParamsReader.loadMetadata(path, SparkContext._active_spark_context)
+    jcls = meta["class"]
+    mod, cls = jcls.rsplit(".", 1)
+    pymod = importlib.import_module(mod.replace("org.apache.spark.ml", "pyspark.ml"))
+    return getattr(pymod, cls).load(path)
+
+
+def score_batch(df: DataFrame, features_model, model, labels: list[str] | None = None,
+                keep: list[str] | None = None) -> DataFrame:
+    """Features -> model -> predicted value (original label when indexed) and
+    Confidence = max class probability, 4 places (NULL without probabilities)."""
+    out = model.transform(features_model.transform(df))
+    pred = F.col("prediction")
+    if labels:
+        arr = F.array(*[F.lit(v) for v in labels])
+        pred = F.element_at(arr, F.col("prediction").cast("int") + 1)
+    conf = F.lit(None).cast("double")
+    if "probability" in out.columns:
+        from pyspark.ml.functions import vector_to_array
+        conf = F.round(F.array_max(vector_to_array("probability")), 4)
+    return out.select(*(keep or []), pred.cast("string").alias("predicted_value"),
+                      conf.alias("confidence"))
+
+
+# ---------------------------------------------------------------- I5 rows typed as text
+def parse_rows(df: DataFrame, text_col: str, names: list[str]) -> DataFrame:
+    """Comma-separated values -> one column per name; a value that reads as a
+    number becomes a double, otherwise the trimmed text stays (``<name>_text``)."""
+    parts = F.split(F.col(text_col), ",")
+    cols = []
+    for i, n in enumerate(names):
+        raw = F.trim(F.element_at(parts, i + 1))
+        cols.append(F.try_cast(raw, "double").alias(n))
+        cols.append(F.when(F.try_cast(raw, "double").isNull(), raw).alias(f"{n}_text"))
+    return df.select("*", *cols)
+
+
+# ---------------------------------------------------------------- I7 stored model replies
+REPLY_SCHEMA = ("task string, target string, drop_columns array<string>, primary_metric string, "
+                "optimization_goal string, reasoning string")
+
+
+def read_replies(df: DataFrame, text_col: str) -> DataFrame:
+    """Strip code fences, parse the JSON; when it does not parse (cut-off reply)
+    read each field by pattern.  A reply without a task field yields NULLs."""
+    t = F.trim(F.col(text_col))
+    t = F.when(t.startswith("```"), F.regexp_replace(t, r"^```[^\n]*\n", "")).otherwise(t)
+    t = F.trim(F.regexp_replace(t, r"```\s*$", ""))
+    parsed = F.from_json(t, REPLY_SCHEMA, {"mode": "PERMISSIVE"})
+    ok = F.try_parse_json(t).isNotNull() if hasattr(F, "try_parse_json") else parsed.isNotNull()
+
+    def field(name):
+        return F.nullif(F.regexp_extract(t, rf'"{name}"\s*:\s*"([^"]+)"', 1), F.lit(""))
+
+    drops_txt = F.regexp_extract(t, r'"drop_columns"\s*:\s*\[([^\]]*)\]', 1)
+    drops = F.filter(F.transform(F.split(drops_txt, ","),
+                                 lambda s: F.regexp_replace(F.trim(s), '^"|"$', "")),
+                     lambda s: s != "")
+    reasoning = F.regexp_replace(F.regexp_extract(t, r'"reasoning"\s*:\s*"([^"]*)', 1), '"$', "")
+    task_re = field("task")
+    repaired = F.when(task_re.isNotNull(), F.struct(
+        task_re.alias("task"), field("target").alias("target"), drops.alias("drop_columns"),
+        field("primary_metric").alias("primary_metric"), field("optimization_goal").alias("optimization_goal"),
+        F.when(F.regexp_extract(t, r'"reasoning"\s*:\s*"', 0) != "", reasoning)
+        .otherwise(F.lit("Repaired from truncated response")).alias("reasoning")))
+    rep = F.when(ok, parsed).otherwise(repaired)
+    return df.select("*", F.when(ok, F.lit("parsed")).when(task_re.isNotNull(), F.lit("repaired"))
+                     .otherwise(F.lit("failed")).alias("reply_state"),
+                     rep.alias("reply")).select("*", "reply.*").drop("reply")
