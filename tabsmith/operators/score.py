@@ -76,8 +76,8 @@ def parse_rows(df: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     cols = []
     for i, n in enumerate(names):
         raw = F.trim(F.element_at(parts, i + 1))
-        cols.append(F.try_cast(raw, "double").alias(n))
-        cols.append(F.when(F.try_cast(raw, "double").isNull(), raw).alias(f"{n}_text"))
+        cols.append(raw.try_cast("double").alias(n))
+        cols.append(F.when(raw.try_cast("double").isNull(), raw).alias(f"{n}_text"))
     return df.select("*", *cols)
 
 

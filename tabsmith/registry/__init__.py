@@ -4,7 +4,7 @@ from importlib import import_module
 
 from ._base import ORACLE, QUERIES
 
-_MODULES = ["timeseries", "profile", "splits", "metrics", "features"]
+_MODULES = ["timeseries", "profile", "splits", "metrics", "features", "sources", "models"]
 
 for _m in _MODULES:
     import_module(f"{__name__}.{_m}")
