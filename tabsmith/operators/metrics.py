@@ -41,7 +41,7 @@ def binary_metrics(df: DataFrame, y, p, positive=1) -> DataFrame:
     c = binary_counts(df, y, p, positive)
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return c.select(
-        (F.col("correct") / F.col("n")).alias("accuracy"),
+        F.try_divide(F.col("correct"), F.col("n")).alias("accuracy"),
         F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
         F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1_score"),
@@ -56,8 +56,8 @@ def macro_metrics(df: DataFrame, y, p) -> DataFrame:
     """
     conf = df.groupBy(_c(y).cast("string").alias("_y"), _c(p).cast("string").alias("_p")).agg(
         F.count(F.lit(1)).alias("_n"))
-    acc = conf.agg((F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0))
-                    / F.sum("_n")).alias("accuracy"))
+    acc = conf.agg(F.try_divide(F.sum(F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(0)),
+                                F.sum("_n")).alias("accuracy"))
     as_true = conf.select(F.col("_y").alias("cls"), F.when(F.col("_y") == F.col("_p"), F.col("_n"))
                           .otherwise(0).alias("tp"), F.lit(0).alias("fp"),
                           F.when(F.col("_y") != F.col("_p"), F.col("_n")).otherwise(0).alias("fn"))
@@ -99,9 +99,9 @@ def roc_auc(df: DataFrame, y, score, positive=1) -> DataFrame:
         F.count_if(_c(y) == F.lit(positive)).alias("_pos"),
         F.count_if(_c(y) != F.lit(positive)).alias("_neg"))
     run = with_prefix_sums(g, [F.col("_s")], {"_neg_below": F.col("_neg")}, inclusive=False)
-    return run.agg(
-        (F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0))
-         / (F.sum("_pos") * F.sum("_neg"))).alias("roc_auc"))
+    return run.agg(F.try_divide(
+        F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0)),
+        (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("roc_auc"))
 
 
 def roc_auc_ovr(df: DataFrame, y, probs, classes: list | None = None) -> DataFrame:
@@ -122,9 +122,9 @@ def roc_auc_ovr(df: DataFrame, y, probs, classes: list | None = None) -> DataFra
     # class-local running count = global running count - count at the class start
     start = run.groupBy("_i").agg(F.min("_cum").alias("_c0"))
     run = run.join(F.broadcast(start), "_i").withColumn("_neg_below", F.col("_cum") - F.col("_c0"))
-    per = run.groupBy("_i").agg(
-        (F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0))
-         / (F.sum("_pos") * F.sum("_neg"))).alias("_auc"))
+    per = run.groupBy("_i").agg(F.try_divide(
+        F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0)),
+        (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("_auc"))
     return per.agg(F.avg("_auc").alias("roc_auc"))
 
 
@@ -141,9 +141,9 @@ def regression_metrics(df: DataFrame, y, p, by: list[str] | None = None) -> Data
                F.avg(F.abs(yy - pp)).alias("mae"),
                F.var_pop(yy).alias("vp"))
     sst = F.col("vp") * F.col("n")
-    r2 = (F.when(sst != 0, 1 - F.col("sse") / sst)
+    r2 = (F.when(sst != 0, 1 - F.try_divide(F.col("sse"), sst))
           .when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return a.select(*by, F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), F.col("mae"),
+    return a.select(*by, F.sqrt(F.try_divide(F.col("sse"), F.col("n"))).alias("rmse"), F.col("mae"),
                     r2.alias("r2_score"))
 
 
@@ -183,7 +183,7 @@ def silhouette_sq_euclidean(df: DataFrame, features, cluster, max_literal: int =
                                     lambda e: e["num"] / e["n"]))
     a = F.when(own["n"] > 1, own["num"] / (own["n"] - 1))
     s = (F.when(own["n"] <= 1, F.lit(0.0))
-         .otherwise((other - a) / F.greatest(a, other)))
+         .otherwise(F.coalesce(F.try_divide(other - a, F.greatest(a, other)), F.lit(0.0))))
     return d.select(s.alias("_sil")).agg(F.avg("_sil").alias("silhouette_score"))
 
 

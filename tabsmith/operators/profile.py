@@ -67,7 +67,7 @@ def missing_ratios(df: DataFrame, keep_zero: bool = False) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_m{i}").alias("n_null"))
                         for i, c in enumerate(df.columns)])
     tidy = one.select("_rows", F.explode(entries).alias("e")).select(
-        "e.column_name", (F.col("e.n_null") / F.col("_rows")).alias("ratio"))
+        "e.column_name", F.try_divide(F.col("e.n_null"), F.col("_rows")).alias("ratio"))
     if not keep_zero:
         tidy = tidy.where(F.col("ratio") > 0)  # filter before rounding, as the rule says
     return tidy.select("column_name", F.round("ratio", 4).alias("missing_ratio"))

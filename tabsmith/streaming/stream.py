@@ -49,12 +49,12 @@ def running_metrics(stream: DataFrame, y: str, p: str, run_col: str | None = Non
     return state.select(
         *[c for c in state.columns if c not in ("n", "correct", "tp", "fp", "fn", "sse", "sae")],
         "n",
-        (F.col("correct") / F.col("n")).alias("accuracy"),
+        F.try_divide(F.col("correct"), F.col("n")).alias("accuracy"),
         F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0)).alias("precision"),
         F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0)).alias("recall"),
         F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0)).alias("f1_score"),
-        F.sqrt(F.col("sse") / F.col("n")).alias("rmse"),
-        (F.col("sae") / F.col("n")).alias("mae"),
+        F.sqrt(F.try_divide(F.col("sse"), F.col("n"))).alias("rmse"),
+        F.try_divide(F.col("sae"), F.col("n")).alias("mae"),
     )
 
 
