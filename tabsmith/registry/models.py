@@ -272,3 +272,31 @@ def st3_running_metrics(spark, sf_dir):
     out = st.run_to_table(st.running_metrics(s, "y", "p", run_col="lang"), scratch_path(spark, "st3-out"),
                           mode="complete")
     return spark.read.parquet(out)
+
+
+_DB_EPS, _DB_MIN = 0.04, 5
+
+
+@register("m10_dbscan_2d", f"""
+WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y
+                     FROM embeddings),
+nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b
+       ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {_DB_EPS} * {_DB_EPS}),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {_DB_MIN}),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.id JOIN core c2 ON nb.b = c2.id),
+r(id, lab) AS (SELECT id, id FROM core UNION SELECT ce.b, r.lab FROM r JOIN ce ON ce.a = r.id),
+comp AS (SELECT id, min(lab) AS lab FROM r GROUP BY id),
+border AS (SELECT nb.a AS id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = comp.id
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+num AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT lab FROM lab))
+SELECT p.id AS vec_id, CAST(coalesce(num.cluster, -1) AS INTEGER) AS prediction
+FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN num ON lab.lab = num.lab
+""")
+def m10_dbscan_2d(spark, sf_dir):
+    """DBSCAN on the first two embedding coordinates (the whole table), eps 0.04, 5 samples."""
+    e = table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.array(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")).alias("xy"))
+    from ..operators.dbscan import DBSCAN
+    m = DBSCAN(features="xy", eps=_DB_EPS, min_samples=_DB_MIN, id_col="vec_id").fit(e)
+    return m.fit_labels()

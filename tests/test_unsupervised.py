@@ -16,3 +16,53 @@ def test_isolation_forest_ranks_injected_outliers_first(spark):
     assert sorted(top) == [0, 250, 500, 750]
     assert out.where("prediction = -1").count() >= 4
     assert set(r.prediction for r in out.select("prediction").distinct().collect()) <= {-1, 1}
+
+
+def _brute_dbscan(points, eps, mp):
+    n = len(points)
+    nb = [[j for j in range(n) if sum((a - b) ** 2 for a, b in zip(points[i], points[j])) <= eps * eps]
+          for i in range(n)]
+    core = [len(nb[i]) >= mp for i in range(n)]
+    lab = list(range(n))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(n):
+            if core[i]:
+                for j in nb[i]:
+                    if core[j] and lab[j] > lab[i]:
+                        lab[j] = lab[i]
+                        changed = True
+    out = {}
+    for i in range(n):
+        if core[i]:
+            out[i] = lab[i]
+        else:
+            c = [lab[j] for j in nb[i] if core[j]]
+            out[i] = min(c) if c else None
+    names = {v: k for k, v in enumerate(sorted({v for v in out.values() if v is not None}))}
+    return {i: (names[v] if v is not None else -1) for i, v in out.items()}
+
+
+def test_dbscan_matches_brute_force_with_hot_cell(spark):
+    import random
+
+    from tabsmith.operators.dbscan import DBSCAN
+    rnd = random.Random(3)
+    pts = [(0.5, 0.5)] * 40                                   # one hot cell (duplicates)
+    pts += [(rnd.uniform(0, 3), rnd.uniform(0, 3)) for _ in range(160)]
+    pts += [(0.5 + 0.29 * k, 0.5) for k in range(1, 6)]       # a chain leaving the hot cell
+    df = spark.createDataFrame([(i, [float(x), float(y)]) for i, (x, y) in enumerate(pts)],
+                               "id long, xy array<double>")
+    got = {r.id: r.prediction for r in DBSCAN("xy", eps=0.3, min_samples=4, id_col="id").fit(df)
+           .fit_labels().collect()}
+    assert got == _brute_dbscan(pts, 0.3, 4)
+
+
+def test_dbscan_refuses_many_dimensions(spark):
+    import pytest
+
+    from tabsmith.operators.dbscan import DBSCAN
+    df = spark.createDataFrame([(1, [0.0] * 5)], "id long, v array<double>")
+    with pytest.raises(ValueError):
+        DBSCAN("v", id_col="id").fit(df)
