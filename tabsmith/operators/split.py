@@ -38,7 +38,7 @@ def ordered_split(df: DataFrame, order: list[str | Column], cuts=ORDERED_CUTS,
     """First int(0.70 n) rows train, next up to int(0.85 n) val, rest eval."""
     idx = with_global_index(df, [F.col(c) if isinstance(c, str) else c for c in order], "_idx",
                             num_partitions=num_partitions)
-    n = df.count()
+    n = idx.count()  # counts the written sorted table, not the (maybe costly) input plan
     a, b = int(n * cuts[0]), int(n * cuts[1])
     part = F.when(F.col("_idx") < a, "train").when(F.col("_idx") < b, "val").otherwise("eval")
     return idx.withColumn("split", part).drop("_idx")
@@ -66,7 +66,7 @@ def random_split(df: DataFrame, key_cols, seed: int = 42, method: str = "exact",
                              .when(u < val_hi, "val").otherwise("train"))
     idx = with_global_index(df.withColumn("_h", order_hash(*keys, seed=seed)),
                             [F.col("_h")] + [F.col(k) for k in keys], "_idx")
-    n = df.count()
+    n = idx.count()
     _, n_val, n_eval = part_sizes(n, eval_fraction, val_fraction)
     return idx.withColumn("split", _cut(F.col("_idx"), F.lit(n_eval), F.lit(n_val))).drop("_idx", "_h")
 
