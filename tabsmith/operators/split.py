@@ -7,7 +7,7 @@ one table, written partitioned by ``split`` (S7), instead of six files.
   range-partitioned global index (no single-task window).
 * ``random_split``: exact form numbers rows in md5(seed, key) order and cuts
   at ceil(0.15 n) and ceil(0.176 (n - n_eval)), the sizes of two successive
-  75/25-style holdouts; the scalable default ``method="hash"`` assigns parts
+  75/25-style holdouts; the scalable form ``method="hash"`` assigns parts
   from a per-row hash with no shuffle at all.
 * ``stratified_split``: the same cut inside every class (per-class position
   = global position in (class, md5) order minus the class start).
