@@ -250,9 +250,13 @@ class ImproveContext:
         self._log(log, attempt, "data_improvement", best["name"], {"actions": "; ".join(actions)}, score,
                   time.perf_counter() - t0, imp)
         if imp:
-            best.update(score=score, model=model)
+            best.update(score=score, model=model, fitted=fitted)
         return self.passes(score if imp else best["score"])
 
+    def eval_score(self, model, eval_raw, fitted=None):
+        """Q15: score of a model on the held-out part, featurised as it was trained."""
+        return self.evaluator().evaluate(model.transform(self._featurize(eval_raw, fitted or self.fitted)))
+
 
 def search_size_for(grid: dict) -> int:
     return min(20, max(5, 3 * len(grid)))
