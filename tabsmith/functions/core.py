@@ -79,3 +79,11 @@ def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
 def py_round(c: Column, digits: int = 0) -> Column:
     """Round half to even, as Python's round()."""
     return F.bround(c, digits)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition when a frame has fewer partitions than the cluster
+    can run at once (e.g. one large unsplittable file) and the next step is
+    CPU-heavy per row.  On a large input this is a no-op."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

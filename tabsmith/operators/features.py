@@ -30,6 +30,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import spread
+
 # Token rule of the reference's text vectoriser (2+ word characters, lower case).
 TOKEN_PATTERN = r"(?U)\b\w\w+\b"
 MAX_TERMS = 5000
@@ -98,7 +100,8 @@ def term_table(df: DataFrame, text_col: str, max_terms: int = MAX_TERMS) -> Data
     Term counts and document frequencies are distributed aggregates; only the
     selected vocabulary (bounded by ``max_terms``) is ordered on one task.
     """
-    tok = tokenize(text_col).transform(df.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))
+    text = spread(df.select(F.coalesce(F.col(text_col), F.lit("")).alias(text_col)))  # tokenising is CPU-heavy
+    tok = tokenize(text_col).transform(text)
     tok = tok.withColumn("_d", F.monotonically_increasing_id())
     n_docs = F.lit(df.count())
     tf = tok.select(F.explode("_tokens").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("tf"))
