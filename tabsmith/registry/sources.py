@@ -249,3 +249,43 @@ def i7_read_model_replies(spark, sf_dir):
     r = sc.read_replies(t, "reply_text")
     return r.select("c_custkey", "reply_state", "task", "target",
                     F.when(F.col("reply_state") != "failed", F.size("drop_columns")).cast("int").alias("n_drop"))
+
+
+@register("s8_run_meta_round_trip", """
+SELECT CAST(count(*) AS BIGINT) AS rows, CAST(6 AS INTEGER) AS columns, 'classification' AS detected_task,
+  (SELECT '1:' || CAST(CAST(round_even(max(n) / min(n), 0) AS BIGINT) AS VARCHAR)
+   FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)) AS imbalance_ratio
+FROM orders
+""")
+def s8_run_meta_round_trip(spark, sf_dir):
+    """The profile document of orders written as the run metadata and read back."""
+    from ..operators import profile as pr
+    meta = pr.analyze(table(spark, sf_dir, "orders"), "o_orderstatus")
+    path = scratch_path(spark, "run-meta")
+    io.write_run_meta(spark, {"metadata": meta, "target_column": "o_orderstatus"}, path)
+    back = io.read_run_meta(spark, path)["metadata"]
+    return spark.createDataFrame([(back["rows"], back["columns"], back["detected_task"], back["imbalance_ratio"])],
+                                 "rows bigint, columns int, detected_task string, imbalance_ratio string")
+
+
+@register("s9_result_store_append", f"""
+WITH m AS ({_CAND_SQL})
+SELECT model_name, CAST(count(*) AS BIGINT) AS n_rows, round(sum(rmse), 4) AS rmse_sum FROM m GROUP BY model_name
+""")
+def s9_result_store_append(spark, sf_dir):
+    """Metrics rows appended to the model_metrics table in two batches, read back."""
+    from ..sources.store import ResultStore
+    m = candidate_metrics(spark, sf_dir)
+    full = m.select("id", "pipeline_id", "model_name", *[F.lit(None).cast("double").alias(c) for c in
+                    ("accuracy", "precision", "recall", "f1_score")], "rmse", "mae", "r2_score",
+                    F.lit(None).cast("double").alias("silhouette_score"),
+                    F.lit(None).cast("double").alias("training_time_seconds"),
+                    F.lit(None).cast("double").alias("roc_auc"), F.lit(0).alias("is_best_model"),
+                    F.lit(None).cast("double").alias("anomaly_ratio"))
+    store = ResultStore(spark, scratch_path(spark, "store"))
+    first = F.col("model_name").isin("slope_1000", "slope_1500")   # two appends cover every row
+    store.append("model_metrics", full.where(first))
+    store.append("model_metrics", full.where(~first))
+    back = store.read("model_metrics")
+    return back.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_rows"),
+                                          F.round(F.sum("rmse"), 4).alias("rmse_sum"))
