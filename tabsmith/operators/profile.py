@@ -49,6 +49,14 @@ def column_classes(df: DataFrame) -> dict[str, list[str]]:
     return out
 
 
+def _missing(df: DataFrame, c: str):
+    """NULL, and NaN for floating columns (pandas counts both as missing)."""
+    col = F.col(c)
+    if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)):
+        return col.isNull() | F.isnan(col)
+    return col.isNull()
+
+
 # ---------------------------------------------------------------- A1
 def shape(df: DataFrame) -> DataFrame:
     """A1: one row (rows, columns)."""
@@ -62,7 +70,7 @@ def missing_ratios(df: DataFrame, keep_zero: bool = False) -> DataFrame:
     if not df.columns:
         return df.sparkSession.createDataFrame([], "column_name string, missing_ratio double")
     aggs = [F.count(F.lit(1)).alias("_rows")] + [
-        F.count_if(F.col(c).isNull()).alias(f"_m{i}") for i, c in enumerate(df.columns)]
+        F.count_if(_missing(df, c)).alias(f"_m{i}") for i, c in enumerate(df.columns)]
     one = df.agg(*aggs)
     entries = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_m{i}").alias("n_null"))
                         for i, c in enumerate(df.columns)])
@@ -98,7 +106,7 @@ def column_stats(df: DataFrame, exact: bool | str = "auto") -> list[dict]:
     fields = df.schema.fields
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
-        aggs.append(F.count(F.col(f.name)).alias(f"_nn{i}"))
+        aggs.append(F.count_if(~_missing(df, f.name)).alias(f"_nn{i}"))
         if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)):
             aggs.append(F.approx_count_distinct(F.col(f.name), 0.02).alias(f"_ad{i}"))
         if isinstance(f.dataType, T.StringType):

@@ -110,3 +110,12 @@ def test_silhouette_two_clusters(spark):
     # a = 1, b = mean(100, 101) = 100.5 for every point
     assert s == pytest.approx(1 - 1 / 100.5)
     assert not math.isnan(s)
+
+
+def test_nan_counts_as_missing(spark):
+    from tabsmith.operators import profile as pr
+    df = spark.createDataFrame([(1.0, "a"), (float("nan"), None), (None, "b"), (2.0, "c")], "x double, s string")
+    got = {r.column_name: r.missing_ratio for r in pr.missing_ratios(df).collect()}
+    assert got == {"x": 0.5, "s": 0.25}
+    st = {s["column_name"]: s["n_null"] for s in pr.column_stats(df, exact=True)}
+    assert st == {"x": 2, "s": 1}
