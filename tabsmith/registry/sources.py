@@ -35,8 +35,8 @@ def s2_json_round_trip(spark, sf_dir):
 SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment
 """)
 def s3_sql_source(spark, sf_dir):
-    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
-    return io.load(spark, "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 "
+    table(spark, sf_dir, "customer").createOrReplaceTempView("tabsmith_customer")
+    return io.load(spark, "SELECT c_mktsegment, count(*) AS n FROM tabsmith_customer WHERE c_acctbal > 0 "
                    "GROUP BY c_mktsegment", "sql")
 
 
