@@ -119,3 +119,16 @@ def test_nan_counts_as_missing(spark):
     assert got == {"x": 0.5, "s": 0.25}
     st = {s["column_name"]: s["n_null"] for s in pr.column_stats(df, exact=True)}
     assert st == {"x": 2, "s": 1}
+
+
+def test_scalable_split_forms(spark):
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    q = sp.quantile_split(ev, "ts")
+    counts = {r.split: r["count"] for r in q.groupBy("split").count().collect()}
+    assert abs(counts["train"] - 700) <= 10 and abs(counts["val"] - 150) <= 10
+    # train rows all come before val rows in time
+    mx = q.where("split = 'train'").agg(F.max("ts")).first()[0]
+    mn = q.where("split = 'val'").agg(F.min("ts")).first()[0]
+    assert mx <= mn
+    h = sp.auto_split(ev, "value", ["event_id"], "regression", method="auto", rows=10 ** 9)
+    assert h.count() == ev.count()
