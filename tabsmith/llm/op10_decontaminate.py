@@ -171,10 +171,10 @@ class Matcher:
         return woff, at_word, which, block.length[which]
 
 
-def _slices(s: Shard) -> Iterator[Shard]:
+def _slices(s: Shard, slice_bytes: int) -> Iterator[Shard]:
     i = 0
     while i < len(s.ids):
-        j = max(i + 1, int(np.searchsorted(s.off, s.off[i] + SLICE_BYTES, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(s.off, s.off[i] + slice_bytes, "right")) - 1)
         yield Shard(-1, s.ids[i:j], s.buf[s.off[i]:s.off[j]], s.off[i:j + 1] - s.off[i], s.nulls[i:j])
         i = j
 
@@ -208,7 +208,7 @@ _SCHEMA = "n_words long, spans array<struct<first:long,last:long>>, items array<
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
-                 keep: list[str] | None = None) -> DataFrame:
+                 keep: list[str] | None = None, slice_bytes: int = SLICE_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, spans, items) for every document: word spans covered by test
     windows (first and last word) and the items whose windows occur.  With ``keep``, those
     columns of ``docs`` go along."""
@@ -232,7 +232,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for b in batches:
                 whole = from_batch(b.column(0), b.column(1))
                 i = 0
-                for s in _slices(whole):
+                for s in _slices(whole, slice_bytes):
                     j = i + len(s.ids)
                     old = [b.column(b.schema.names.index(c)).slice(i, j - i).to_pylist() for c in ("spans", "items")] if more else [None, None]
                     n, spans, items = _judge(matcher, s, *old)
@@ -245,7 +245,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return df.mapInArrow(run, f"{schema}, {_SCHEMA}")
 
     for item, text in rows:
-        if block and size + len(text or "") > BLOCK_BYTES:
+        if block and size + len(text or "") > block_bytes:
             out = materialize(one_pass(out, block), "matches")
             block, size = [], 0
         block.append((item, text))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op01_bpe, op10_decontaminate
+from . import op01_bpe, op03_phrases, op07_suffix_trees, op10_decontaminate
 from .base import register, table
 
 
@@ -17,6 +17,32 @@ def op1(spark, sf_dir):
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register("op3_suffix_array_dedup")
+def op3(spark, sf_dir):
+    out = op03_phrases.dedup_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT r, doc_id, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS w FROM (
+  SELECT row_number() OVER () AS r, doc_id, trim(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS t FROM documents)),
+win AS (SELECT r, doc_id, i, list_aggregate(w[i:i + 12], 'string_agg', ' ') AS k
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM w WHERE len(w) >= 13)),
+dup AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + 13)) AS j FROM dup)),
+words AS (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM w),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY j) AS s, count(*) AS n FROM words ANTI JOIN gone USING (r, j) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+
+@register("op7_substring_dedup", OP7_SQL)
+def op7(spark, sf_dir):
+    out = op07_suffix_trees.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP10_SQL = r"""
 WITH RECURSIVE dw AS (
   SELECT rowid AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w

@@ -56,7 +56,7 @@ def from_batch(ids: pa.Array, text: pa.Array) -> Shard:
     return Shard(-1, key, buf, off, nulls)
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     from .textkit import texts
     part, seq = TaskContext.get().partitionId(), 0
     zip_ = zstandard.ZstdCompressor(1)
@@ -64,7 +64,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = from_batch(b.column(0), b.column(1))
         i = 0
         while i < len(s.ids):
-            j = max(i + 1, int(np.searchsorted(s.off, s.off[i] + SHARD_BYTES, "right")) - 1)
+            j = max(i + 1, int(np.searchsorted(s.off, s.off[i] + shard_bytes, "right")) - 1)
             lens = np.where(s.nulls[i:j], -1, s.off[i + 1:j + 1] - s.off[i:j])
             yield pa.RecordBatch.from_pydict({
                 "shard": pa.array([(part << 32) | seq], pa.int64()),
@@ -83,7 +83,7 @@ class Shards:
     buckets: int
 
 
-def write_shards(docs: DataFrame, id_col: str, text_col: str) -> Shards:
+def write_shards(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int = SHARD_BYTES) -> Shards:
     """Pack ``docs`` (id, text) into the shard table; tasks write their own buckets, no shuffle."""
     spark: SparkSession = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
@@ -91,7 +91,7 @@ def write_shards(docs: DataFrame, id_col: str, text_col: str) -> Shards:
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "shards")
     name = "shards_" + path.rsplit("-", 1)[-1]
-    (src.mapInArrow(_pack, "shard long, ids binary, lens binary, n_bytes long, data binary")
+    (src.mapInArrow(lambda batches: _pack(batches, shard_bytes), "shard long, ids binary, lens binary, n_bytes long, data binary")
         .write.format("parquet").option("path", path).option("compression", "none")
         .bucketBy(max(2 * parts, shuffles), "shard").saveAsTable(name))
     table = spark.table(name)
@@ -109,7 +109,7 @@ def unpack(row: dict) -> Shard:
 def shard_pass(shards: Shards, answers: list[DataFrame], fn: Callable[[Shard], Iterator[pa.RecordBatch] | list],
                schema: str) -> DataFrame:
     """Run ``fn`` on every shard, with the answers of earlier exchanges joined to it."""
-    df = shards.table
+    df, passes = shards.table, range(len(answers))
     for i, a in enumerate(answers):
         got = a.groupBy("shard").agg(F.collect_list(F.struct("bucket", "payload")).alias(f"_a{i}"))
         df = df.join(got, "shard", "left")
@@ -119,7 +119,7 @@ def shard_pass(shards: Shards, answers: list[DataFrame], fn: Callable[[Shard], I
             for k in range(b.num_rows):
                 row = {name: b.column(j)[k].as_py() for j, name in enumerate(b.schema.names)}
                 s = unpack(row)
-                s.answers = [{x["bucket"]: x["payload"] for x in row[f"_a{i}"] or []} for i in range(len(answers))]
+                s.answers = [{x["bucket"]: x["payload"] for x in row[f"_a{i}"] or []} for i in passes]
                 yield from fn(s)
 
     return df.mapInArrow(run, schema)

@@ -55,13 +55,11 @@ def test_brute_force(spark):
         assert result(op.find_matches(d, b)) == brute(docs, items)
 
 
-def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK_BYTES", 60)
-    monkeypatch.setattr(op, "SLICE_BYTES", 100)
+def test_blocks_of_the_benchmark_give_the_same(spark):
     docs, items = data(9)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
-    assert result(op.find_matches(d, b)) == brute(docs, items)
+    assert result(op.find_matches(d, b, block_bytes=60, slice_bytes=100)) == brute(docs, items)
 
 
 def test_empty_tables_and_removal(spark):
