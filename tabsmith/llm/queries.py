@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op01_bpe, op03_phrases, op07_suffix_trees, op10_decontaminate
+from . import op01_bpe, op02_jaccard_join, op03_phrases, op07_suffix_trees, op10_decontaminate
 from .base import register, table
 
 
@@ -17,6 +17,11 @@ def op1(spark, sf_dir):
                       F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register("op2_ngram_jaccard_join")
+def op2(spark, sf_dir):
+    return op02_jaccard_join.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 @register("op3_suffix_array_dedup")
 def op3(spark, sf_dir):
     out = op03_phrases.dedup_bytes(table(spark, sf_dir, "documents"))

@@ -48,3 +48,25 @@ def words_dedup(rows, window=13):
                 gone[p:p + window] = [True] * window
         out.append((str(i), len(w), sum(gone), sha(b" ".join(x for x, g in zip(w, gone, strict=True) if not g))))
     return sorted(out)
+
+
+def jaccard_components(rows, shingle=4, num=85):
+    """(id, set size, smallest linked id) by comparing all pairs of sets."""
+    sets = []
+    for i, t in rows:
+        low = (t or "").encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
+        w = re.findall(rb"[^\x20\x09-\x0D]+", low)
+        sets.append((i, {tuple(w[p:p + shingle]) for p in range(max(1, len(w) - shingle + 1))} if w else set()))
+    root = {i: i for i, _ in sets if i is not None}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, a) in enumerate(sets):
+        for j, b in sets[:k]:
+            if a and b and i is not None and j is not None and 100 * len(a & b) >= num * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return sorted((str(i), len(s), str(None if i is None else find(i))) for i, s in sets)
