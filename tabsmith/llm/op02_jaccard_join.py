@@ -12,8 +12,8 @@ be shared, so a class links only if ``similarity`` of its shingles are held else
   holds first, then the others by hash; two sets that link share one of their first
   ``n - ceil(similarity n) + 1`` shingles.  First every class is compared with one hub of
   its lists (linear), which settles groups of near copies; then lists are scanned
-  for pairs that are still in different components, by size and position bounds.
-  Candidates are verified on the whole sets.
+  for pairs that are still in different components, by size, position and parity
+  bounds.  Candidates are verified on the whole sets.
 * The boundary minimises (subsets emitted up to it + postings scanned beyond it), from
   counts by size.
 
@@ -45,6 +45,7 @@ from .shards import (BLOBS, NO_ID, SHARD_BYTES, Shard, Shards, census_answer, ce
 SHINGLE = 4
 SIMILARITY = (17, 20)   # 0.85 as a fraction: 100 * intersection >= 85 * union
 SEARCHED_SIZES = 48     # boundaries that the cost rule weighs: 0 to this
+PARITY = 8              # longs of parity bits: sets differ in at least as many shingles as parities
 _WORD = tk.space_words()
 
 
@@ -87,6 +88,12 @@ class _Sets:
         self.off = np.searchsorted(self.row, np.arange(len(s.ids) + 1))
 
 
+def _parity(token: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each of 64 * PARITY bins."""
+    slot = (tk.mix64(token) >> np.uint64(40)).astype(np.int64) % (64 * PARITY)
+    return np.packbits(np.bincount(slot, minlength=64 * PARITY).astype(np.uint8) & 1).view(np.int64)
+
+
 def _signatures(cols: dict[str, list], boundary: int, sim: tuple[int, int]):
     """Rows (key, size, pos, rep, n): subsets of light sets (size > 0), prefix postings of heavy ones (size 0)."""
     out: list[tuple[np.ndarray, ...]] = []
@@ -101,7 +108,7 @@ def _signatures(cols: dict[str, list], boundary: int, sim: tuple[int, int]):
                     key = total - token[pick].sum(axis=1, dtype=np.uint64)
                 else:
                     key = np.array([total])
-                key = tk.mix64(key + np.uint64(size) * np.uint64(tk.MULT))
+                key = tk.mix64(key + np.uint64(size * tk.MULT & ((1 << 64) - 1)))
                 out.append((key, np.full(len(key), size), np.zeros(len(key), int), rep, n))
         if n >= partners(boundary + 1, sim)[0]:
             key = token[own:prefix(n, sim)]
@@ -176,7 +183,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         u, at = np.unique(x.token, return_inverse=True)
         held = census_read(u, s.answers[0], buckets)[at]
         n = np.diff(x.off)
-        classes, own, tokens, seen = [], [], [], set()
+        classes, own, tokens, parity, seen = [], [], [], [], set()
         for d, (a, b) in enumerate(zip(x.off[:-1].tolist(), x.off[1:].tolist(), strict=True)):
             name = hashlib.blake2b(x.token[a:b].tobytes(), digest_size=16).digest() if b > a and s.ids[d] != NO_ID else None
             both = held[a:b]
@@ -187,14 +194,18 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             classes.append(name)
             own.append(alone)
             tokens.append(np.concatenate([x.token[a:b][~both], x.token[a:b][both]]).tobytes() if search else None)
+            parity.append(_parity(x.token[a:b]).tolist() if search else None)
         yield pa.RecordBatch.from_arrays(
             [pa.array(s.ids, pa.int64(), mask=s.ids == NO_ID), pa.array(n, pa.int32()), pa.array(classes, pa.binary()),
-             pa.array(own, pa.int32()), pa.array(tokens, pa.binary())], names=["doc_id", "n", "class", "own", "tokens"])
+             pa.array(own, pa.int32()), pa.array(parity, pa.list_(pa.int64())), pa.array(tokens, pa.binary())],
+            names=["doc_id", "n", "class", "own", "parity", "tokens"])
 
-    described = materialize(shard_pass(shards, [shared], describe, "doc_id long, n int, class binary, own int, tokens binary"), "sets")
+    described = materialize(shard_pass(shards, [shared], describe, 
+                                       "doc_id long, n int, class binary, own int, parity array<long>, tokens binary"), "sets")
     reps = described.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    searched = described.filter("tokens is not null").select("class", "n", "own", "tokens").dropDuplicates(["class"])
-    sets = materialize(searched.join(reps, "class").select("rep", "n", "own", "tokens"), "classes")
+    searched = described.filter("tokens is not null").select(
+        "class", "n", "own", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)], "tokens").dropDuplicates(["class"])
+    sets = materialize(searched.join(reps, "class").drop("class"), "classes")
     if boundary is None:
         boundary = boundary_by_cost(sets, sim)
     keys = materialize(_emit(sets, boundary, sim), "keys")
@@ -219,13 +230,15 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Then: pairs that still are in different components, by the first shared posting's bounds.
     known = heavy.join(label.toDF("rep", "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = known.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("key")
-    open_ = materialize(known.join(mixed, "key"), "open")
+    parity = [f"p{i}" for i in range(PARITY)]
+    open_ = materialize(known.join(mixed, "key").join(sets.select("rep", *parity), "rep"), "open")
     x, y = open_.alias("x"), open_.alias("y")
     least = F.ceil((F.col("x.n") + F.col("y.n")) * sim[0] / float(sim[0] + sim[1]) - 1e-9)
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    differ = sum((F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in parity), F.lit(0))
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
                    & (F.col("x.n") * sim[0] <= F.col("y.n") * sim[1]) & (F.col("y.n") * sim[0] <= F.col("x.n") * sim[1])
-                   & (room >= least)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+                   & (room >= least) & (differ <= F.col("x.n") + F.col("y.n") - 2 * least)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
     rest = _verify(materialize(pairs, "pairs"), sets, sim)
     label = components(materialize(rest.unionByName(first), "links"))
 
