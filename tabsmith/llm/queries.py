@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op01_bpe, op02_jaccard_join, op03_phrases, op07_suffix_trees, op10_decontaminate
+from . import op01_bpe, op02_jaccard_join, op03_phrases, op04_grid_join, op05_quality, op07_suffix_trees, op10_decontaminate
 from .base import register, table
 
 
@@ -77,3 +77,34 @@ def op10(spark, sf_dir):
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
                         op10_decontaminate.contaminated(n_hit, F.col("n_words")).alias("contaminated"))
+
+
+@register("op5_quality_classifier")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = op05_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = op05_quality.score(docs, model)
+    return scored.select("doc_id", op05_quality.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+OP4_SQL = """
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+ok AS (SELECT * FROM u WHERE vec_id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+  AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_sum(list_transform(v, lambda x: x * x)) > 0),
+pair AS (SELECT a.r AS ra, b.r AS rb, a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.r <> b.r
+  AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.93),
+reach AS (SELECT DISTINCT a AS vec_id, a AS c FROM pair UNION SELECT reach.vec_id, pair.b FROM reach JOIN pair ON reach.c = pair.a),
+comp AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id),
+n AS (SELECT ra AS r, count(*) AS n FROM pair GROUP BY ra)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(c, vec_id) AS component_id,
+  coalesce(vec_id = coalesce(c, vec_id), false) AS kept
+FROM u LEFT JOIN n USING (r) LEFT JOIN comp USING (vec_id)
+"""
+
+
+@register("op4_embedding_near_dedup", OP4_SQL)
+def op4(spark, sf_dir):
+    found = op04_grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "n_links", "component_id", "kept")
