@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import op01_bpe, op02_jaccard_join, op03_phrases, op04_grid_join, op05_quality, op07_suffix_trees, op10_decontaminate
+from . import (op01_bpe, op02_jaccard_join, op03_phrases, op04_grid_join, op05_quality, op06_licenses, op07_suffix_trees,
+               op08_secrets, op09_html, op10_decontaminate)
 from .base import register, table
 
 
@@ -108,3 +109,24 @@ FROM u LEFT JOIN n USING (r) LEFT JOIN comp USING (vec_id)
 def op4(spark, sf_dir):
     found = op04_grid_join.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@register("op6_license_scans", op06_licenses.duckdb_sql())
+def op6(spark, sf_dir):
+    found = op06_licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_sentences", F.array_join(F.col("sentence_ids").cast("array<string>"), ",").alias("sentence_ids"),
+                        F.array_join("licenses", ",").alias("licenses"))
+
+
+@register("op9_html_extraction")
+def op9(spark, sf_dir):
+    return op09_html.extract_text(table(spark, sf_dir, "pages"))
+
+
+@register("op8_secret_scans")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = op08_secrets.scan(docs, op08_secrets.fit(docs))
+    return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"),
+                        F.transform("secrets", lambda x: x["start"]).alias("starts"),
+                        F.transform("secrets", lambda x: F.sha2(x["value"], 256)).alias("values_sha256"))

@@ -67,7 +67,8 @@ def grow(b: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, d
         hg = np.bincount(cell, np.repeat(g, f), size).reshape(width, f, BINS).cumsum(2)
         hh = np.bincount(cell, np.repeat(h, f), size).reshape(width, f, BINS).cumsum(2)
         tg, th = hg[:, :1, -1:], hh[:, :1, -1:]
-        gain = hg ** 2 / (hh + l2) + (tg - hg) ** 2 / (th - hh + l2) - tg ** 2 / (th + l2)
+        with np.errstate(divide="ignore", invalid="ignore"):  # empty sides are set to 0 below
+            gain = hg ** 2 / (hh + l2) + (tg - hg) ** 2 / (th - hh + l2) - tg ** 2 / (th + l2)
         gain[(hh < least) | (th - hh < least)] = 0
         if columns is not None:
             for w in range(width):
