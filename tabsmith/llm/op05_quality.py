@@ -23,7 +23,7 @@ from . import textkit as tk
 from .trees import Forest, boost
 
 TRAIN_ROWS = 20_000
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 # Byte classes whose shares are statistics.
 CLASSES = {

@@ -32,7 +32,7 @@ from .trees import Forest, random_forest
 TRAIN_ROWS = 20_000
 DICTIONARY = 4096        # most common short words that may be sent to all tasks
 SHORTEST, LONGEST = 12, 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 REDACTED = "[SECRET]"
 
 # Formats that issuers publish, and names that secrets are assigned to.
