@@ -20,7 +20,6 @@ import base64
 import gc
 import heapq
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +27,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 4 << 20      # texts handled at a time (one longer text is a slice of its own)
-REMEMBERED = 400_000       # distinct pieces that a task remembers
+from .textkit import release
+
+SLICE_BYTES = 2 << 20      # texts handled at a time (one longer text is a slice of its own)
+REMEMBERED = 600_000       # distinct pieces that a task remembers
 LONG_PIECE = 1000          # longer pieces are not remembered
-KEPT, SHORT_PIECE = 120_000, 8   # pieces that a worker keeps for its next task, and their length
 MAX_VOCABULARY = 64 << 20  # bytes of a rank file that may be sent to all tasks
 
 
@@ -159,11 +159,6 @@ class MergeReplay:
             del known[p]
         return out
 
-    def forget(self) -> None:
-        """Leaves a bounded number of short pieces for the next task."""
-        short = (p for p in self.known if len(p) <= SHORT_PIECE)
-        self.known = {p: self.known[p] for p in islice(short, KEPT)}
-
     def decode(self, ids: str) -> bytes:
         return b"".join([self.by_text[i] for i in ids.split(",")]) if ids else b""
 
@@ -207,8 +202,9 @@ def _map(docs: DataFrame, vocabulary: Vocabulary, steps: str, id_col: str, in_co
                 if "d" in steps:
                     cols.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in schema.split(", ")])
-        bpe.forget()
+        bpe.known = {}
         gc.enable()
+        release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(in_col).cast("string")).mapInArrow(run, schema)
 

@@ -129,6 +129,7 @@ def document_statistics(docs: DataFrame, text_col: str, keep: list[Column]) -> D
                 flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([*(b.column(k + 1).slice(i, j - i) for k in range(len(kept))), flat],
                                                  names=[*(f.name for f in kept), "x"])
+        tk.release()
 
     return src.mapInArrow(run, schema)
 
@@ -169,5 +170,6 @@ def score(docs: DataFrame, model: Forest, id_col: str = "doc_id", text_col: str
                 raw = sent.value.raw(statistics(buf[off[i]:off[j]], off[i:j + 1] - off[i]))
                 yield pa.RecordBatch.from_arrays([*(b.column(k + 1).slice(i, j - i) for k in range(len(kept))),
                                                   pa.array(1 / (1 + np.exp(-raw)))], names=[*(f.name for f in kept), "score"])
+        tk.release()
 
     return src.mapInArrow(run, schema)

@@ -255,6 +255,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                         got[x.text].append({"start": x.start, "value": x.value, "score": float(s), "label": label(x)})
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(got, _SPANS)],
                                                  names=["doc_id", "n_candidates", "secrets"])
+        tk.release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
         run, "doc_id long, n_candidates long, secrets array<struct<start:long,value:string,score:double,label:int>>")
@@ -288,5 +289,6 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text", put: str = RED
                     text = pa.array(new, b.column(at).type)
                 cols = [text if k == at else b.column(k).slice(i, j - i) for k in range(len(names))]
                 yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
+        tk.release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -241,6 +241,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         [*cols, pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))],
                         names=["doc_id", "_text", *names, "n_words", "spans", "items"])
                     i = j
+            tk.release()
 
         return df.mapInArrow(run, f"{schema}, {_SCHEMA}")
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import materialize
 from ..session import scratch_path
+from .textkit import release, texts
 
 SHARD_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max  # a null id: larger than every other
@@ -50,14 +51,12 @@ class Shard:
 
 
 def from_batch(ids: pa.Array, text: pa.Array) -> Shard:
-    from .textkit import texts
     buf, off, nulls = texts(text)
     key = np.array(ids.cast(pa.int64()).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False), np.int64)
     return Shard(-1, key, buf, off, nulls)
 
 
 def _pack(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    from .textkit import texts
     part, seq = TaskContext.get().partitionId(), 0
     zip_ = zstandard.ZstdCompressor(1)
     for b in batches:
@@ -73,6 +72,7 @@ def _pack(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.Re
                 "n_bytes": pa.array([int(s.off[j] - s.off[i])], pa.int64()),
                 "data": pa.array([zip_.compress(s.buf[s.off[i]:s.off[j]].tobytes())], pa.binary())})
             i, seq = j, seq + 1
+    release()
 
 
 @dataclass
@@ -121,6 +121,8 @@ def shard_pass(shards: Shards, answers: list[DataFrame], fn: Callable[[Shard], I
                 s = unpack(row)
                 s.answers = [{x["bucket"]: x["payload"] for x in row[f"_a{i}"] or []} for i in passes]
                 yield from fn(s)
+                s = row = None
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -10,6 +10,9 @@ symbols, finished by a bijective mixer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 
@@ -204,3 +207,14 @@ def runs(mask: np.ndarray, off: np.ndarray) -> np.ndarray:
     first[heads] = mask[heads]
     c = np.concatenate([[0], np.cumsum(first)])
     return c[off[1:]] - c[off[:-1]]
+
+
+def release() -> None:
+    """Gives a finished task's freed memory back to the system: Python workers live on between
+    tasks, and idle ones would otherwise hold it beside the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
