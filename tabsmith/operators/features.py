@@ -145,9 +145,10 @@ def with_class_weights(df: DataFrame, weights: DataFrame, label: str, col: str =
 
 # ---------------------------------------------------------------- F8
 def label_indexer(label: str, out: str = "label_idx") -> StringIndexer:
-    """F8: label -> index in ascending value order."""
+    """F8: label -> index in ascending value order.  Exactly the classes of the training part;
+    rows with a label that training never saw are left out when metrics are taken."""
     return StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc",
-                         handleInvalid="keep")
+                         handleInvalid="skip")
 
 
 # ---------------------------------------------------------------- F4 / F6: the column transformer

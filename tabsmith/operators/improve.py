@@ -65,13 +65,17 @@ class MetricEvaluator:
 
         class _Eval(Evaluator):
             def _evaluate(self, dataset):
+                if metric == "roc_auc" and n_classes <= 2 and "rawPrediction" in dataset.columns:
+                    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+                    return BinaryClassificationEvaluator(labelCol=label).evaluate(dataset)
                 if task in ("classification", "nlp_classification"):
                     row = me.classification_metrics(dataset, label, "prediction",
                                                     positive=1.0 if n_classes <= 2 else None).first()
                 else:
                     row = me.regression_metrics(dataset, label, "prediction").first()
                 v = row[metric] if metric in row.asDict() else None
-                return float(v) if v is not None else float("-inf")
+                worst = float("-inf") if self.isLargerBetter() else float("inf")
+                return float(v) if v is not None else worst  # a missing score never wins
 
             def isLargerBetter(self):
                 return metric not in ("rmse", "mae")

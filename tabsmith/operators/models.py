@@ -48,35 +48,28 @@ PARAM_GRIDS = {
 }
 
 
-def planned_models(task: str, rows: int) -> list[str]:
-    """Model list by task and row count (reference's planner rules)."""
-    if task == "classification":
-        return (["logistic_regression", "xgboost"] if rows > 100_000 else
-                ["logistic_regression", "random_forest", "xgboost", "gradient_boosting"])
-    if task == "regression":
-        return (["linear_regression", "xgboost_regressor"] if rows > 100_000 else
-                ["linear_regression", "random_forest_regressor", "xgboost_regressor"])
-    if task == "clustering":
-        return ["kmeans"] if rows > 50_000 else ["kmeans", "dbscan"]
-    if task == "anomaly_detection":
-        return ["isolation_forest"]
-    if task == "nlp_classification":
-        return ["logistic_regression"]
-    if task == "time_series_forecasting":
-        return ["random_forest_regressor", "xgboost_regressor"]
-    return ["random_forest"]
+# Default candidates of each task, at every number of rows.
+DEFAULT_MODELS = {
+    "classification": ["logistic_regression", "random_forest", "xgboost", "gradient_boosting"],
+    "nlp_classification": ["logistic_regression"],
+    "regression": ["linear_regression", "random_forest_regressor", "xgboost_regressor"],
+    "time_series_forecasting": ["random_forest_regressor", "xgboost_regressor"],
+    "clustering": ["kmeans", "dbscan"],
+    "anomaly_detection": ["isolation_forest"],
+}
+FAMILIES = {"classification": CLASSIFIERS, "nlp_classification": CLASSIFIERS,
+            "regression": REGRESSORS, "time_series_forecasting": REGRESSORS}
+
+
+def planned_models(task: str, models: list[str] | None = None) -> list[str]:
+    """The caller's candidates, or the task's defaults."""
+    return list(models) if models else list(DEFAULT_MODELS.get(task, ["random_forest"]))
 
 
 def alternative_models(task: str, exclude: list[str] | None = None) -> list[str]:
-    """H3: all models of the task family not yet tried."""
-    ex = {m.lower() for m in (exclude or [])}
-    if task in ("classification", "nlp_classification"):
-        pool = CLASSIFIERS
-    elif task in ("regression", "time_series_forecasting"):
-        pool = REGRESSORS
-    else:
-        return []
-    return [m for m in pool if m not in ex]
+    """H3: models of the task's family that were not tried yet, in the family's order."""
+    tried = {m.lower() for m in exclude or ()}
+    return [m for m in FAMILIES.get(task, ()) if m not in tried]
 
 
 def get_model(name: str, task: str = "classification", n_classes: int = 2, n_rows: int | None = None,

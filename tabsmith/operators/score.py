@@ -75,7 +75,7 @@ def parse_rows(df: DataFrame, text_col: str, names: list[str]) -> DataFrame:
     parts = F.split(F.col(text_col), ",")
     cols = []
     for i, n in enumerate(names):
-        raw = F.trim(F.element_at(parts, i + 1))
+        raw = F.trim(F.get(parts, i))  # a short row has NULL there
         cols.append(raw.try_cast("double").alias(n))
         cols.append(F.when(raw.try_cast("double").isNull(), raw).alias(f"{n}_text"))
     return df.select("*", *cols)

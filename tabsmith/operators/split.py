@@ -101,43 +101,21 @@ def min_class_count(df: DataFrame, label: str) -> int:
     return int(r or 0)
 
 
-EXACT_MAX_ROWS = 10_000_000   # "auto": above this, no global sort for the split
-
-
-def quantile_split(df: DataFrame, time_col: str, cuts=ORDERED_CUTS, accuracy: int = 100_000) -> DataFrame:
-    """X1 at scale: cut at approximate time quantiles (one aggregate, no sort);
-    rows tied with a cut value go to the earlier part."""
-    q = df.agg(F.percentile_approx(F.col(time_col), list(cuts), accuracy).alias("q")).first()["q"]
-    a, b = q[0], q[1]
-    t = F.col(time_col)
-    return df.withColumn("split", F.when(t <= F.lit(a), "train").when(t <= F.lit(b), "val").otherwise("eval"))
-
-
 def auto_split(df: DataFrame, label: str | None, key_cols, task: str, is_time_series: bool = False,
-               time_order: list[str] | None = None, seed: int = 42, method: str = "exact",
-               rows: int | None = None) -> DataFrame:
+               time_order: list[str] | None = None, seed: int = 42) -> DataFrame:
     """The run's split rule: X5 no label, X1 series, X3 classification (X4 fallback), X2 otherwise.
 
-    ``method``: "exact" (positional cuts over a global order), "hash" (per-row
-    hash parts, no shuffle; per-class shares follow from the hash), or "auto"
-    (exact up to ``EXACT_MAX_ROWS`` rows, hash / time quantiles above).
+    One rule at every size: positional cuts over a global order, which range
+    partitions the rows on a total order, so a hot time or class is spread.
     """
     if label is None:
         return no_label_split(df)
     df = df.where(F.col(label).isNotNull())  # Q19: rows without a label cannot be scored
-    if method == "auto":
-        n = rows if rows is not None else df.count()
-        method = "exact" if n <= EXACT_MAX_ROWS else "hash"
     if is_time_series:
-        order = list(time_order or [])
-        if method == "hash" and order:
-            return quantile_split(df, order[0])
-        return ordered_split(df, order + _keys(key_cols))
-    if method == "hash":
-        return random_split(df, key_cols, seed, method="hash")
+        return ordered_split(df, list(time_order or []) + _keys(key_cols))
     if task in ("classification", "nlp_classification") and min_class_count(df, label) >= 2:
         return stratified_split(df, label, key_cols, seed)
-    return random_split(df, key_cols, seed, method=method)
+    return random_split(df, key_cols, seed)
 
 
 def no_label_split(df: DataFrame) -> DataFrame:

@@ -123,9 +123,9 @@ class IsolationForest:
     """100 trees, 256 rows each, seeded; ``fit(df)`` -> IsolationForestModel."""
 
     def __init__(self, features: str = "features", n_trees: int = 100, max_samples: int = 256,
-                 seed: int = 42, small_rows: int = 200_000):
+                 seed: int = 42):
         self.features, self.n_trees, self.max_samples = features, n_trees, max_samples
-        self.seed, self.small_rows = seed, small_rows
+        self.seed = seed
 
     def fit(self, df: DataFrame) -> IsolationForestModel:
         arr = (vector_to_array(self.features)
@@ -134,18 +134,18 @@ class IsolationForest:
         n = base.count()
         psi = max(1, min(self.max_samples, n))
         t, seed = self.n_trees, self.seed
-        h = lambda tree: F.xxhash64(F.col("x").cast("string"), F.lit(seed), tree)
-        if n <= self.small_rows:
-            # every tree ranks all rows by its own hash (n * trees rows, n bounded here)
-            ex = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(t - 1))))
-            ex = ex.withColumn("h", h(F.col("tree")))
-            keep = min(1.0, 4.0 * psi / n)  # ~4 psi candidates per tree reach the shuffle
-            if keep < 1.0:
-                ex = ex.where(F.pmod(F.col("h"), F.lit(1 << 30)) < F.lit(int(keep * (1 << 30))))
-        else:
-            frac = min(1.0, 1.5 * t * psi / n)
-            ex = base.sample(False, frac, seed).withColumn("h", h(F.lit(-1)))
-            ex = ex.withColumn("tree", F.pmod(F.col("h"), F.lit(t)).cast("int"))
+        # One path at every size.  A row takes part in about 4 psi t / n trees (all of them where
+        # the table is small): consecutive trees from a start drawn by the row's number, not by
+        # its content, so equal rows are drawn apart.  Only these candidates reach the shuffle.
+        share = min(float(t), 4.0 * psi * t / max(n, 1))
+        slots = max(1, math.ceil(share))
+        row = F.monotonically_increasing_id()
+        ex = (base.withColumn("row", row)
+              .withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+              .withColumn("tree", F.pmod(F.xxhash64("row", F.lit(seed)) + F.col("slot"), F.lit(t)).cast("int"))
+              .withColumn("h", F.xxhash64("row", F.lit(seed), "tree"))
+              .where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < F.lit(int(share / slots * (1 << 30))))
+              .select("x", "tree", "h"))
         max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
         def build(pdf: pd.DataFrame) -> pd.DataFrame:

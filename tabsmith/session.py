@@ -52,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = sc.getCheckpointDir()
         if current:
             return current
-        # Unset: this is a local test/bench session, never a cluster.
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        # Unset: a local test or bench session.
         configured = tempfile.mkdtemp(prefix="tabsmith-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", configured)
     if not sc.getCheckpointDir():
@@ -62,7 +64,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder (for written tables)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "tabsmith", f"{name}-{uuid.uuid4().hex[:12]}")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tabsmith/{name}-{uuid.uuid4().hex[:12]}"

@@ -32,10 +32,11 @@ def load(spark: SparkSession, source, source_type: str = "csv", schema=None,
         r = spark.read.option("header", True).option("mode", "PERMISSIVE")
         r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
         df = r.csv(source)
-        # NA tokens -> NULL for text columns (numeric columns already parse them as NULL)
+        # A column that holds NA tokens is inferred as text: blank them, then infer it again.
         fix = {f.name: F.when(F.col(f"`{f.name}`").isin(NA_TOKENS), None).otherwise(F.col(f"`{f.name}`"))
                for f in df.schema.fields if f.dataType.simpleString() == "string"}
         df = df.withColumns(fix) if fix else df
+        df = _infer_text(df, list(fix)) if fix and schema is None else df
     elif source_type == "json":
         r = spark.read
         if schema is not None:
@@ -54,6 +55,21 @@ def load(spark: SparkSession, source, source_type: str = "csv", schema=None,
     return nan_to_null(df)
 
 
+def _infer_text(df: DataFrame, names: list[str]) -> DataFrame:
+    """Narrowest type that every value of a text column reads as, in one aggregate; text stays
+    text when there is none or no value."""
+    kinds = ["int", "bigint", "double", "boolean", "timestamp"]
+    col = lambda n: F.col(f"`{n}`")
+    row = df.agg(*[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)],
+                 *[F.count(col(n).try_cast(k)).alias(f"{k}{i}") for i, n in enumerate(names) for k in kinds]).first()
+    cast = {}
+    for i, n in enumerate(names):
+        kind = next((k for k in kinds if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), None)
+        if kind:
+            cast[n] = col(n).try_cast(kind)
+    return df.withColumns(cast) if cast else df
+
+
 def _looks_like_array(spark: SparkSession, path: str) -> bool:
     """A JSON file that starts with '[' is one array document (records orientation)."""
     try:

@@ -121,14 +121,36 @@ def test_nan_counts_as_missing(spark):
     assert st == {"x": 2, "s": 1}
 
 
-def test_scalable_split_forms(spark):
-    ev = spark.read.parquet(f"{SF001}/events.parquet")
-    q = sp.quantile_split(ev, "ts")
-    counts = {r.split: r["count"] for r in q.groupBy("split").count().collect()}
-    assert abs(counts["train"] - 700) <= 10 and abs(counts["val"] - 150) <= 10
-    # train rows all come before val rows in time
-    mx = q.where("split = 'train'").agg(F.max("ts")).first()[0]
-    mn = q.where("split = 'val'").agg(F.min("ts")).first()[0]
-    assert mx <= mn
-    h = sp.auto_split(ev, "value", ["event_id"], "regression", method="auto", rows=10 ** 9)
-    assert h.count() == ev.count()
+def test_one_hot_time_is_still_cut_by_position(spark):
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 950, 5).otherwise(F.col("id")).alias("ts"), F.lit(1.0).alias("y"))
+    got = sp.auto_split(rows, "y", ["id"], "regression", is_time_series=True, time_order=["ts"])
+    assert {r.split: r["count"] for r in got.groupBy("split").count().collect()} == {"train": 700, "val": 150, "eval": 150}
+    late = {r.split: r["m"] for r in got.groupBy("split").agg(F.min("ts").alias("m")).collect()}
+    assert late["train"] == late["val"] == 5
+
+
+def test_default_models_do_not_depend_on_rows():
+    from tabsmith.operators import models as mo
+    from tabsmith.plans.jobs import make_plan
+    assert make_plan({"rows": 10 ** 9}, "regression")["models"] == make_plan({"rows": 10}, "regression")["models"]
+    assert make_plan({}, "clustering")["models"] == ["kmeans", "dbscan"]
+    assert "explainability" not in make_plan({}, "clustering")["pipeline_steps"]
+    assert mo.alternative_models("regression", ["XGBoost_regressor"]) == [m for m in mo.REGRESSORS if m != "xgboost_regressor"]
+
+
+def test_short_typed_row_and_na_tokens(spark, tmp_path):
+    from tabsmith.operators import score as sc
+    from tabsmith.sources import io
+    r = sc.parse_rows(spark.createDataFrame([("4,5",)], "t string"), "t", ["a", "b", "c"]).first()
+    assert (r.a, r.b, r.c) == (4.0, 5.0, None)
+    (tmp_path / "x.csv").write_text("n,s,f\n10,a,1.5\nNA,NA,NA\n30,b,2\n")
+    df = io.load(spark, str(tmp_path / "x.csv"))
+    assert dict(df.dtypes) == {"n": "int", "s": "string", "f": "double"}
+    assert [x.n for x in df.collect()] == [10, None, 30]
+
+
+def test_binary_label_has_two_classes(spark):
+    from tabsmith.operators import features as fe
+    df = spark.createDataFrame([("a",), ("b",), ("a",)], "y string")
+    out = fe.label_indexer("y").fit(df).transform(df)
+    assert out.schema["label_idx"].metadata["ml_attr"]["vals"] == ["a", "b"]
