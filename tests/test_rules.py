@@ -154,3 +154,15 @@ def test_binary_label_has_two_classes(spark):
     df = spark.createDataFrame([("a",), ("b",), ("a",)], "y string")
     out = fe.label_indexer("y").fit(df).transform(df)
     assert out.schema["label_idx"].metadata["ml_attr"]["vals"] == ["a", "b"]
+
+
+def test_result_rows_carry_a_time_and_read_errors_show(spark, tmp_path):
+    import pytest
+    from tabsmith.sources.store import ResultStore
+    store = ResultStore(spark, str(tmp_path / "store"))
+    assert store.read("pipeline_metadata").count() == 0
+    store.append("pipeline_metadata", [(1, 1, "regression", ["a"], ["m"], None)])
+    assert store.read("pipeline_metadata").first().timestamp is not None
+    (tmp_path / "store" / "predictions").mkdir()
+    with pytest.raises(Exception, match="infer schema"):
+        store.read("predictions")
