@@ -16,8 +16,8 @@ one cell are within eps of each other.  This gives:
   pairs whose farthest corners are within eps connect at once, those whose
   nearest corners are farther than eps never do, and only the remaining
   boundary sub-cell pairs are checked point by point;
-* connected components: iterated min-label propagation over the core-cell
-  edge table, each round written to the shared checkpoint folder;
+* connected components: smallest labels over the core-cell edge table with
+  pointer jumping, each round written to the shared checkpoint folder;
 * border points (non-core, always in sparse cells) take the smallest label of
   a core point within eps; the rest is noise (-1).
 
@@ -28,6 +28,7 @@ order in which scikit-learn's scan meets them when ids follow input order.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 
 from pyspark.ml.functions import vector_to_array
@@ -83,19 +84,36 @@ class DBSCANModel:
         return self.labels
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Label new points: the cluster of a core point within eps (smallest label), else -1."""
-        x = _points(df, self.features)
-        pts = df.withColumn("_x", x).withColumn("_cell", F.transform("_x", lambda v: F.floor(v / self.s)))
-        pts = pts.withColumn("_rid", F.monotonically_increasing_id())
+        """Label points: in a dense cell the cell's cluster (all its points are core), elsewhere the
+        smallest cluster with a core point within eps, else -1."""
+        pts = df.withColumn("_x", _points(df, self.features))
+        pts = pts.withColumn("_cell", F.transform("_x", lambda v: F.floor(v / self.s)))
+        # row numbers must not change between the two uses below
+        pts = materialize(pts.withColumn("_rid", F.monotonically_increasing_id()), "dbscan-score")
+        dense = self.core.where("dense").select(F.col("cell").alias("_cell"), F.col("label").alias("_own")).distinct()
+        pts = pts.join(dense, "_cell", "left")
         offs = [tuple([0] * self.d)] + _offsets(self.d, self.s, self.eps)
-        ex = pts.select("_rid", "_x", "_cell", F.explode(_lit_arrays(offs)).alias("_o"))
+        ex = pts.where("_own is null").select("_rid", "_x", "_cell", F.explode(_lit_arrays(offs)).alias("_o"))
         ex = ex.withColumn("_t", _shift(F.col("_cell"), F.col("_o")))
         core = self.core.select(F.col("cell").alias("_t"), F.col("x").alias("_cx"), F.col("label").alias("_l"))
         hit = (ex.join(core, "_t").where(_sqdist(F.col("_x"), F.col("_cx")) <= self.eps * self.eps)
                .groupBy("_rid").agg(F.min("_l").alias("_lab")))
         out = pts.join(hit, "_rid", "left")
-        return out.withColumn(self.prediction, F.coalesce(F.col("_lab"), F.lit(-1)).cast("int")).drop(
-            "_x", "_cell", "_rid", "_lab")
+        return out.withColumn(self.prediction, F.coalesce("_own", "_lab", F.lit(-1)).cast("int")).drop(
+            "_x", "_cell", "_rid", "_lab", "_own")
+
+    def save(self, path: str, spark) -> None:
+        """Core points with their clusters, labels of the fitted points, settings."""
+        self.core.write.mode("overwrite").parquet(f"{path}/core")
+        self.labels.write.mode("overwrite").parquet(f"{path}/labels")
+        doc = {"eps": self.eps, "s": self.s, "d": self.d, "id_col": self.id_col, "features": self.features,
+               "prediction": self.prediction}
+        spark.createDataFrame([(json.dumps(doc),)], "doc string").write.mode("overwrite").text(f"{path}/settings")
+
+    @staticmethod
+    def load(path: str, spark) -> "DBSCANModel":
+        doc = json.loads(spark.read.text(f"{path}/settings").where("value <> ''").first()["value"])
+        return DBSCANModel(spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/core"), **doc)
 
 
 def _points(df: DataFrame, features: str):
@@ -108,9 +126,9 @@ class DBSCAN:
     """``DBSCAN(eps=0.5, min_samples=5).fit(df)`` -> DBSCANModel (``fit_labels()`` = fit_predict)."""
 
     def __init__(self, features: str = "features", eps: float = 0.5, min_samples: int = 5,
-                 id_col: str | None = None, prediction: str = "prediction", max_rounds: int = 200):
+                 id_col: str | None = None, prediction: str = "prediction"):
         self.features, self.eps, self.min_samples = features, float(eps), int(min_samples)
-        self.id_col, self.prediction, self.max_rounds = id_col, prediction, max_rounds
+        self.id_col, self.prediction = id_col, prediction
 
     def fit(self, df: DataFrame) -> DBSCANModel:
         eps, mp = self.eps, self.min_samples
@@ -140,7 +158,7 @@ class DBSCAN:
         pts = pts.join(nbr, "id", "left").withColumn(
             "is_core", (F.col("n_cell") + F.coalesce(F.col("n_nbr"), F.lit(0))) >= mp).drop("n_nbr")
         pts = materialize(pts, "dbscan-core")
-        core = pts.where("is_core").select("id", "x", "cell")
+        core = pts.where("is_core").select("id", "x", "cell", (F.col("n_cell") >= mp).alias("dense"))
 
         # ---- core-cell graph
         nodes = core.groupBy("cell").agg(F.min("id").alias("label"))
@@ -163,7 +181,7 @@ class DBSCAN:
         res = res.select(F.col("id").alias(id_col),
                          F.coalesce(F.col("cluster"), F.lit(-1)).cast("int").alias(self.prediction))
         res = materialize(res, "dbscan-labels")
-        core_model = core_l.join(comp, "label").select("cell", "x", F.col("cluster").cast("int").alias("label"))
+        core_model = core_l.join(comp, "label").select("cell", "x", "dense", F.col("cluster").cast("int").alias("label"))
         return DBSCANModel(res, materialize(core_model, "dbscan-core-model"), eps, s, d, id_col,
                            self.features, self.prediction)
 
@@ -198,20 +216,25 @@ class DBSCAN:
                    .where(_sqdist(F.col("xa"), F.col("xb")) <= e2).select("a", "b").distinct())
         return sure.unionByName(checked).distinct()
 
-    def _components(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-        """Min-label propagation over the core-cell graph; one written table per round."""
+    @staticmethod
+    def _components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+        """Smallest label of each component: every round takes the smallest label of the neighbours
+        and then the label that the label's own cell has reached, so a chain of cells settles in a
+        number of rounds that grows with its logarithm.  One written table per round."""
         und = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         und = materialize(und, "dbscan-edges")
-        lab = materialize(nodes, "dbscan-cc")
-        for _ in range(self.max_rounds):
+        lab = materialize(nodes.withColumn("home", F.col("label")), "dbscan-cc")
+        while True:
             msg = und.join(lab.select(F.col("cell").alias("v"), F.col("label").alias("l")), "v") \
                 .groupBy(F.col("u").alias("cell")).agg(F.min("l").alias("m"))
-            new = lab.join(msg, "cell", "left").select(
-                "cell", F.least(F.col("label"), F.coalesce(F.col("m"), F.col("label"))).alias("label"),
-                (F.col("m") < F.col("label")).alias("changed"))
+            near = lab.join(msg, "cell", "left").select(
+                "cell", "home", F.col("label").alias("before"), F.least("label", F.coalesce("m", "label")).alias("via"))
+            near = materialize(near, "dbscan-cc-near")
+            jump = near.select(F.col("home").alias("via"), F.col("via").alias("up"))
+            new = near.join(jump, "via", "left").select(
+                "cell", "home", F.least("via", F.coalesce("up", "via")).alias("label"), "before")
             new = materialize(new, "dbscan-cc")
-            if new.where("changed").limit(1).count() == 0:
-                return new.drop("changed")
-            lab = new.drop("changed")
-        raise RuntimeError("connected components did not settle")
+            lab = new.drop("before")
+            if new.where("label < before").isEmpty():
+                return lab.drop("home")

@@ -1,11 +1,24 @@
-"""Model improvement (H1-H9): threshold gate, attempt log, search, alternative
-models, correlated-feature pruning, oversampling and the improvement job."""
+"""Model improvement (H1-H8): gate and improvement as columns of a table of attempts, seeded
+search over a grid, correlated columns.  The job that uses them is ``plans/improvement.py``."""
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import metrics as me
+from . import models as mo
+from .split import cv_folds
+
 # Quality gate per task (metric, direction, minimum).
 THRESHOLDS = {
     "classification": ("f1_score", "maximize", 0.75),
@@ -13,7 +26,6 @@ THRESHOLDS = {
     "regression": ("r2_score", "maximize", 0.70),
     "time_series_forecasting": ("r2_score", "maximize", 0.70),
 }
-MAX_ATTEMPTS = 3
 
 
 def gate_of(task: str, metric: str | None = None, goal: str | None = None,
@@ -54,47 +66,100 @@ def attempt_improvements(attempts: DataFrame, score_col: str, goal: str = "maxim
 
 
 # ---------------------------------------------------------------- H2 metric -> search score
-class MetricEvaluator:
-    """H2: an evaluator computing the run's own metric (same averaging as the
-    final scoring, Q10) from the distributed aggregates in ``metrics``."""
+def score_of(pred: DataFrame, task: str, metric: str, label: str, n_classes: int) -> float | None:
+    """H2: the run's own metric (same averaging as the final scoring, Q10); None where it is not
+    defined (no probabilities, one class only, NaN)."""
+    if metric == "roc_auc":
+        if n_classes <= 2 and "rawPrediction" in pred.columns:
+            value = BinaryClassificationEvaluator(labelCol=label).evaluate(pred)
+        elif n_classes > 2 and "probability" in pred.columns:
+            value = me.roc_auc_ovr(pred.withColumn("p", vector_to_array("probability")), label, "p",
+                                   classes=[float(i) for i in range(n_classes)]).first()[0]
+        else:
+            value = None
+    elif task in ("classification", "nlp_classification"):
+        value = me.classification_metrics(pred, label, "prediction",
+                                          positive=1.0 if n_classes <= 2 else None).first().asDict().get(metric)
+    else:
+        value = me.regression_metrics(pred, label, "prediction").first().asDict().get(metric)
+    return None if value is None or math.isnan(value) else float(value)
+
 
-    def __new__(cls, task: str, metric: str, label: str, n_classes: int):
-        from pyspark.ml.evaluation import Evaluator
+class MetricEvaluator(Evaluator):
+    """``score_of`` for Spark's cross validator; a missing score is the worst one."""
 
-        from . import metrics as me
+    def __init__(self, task: str, metric: str, label: str, n_classes: int, goal: str = "maximize"):
+        super().__init__()
+        self.task, self.metric, self.label, self.n_classes, self.goal = task, metric, label, n_classes, goal
 
-        class _Eval(Evaluator):
-            def _evaluate(self, dataset):
-                if metric == "roc_auc" and n_classes <= 2 and "rawPrediction" in dataset.columns:
-                    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-                    return BinaryClassificationEvaluator(labelCol=label).evaluate(dataset)
-                if task in ("classification", "nlp_classification"):
-                    row = me.classification_metrics(dataset, label, "prediction",
-                                                    positive=1.0 if n_classes <= 2 else None).first()
-                else:
-                    row = me.regression_metrics(dataset, label, "prediction").first()
-                v = row[metric] if metric in row.asDict() else None
-                worst = float("-inf") if self.isLargerBetter() else float("inf")
-                return float(v) if v is not None else worst  # a missing score never wins
+    def _evaluate(self, dataset):
+        value = score_of(dataset, self.task, self.metric, self.label, self.n_classes)
+        return (-math.inf if self.isLargerBetter() else math.inf) if value is None else value
 
-            def isLargerBetter(self):
-                return metric not in ("rmse", "mae")
+    def isLargerBetter(self):
+        return self.goal == "maximize"
 
-        return _Eval()
+
+# ---------------------------------------------------------------- H1 search
+def random_search(train: DataFrame, name: str, task: str, label: str, n_classes: int, n_rows: int, keys: list[str],
+                  metric: str, goal: str = "maximize", weight: str | None = None, seed: int = 42):
+    """H1: (best model refitted on all rows, [(setting, mean score)], index of the best).
+
+    A seeded sample of the grid is scored on three folds cut by the row keys (X6).  One-vs-rest
+    estimators are searched as a whole: the settings go to their inner classifier.
+    """
+    grid = mo.PARAM_GRIDS[name]
+    settings = [dict(zip(sorted(grid), v)) for v in itertools.product(*[grid[k] for k in sorted(grid)])]
+    n = mo.search_size(grid)
+    if len(settings) > n:
+        settings = random.Random(seed).sample(settings, n)
+    est = mo.get_model(name, task, n_classes=n_classes, n_rows=n_rows, label=label, weight=weight)
+    inner = est.getClassifier() if hasattr(est, "getClassifier") else est
+    maps = [{inner.getParam("regParam"): 1.0 / (v * max(n_rows, 1))} if k == "C" else {inner.getParam(k): v}
+            for s in settings for k, v in s.items()]
+    width = len(grid)
+    maps = [{p: v for m in maps[i * width:(i + 1) * width] for p, v in m.items()} for i in range(len(settings))]
+    folds = cv_folds(train, label if n_classes else None, keys, 3, seed)
+    fitted = CrossValidator(estimator=est, estimatorParamMaps=maps, foldCol="fold", numFolds=3, parallelism=2, seed=seed,
+                            evaluator=MetricEvaluator(task, metric, label, n_classes, goal)).fit(folds)
+    scores = [float(v) if math.isfinite(v) else None for v in fitted.avgMetrics]
+    known = [i for i, v in enumerate(scores) if v is not None]
+    if not known:
+        raise ValueError(f"{metric} is not defined for any setting of {name}")
+    best = (max if goal == "maximize" else min)(known, key=lambda i: scores[i])
+    return fitted.bestModel, list(zip(settings, scores)), best
 
 
 # ---------------------------------------------------------------- H4 correlated pruning
+PAIRS_PER_PASS = 500     # pair aggregates in one plan; more pairs take more passes
+
+
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """All column-pair Pearson correlations in one aggregate (pairwise complete rows),
-    as a tidy (left, right, corr) frame with left before right."""
+    """All column-pair Pearson correlations as a tidy (left, right, corr) frame, left before right.
+
+    Columns without nulls share one pass that builds the matrix of products; a pair with nulls is
+    one aggregate over its complete rows.  The result has one row for every two columns.  A
+    constant column has no correlation (NULL).
+    """
+    spark, schema = df.sparkSession, "left string, right string, corr double"
+    if len(cols) < 2:
+        return spark.createDataFrame([], schema)
+    x = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    r = x.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(c) for c in x.columns]).first()
+    full = [i for i in range(len(cols)) if r["n"] and r[f"c{i}"] == r["n"]]
+    found = {}
+    if len(full) > 1:
+        vec = VectorAssembler(inputCols=[f"c{i}" for i in full], outputCol="v").transform(x)
+        corr = Correlation.corr(vec, "v").first()[0].toArray()
+        found = {(i, j): float(corr[a, b]) for a, i in enumerate(full) for b, j in enumerate(full) if a < b}
     pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "left string, right string, corr double")
-    one = df.agg(*[F.corr(F.col(cols[i]).cast("double"), F.col(cols[j]).cast("double")).alias(f"_c{k}")
-                   for k, (i, j) in enumerate(pairs)])
-    entries = F.array(*[F.struct(F.lit(cols[i]).alias("left"), F.lit(cols[j]).alias("right"),
-                                 F.col(f"_c{k}").alias("corr")) for k, (i, j) in enumerate(pairs)])
-    return one.select(F.explode(entries).alias("e")).select("e.*")
+    rest = [p for p in pairs if p not in found]
+    for at in range(0, len(rest), PAIRS_PER_PASS):
+        part = rest[at:at + PAIRS_PER_PASS]
+        row = x.agg(*[F.corr(f"c{i}", f"c{j}") for i, j in part]).first()
+        found.update(zip(part, row))
+    value = lambda p: None if found[p] is None or math.isnan(found[p]) else found[p]
+    return spark.createDataFrame([(cols[i], cols[j], value((i, j))) for i, j in pairs], schema)
 
 
 def correlated_columns(df: DataFrame, cols: list[str], limit: float = 0.95) -> DataFrame:
@@ -102,165 +167,3 @@ def correlated_columns(df: DataFrame, cols: list[str], limit: float = 0.95) -> D
     a column goes even if the earlier one goes too)."""
     return (correlation_pairs(df, cols).where(F.abs(F.col("corr")) > limit)
             .select(F.col("right").alias("column_name")).distinct())
-
-
-# ---------------------------------------------------------------- H1/H3/H6 driver for J3
-class ImproveContext:
-    """Holds the fitted preprocessing and feature tables of one improvement job."""
-
-    def __init__(self, spark, task, target, train, val, spec, metric, goal, threshold, seed=42):
-        from ..functions.ordering import materialize
-        from . import features as fe
-        self.spark, self.task, self.target = spark, task, target
-        self.train_raw, self.val_raw, self.spec = train, val, spec
-        self.metric, self.goal, self.threshold, self.seed = metric, goal, threshold, seed
-        self.fitted = fe.fit_features(train, spec)
-        self.label, self.n_classes, self.indexer = "label", 0, None
-        if task in ("classification", "nlp_classification"):
-            self.indexer = fe.label_indexer(target).fit(train)
-            self.label, self.n_classes = "label_idx", len(self.indexer.labels)
-        self.train_f = materialize(self._featurize(train, self.fitted), "improve-train")
-        self.val_f = materialize(self._featurize(val, self.fitted), "improve-val")
-        self.n_rows = self.train_f.count()
-
-    def _featurize(self, d, fitted):
-        out = fitted.transform(d)
-        if self.indexer is not None:
-            out = self.indexer.transform(out)
-        else:
-            out = out.withColumn("label", F.col(self.target).cast("double"))
-        return out.select("features", self.label)
-
-    def evaluator(self):
-        return MetricEvaluator(self.task, self.metric, self.label, self.n_classes)
-
-    def score_model(self, name, params=None, train_f=None, val_f=None):
-        from . import models as mo
-        est = mo.get_model(name, self.task, n_classes=self.n_classes, n_rows=self.n_rows,
-                           label=self.label, params=params)
-        model = est.fit(train_f if train_f is not None else self.train_f)
-        pred = model.transform(val_f if val_f is not None else self.val_f)
-        return self.evaluator().evaluate(pred), model
-
-    def passes(self, score) -> bool:
-        if score is None:
-            return False
-        return score >= self.threshold if self.goal == "maximize" else score <= self.threshold
-
-    def better(self, new, old) -> bool:
-        if old is None:
-            return new is not None
-        if new is None:
-            return False
-        return new > old if self.goal == "maximize" else new < old
-
-    def _log(self, log, attempt, strategy, name, params, score, secs, improved):
-        log.append({"attempt": attempt, "strategy": strategy, "model_name": name, "parameters": params,
-                    "validation_score": round(score, 4) if score is not None else None,
-                    "training_duration": round(secs, 2), "improved": improved})
-
-    def tune(self, attempt, best, log) -> bool:
-        """H1: seeded random sample of the grid, 3 folds (X6 fold column), refit best."""
-        import itertools
-        import random
-        import time
-
-        from pyspark.ml.tuning import CrossValidator
-
-        from . import models as mo
-        from .split import cv_folds
-        grid = mo.PARAM_GRIDS.get(best["name"], {})
-        if not grid:
-            self._log(log, attempt, "hyperparameter_tuning", best["name"], {}, None, 0.0, False)
-            return False
-        keys = sorted(grid)
-        combos = [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
-        n = search_size_for(grid)
-        chosen = combos if len(combos) <= n else random.Random(self.seed).sample(combos, n)
-        est = mo.get_model(best["name"], self.task, n_classes=self.n_classes, n_rows=self.n_rows,
-                           label=self.label)
-        inner = est.getClassifier() if hasattr(est, "getClassifier") else est
-        maps = []
-        for c in chosen:
-            m = {}
-            for k, v in c.items():
-                if k == "C":
-                    m[inner.getParam("regParam")] = 1.0 / (v * max(self.n_rows, 1))
-                elif inner.hasParam(k):
-                    m[inner.getParam(k)] = v
-            maps.append(m)
-        folds = cv_folds(self.train_f.withColumn("_rid", F.monotonically_increasing_id()),
-                         self.label if self.n_classes else None, ["_rid"], 3, self.seed).drop("_rid")
-        cv = CrossValidator(estimator=inner if inner is not est else est, estimatorParamMaps=maps,
-                            evaluator=self.evaluator(), foldCol="fold", parallelism=2, seed=self.seed)
-        t0 = time.perf_counter()
-        try:
-            cvm = cv.fit(folds)
-        except Exception:  # noqa: BLE001
-            self._log(log, attempt, "hyperparameter_tuning", best["name"], {}, None, 0.0, False)
-            return False
-        secs = time.perf_counter() - t0
-        score = self.evaluator().evaluate(cvm.bestModel.transform(self.val_f))
-        i = max(range(len(cvm.avgMetrics)), key=lambda j: cvm.avgMetrics[j]
-                if self.goal == "maximize" else -cvm.avgMetrics[j])
-        params = {k: str(v) for k, v in chosen[i].items()}
-        imp = self.better(score, best["score"])
-        self._log(log, attempt, "hyperparameter_tuning", best["name"], params, score, secs, imp)
-        if imp:
-            best.update(score=score, model=cvm.bestModel)
-        return self.passes(score if imp else best["score"])
-
-    def alternatives(self, attempt, best, log) -> bool:
-        """H3: untried models of the family; stop early when the gate passes."""
-        import time
-
-        from . import models as mo
-        tried = [r["model_name"] for r in log] + [best["name"]]
-        alts = mo.alternative_models(self.task, tried)
-        if not alts:
-            self._log(log, attempt, "alternative_model", "none", {}, None, 0.0, False)
-            return False
-        for name in alts:
-            t0 = time.perf_counter()
-            try:
-                score, model = self.score_model(name)
-            except Exception:  # noqa: BLE001
-                continue
-            imp = self.better(score, best["score"])
-            self._log(log, attempt, "alternative_model", name, {}, score, time.perf_counter() - t0, imp)
-            if imp:
-                best.update(score=score, model=model, name=name)
-            if self.passes(score):
-                return True
-        return self.passes(best["score"])
-
-    def data_changes(self, attempt, best, log) -> bool:
-        """H6: drop correlated numeric columns (H4), refit on the reduced features."""
-        import time
-        from dataclasses import replace
-
-        from ..functions.ordering import materialize
-        from . import features as fe
-        drop = [r["column_name"] for r in correlated_columns(self.train_raw, self.spec.numerical).collect()]
-        actions = [f"Dropped {len(drop)} correlated features"] if drop else []
-        # Q12: text columns keep their text role
-        spec = replace(self.spec, numerical=[c for c in self.spec.numerical if c not in drop])
-        fitted = fe.fit_features(self.train_raw, spec)
-        tr = materialize(self._featurize(self.train_raw, fitted), "improve-train-reduced")
-        va = materialize(self._featurize(self.val_raw, fitted), "improve-val-reduced")
-        t0 = time.perf_counter()
-        score, model = self.score_model(best["name"], train_f=tr, val_f=va)
-        imp = self.better(score, best["score"])
-        self._log(log, attempt, "data_improvement", best["name"], {"actions": "; ".join(actions)}, score,
-                  time.perf_counter() - t0, imp)
-        if imp:
-            best.update(score=score, model=model, fitted=fitted)
-        return self.passes(score if imp else best["score"])
-
-    def eval_score(self, model, eval_raw, fitted=None):
-        """Q15: score of a model on the held-out part, featurised as it was trained."""
-        return self.evaluator().evaluate(model.transform(self._featurize(eval_raw, fitted or self.fitted)))
-
-
-def search_size_for(grid: dict) -> int:
-    return min(20, max(5, 3 * len(grid)))

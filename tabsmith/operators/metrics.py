@@ -9,9 +9,8 @@ AUC = sum(pos * (neg_below + neg_tied / 2)) / (P * N).
 
 from __future__ import annotations
 
-import time
-
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,7 +120,7 @@ def roc_auc_ovr(df: DataFrame, y, probs, classes: list | None = None) -> DataFra
     run = with_prefix_sums(g, [F.col("_i"), F.col("_s")], {"_cum": F.col("_neg")}, inclusive=False)
     # class-local running count = global running count - count at the class start
     start = run.groupBy("_i").agg(F.min("_cum").alias("_c0"))
-    run = run.join(F.broadcast(start), "_i").withColumn("_neg_below", F.col("_cum") - F.col("_c0"))
+    run = run.join(start, "_i").withColumn("_neg_below", F.col("_cum") - F.col("_c0"))
     per = run.groupBy("_i").agg(F.try_divide(
         F.sum(F.col("_pos") * (F.col("_neg_below") + F.col("_neg") / 2.0)),
         (F.sum("_pos") * F.sum("_neg")).cast("double")).alias("_auc"))
@@ -148,58 +147,21 @@ def regression_metrics(df: DataFrame, y, p, by: list[str] | None = None) -> Data
 
 
 # ---------------------------------------------------------------- E11
-def silhouette_sq_euclidean(df: DataFrame, features, cluster, max_literal: int = 2_000_000) -> DataFrame:
-    """Exact silhouette with squared Euclidean distance, from per-cluster aggregates.
-
-    mean ||x - y||^2 over cluster C = ||x||^2 - 2 x.S_C / N_C + Q_C / N_C with
-    S_C = sum of points, Q_C = sum of squared norms; own cluster divides by N_A - 1.
-    The cluster table is k x d numbers (checked against ``max_literal``) and is
-    shipped with the plan; no pairs of points are formed.
-    """
-    arr = _c(features)
-    if not isinstance(df.select(arr).schema.fields[0].dataType, T.ArrayType):
-        arr = vector_to_array(arr)
-    pts = df.select(_c(cluster).alias("_k"), F.transform(arr, lambda v: v.cast("double")).alias("_x"))
-    pts = pts.withColumn("_sq", F.aggregate("_x", F.lit(0.0), lambda acc, v: acc + v * v))
-    ex = pts.select("_k", F.posexplode("_x").alias("_i", "_v"))
-    sums = ex.groupBy("_k", "_i").agg(F.sum("_v").alias("_s"))
-    cnt = pts.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.sum("_sq").alias("_q"))
-    n_k = cnt.count()
-    dims = sums.agg(F.max("_i")).first()[0]
-    if n_k * ((dims or 0) + 1) > max_literal:
-        raise ValueError("cluster table too large to ship with the plan")
-    cl = (sums.groupBy("_k").agg(F.sort_array(F.collect_list(F.struct("_i", "_s"))).alias("_ss"))
-          .join(cnt, "_k").collect())
-    lit = F.array(*[F.struct(F.lit(r["_k"]).alias("k"), F.lit(int(r["_n"])).alias("n"),
-                             F.lit(float(r["_q"])).alias("q"),
-                             F.array(*[F.lit(float(e["_s"])) for e in r["_ss"]]).alias("s"))
-                    for r in cl])
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, z: s + z)
-    d = pts.withColumn("_cl", lit).withColumn("_d", F.transform("_cl", lambda c: F.struct(
-        c["k"].alias("k"), c["n"].alias("n"),
-        (c["n"] * F.col("_sq") - 2 * dot(F.col("_x"), c["s"]) + c["q"]).alias("num"))))
-    own = F.filter("_d", lambda e: e["k"] == F.col("_k"))[0]
-    other = F.array_min(F.transform(F.filter("_d", lambda e: e["k"] != F.col("_k")),
-                                    lambda e: e["num"] / e["n"]))
-    a = F.when(own["n"] > 1, own["num"] / (own["n"] - 1))
-    s = (F.when(own["n"] <= 1, F.lit(0.0))
-         .otherwise(F.coalesce(F.try_divide(other - a, F.greatest(a, other)), F.lit(0.0))))
-    return d.select(s.alias("_sil")).agg(F.avg("_sil").alias("silhouette_score"))
-
-
-# ---------------------------------------------------------------- E12 / E13
+def silhouette_sq_euclidean(df: DataFrame, features, cluster) -> DataFrame:
+    """Exact silhouette with squared Euclidean distance (Spark's evaluator: per-cluster sums,
+    no pairs of points).  One row; NULL with fewer than two clusters or no rows."""
+    spark = df.sparkSession
+    vec = _c(features)
+    if isinstance(df.select(vec).schema.fields[0].dataType, T.ArrayType):
+        vec = array_to_vector(vec.cast("array<double>"))
+    pts = df.select(vec.alias("features"), _c(cluster).cast("double").alias("prediction")).na.drop()
+    value = None
+    if pts.select("prediction").distinct().limit(2).count() > 1:
+        value = float(ClusteringEvaluator(distanceMeasure="squaredEuclidean").evaluate(pts))
+    return spark.createDataFrame([(value,)], "silhouette_score double")
+
+
+# ---------------------------------------------------------------- E12
 def anomaly_ratio(df: DataFrame, p) -> DataFrame:
     """Share of -1 predictions; 0 for no rows."""
     return df.agg(F.coalesce(F.avg((_c(p) == -1).cast("double")), F.lit(0.0)).alias("anomaly_ratio"))
-
-
-class Stopwatch:
-    """Driver clock around an action (fit), 4 places."""
-
-    def __enter__(self):
-        self.t0 = time.perf_counter()
-        return self
-
-    def __exit__(self, *exc):
-        self.seconds = round(time.perf_counter() - self.t0, 4)
-        return False

@@ -8,16 +8,16 @@ presets of Spark's gradient-boosted trees.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordering import materialize, with_global_index
+
 SEED = 42
 DEFAULT_TREE_DEPTH = 10   # scikit-learn grows trees without limit; Spark allows at most 30
 
@@ -123,63 +123,45 @@ def search_size(grid: dict) -> int:
 
 
 # ---------------------------------------------------------------- G1-G4
-def feature_names_from_metadata(df: DataFrame, col: str = "features") -> list[str] | None:
-    """Names from the ML attribute metadata of an assembled vector column."""
-    meta = df.schema[col].metadata.get("ml_attr", {})
-    attrs = meta.get("attrs", {})
-    if not attrs:
-        return None
-    pairs = [(a["idx"], a.get("name", f"feature_{a['idx']}")) for group in attrs.values() for a in group]
-    return [n for _, n in sorted(pairs)]
-
-
 def native_importances(model, names: list[str]) -> dict[str, float] | None:
-    """G1 tree importances, G2 |coefficients| (first class row when multinomial)."""
-    vec = None
+    """G1 tree importances (one-vs-rest: mean over the classes' trees), G2 |coefficients| (first
+    class row when multinomial); G4 names.  None for a model that has neither."""
     if hasattr(model, "featureImportances"):
         vec = model.featureImportances.toArray()
+    elif hasattr(model, "models"):
+        vec = sum(m.featureImportances.toArray() for m in model.models) / max(len(model.models), 1)
     elif hasattr(model, "coefficientMatrix") and getattr(model, "numClasses", 2) > 2:
-        vec = [abs(v) for v in model.coefficientMatrix.toArray()[0]]
+        vec = abs(model.coefficientMatrix.toArray()[0])
     elif hasattr(model, "coefficients"):
-        vec = [abs(v) for v in model.coefficients.toArray()]
-    if vec is None:
+        vec = abs(model.coefficients.toArray())
+    else:
         return None
-    out = {}
-    for i, v in enumerate(vec):
-        out[names[i] if i < len(names) else f"feature_{i}"] = float(v)
-    return out
+    return {names[i] if i < len(names) else f"feature_{i}": float(v) for i, v in enumerate(vec)}
 
 
-def permutation_importance(model, df: DataFrame, names: list[str], features: str = "features",
-                           output: str = "prediction", max_rows: int = 20_000, seed: int = SEED):
-    """G3 (re-aimed SHAP): per feature, share / size of prediction change when that
-    feature takes the value of another row.
+def permutation_importance(model, df: DataFrame, names: list[str], keys: list[str], features: str = "features",
+                           output: str = "prediction", discrete: bool = True, seed: int = SEED) -> dict[str, float]:
+    """G3 (re-aimed SHAP): how much predictions change when one feature takes another row's value.
 
-    Rows are a seeded sample of at most ~``max_rows`` (the explanation is
-    bounded, like the reference's 100-row background).  The donor row is the
-    next row in a hash order (a lag over a window partitioned by a hash
-    bucket); all feature copies are scored in one ``transform``.
+    All rows take part.  Rows are ordered by a hash of their *keys*, and a row's donor is the row
+    before it (the last one for the first), so equal rows have different donors.  ``discrete``:
+    share of changed predictions (classes, clusters), else the mean absolute change.  The copies
+    (rows x features) are scored as they are made and only summed; nothing wider is shuffled.
+    Defined cases: no rows give 0 for every feature.
     """
-    from pyspark.sql import Window
-
     n = df.count()
-    frac = min(1.0, max_rows / n) if n else 1.0
-    s = df.select(features).sample(False, frac, seed) if frac < 1.0 else df.select(features)
-    s = s.withColumn("_x", vector_to_array(features)).withColumn(
-        "_h", F.xxhash64(F.col("_x").cast("string"), F.lit(seed)))
-    buckets = max(1, int(math.ceil(min(n, max_rows) / 5000)))
-    w = Window.partitionBy(F.pmod(F.col("_h"), F.lit(buckets))).orderBy("_h")
-    s = s.withColumn("_donor", F.coalesce(F.lag("_x", 1).over(w), F.last("_x").over(
-        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    base = model.transform(s.select(features, "_x", "_donor", "_h")).select(
-        "_h", "_x", "_donor", F.col(output).alias("_p0"))
-    d = len(names)
-    ex = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("_j"))
-    from pyspark.ml.functions import array_to_vector
-    ex = ex.withColumn(features, array_to_vector(F.transform(
+    if not n:
+        return {name: 0.0 for name in names}
+    rows = df.select(*keys, features, vector_to_array(features).alias("_x")).withColumn(
+        "_h", F.xxhash64(F.lit(seed), *keys))
+    rows = materialize(with_global_index(rows, [F.col("_h"), *[F.col(k) for k in keys]], "_i"), "importance-rows")
+    donors = rows.select(((F.col("_i") + 1) % n).alias("_i"), F.col("_x").alias("_donor"))
+    base = model.transform(rows.select("_i", features, "_x")).select(
+        "_i", "_x", F.col(output).cast("double").alias("_p0"))
+    copies = base.join(donors, "_i").select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_j"))
+    copies = copies.withColumn(features, array_to_vector(F.transform(
         "_x", lambda v, i: F.when(i == F.col("_j"), F.col("_donor")[i]).otherwise(v))))
-    scored = model.transform(ex.drop(output) if output in ex.columns else ex)
-    diff = F.abs(F.col(output).cast("double") - F.col("_p0").cast("double"))
-    agg = scored.groupBy("_j").agg(F.avg(diff).alias("imp")).collect()
-    return {names[r["_j"]] if r["_j"] < len(names) else f"feature_{r['_j']}": float(r["imp"] or 0.0)
-            for r in agg}
+    change = F.abs(F.col(output).cast("double") - F.col("_p0"))
+    change = (change > 0).cast("double") if discrete else change
+    per = model.transform(copies.drop("_x", "_donor")).groupBy("_j").agg(F.avg(change).alias("v")).collect()
+    return {names[r["_j"]]: float(r["v"] or 0.0) for r in per}

@@ -145,18 +145,6 @@ def role_of(dtype: T.DataType, n_distinct: int | None, avg_len: float | None) ->
     return None
 
 
-def role_expr(dtype_col: str = "data_type", distinct_col: str = "n_distinct",
-              len_col: str = "avg_len"):
-    """A5 as a CASE over a profile frame (data_type as simpleString)."""
-    dt = F.col(dtype_col)
-    numeric = dt.isin("tinyint", "smallint", "int", "bigint", "float", "double") | dt.startswith("decimal")
-    return (F.when(numeric, "numerical")
-            .when((dt == "string") & (F.col(distinct_col) > TEXT_MIN_DISTINCT)
-                  & (F.col(len_col) > TEXT_MIN_AVG_LEN), "text")
-            .when(dt.isin("string", "boolean"), "categorical")
-            .when(dt.isin("timestamp", "timestamp_ntz", "date"), "datetime"))
-
-
 def column_profile(df: DataFrame, target: str | None = None, exact: bool | str = "auto") -> DataFrame:
     """Tidy profile, one row per column (A1-A5), target flagged."""
     stats = column_stats(df, exact)

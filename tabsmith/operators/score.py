@@ -34,18 +34,26 @@ def history(runs: DataFrame, n: int = 50, order_col: str = "id") -> DataFrame:
 
 # ---------------------------------------------------------------- S14 load / I1 batch scoring
 def load_model(path: str, spark=None):
-    """Load a saved Spark ML model by the class recorded in its metadata (or our own models)."""
+    """Load a saved Spark ML model by the class recorded in its metadata, or one of our own
+    by the table that it writes (looked up where the path lies, not on the driver's disk)."""
     import importlib
-    import os
 
     from pyspark.ml.util import DefaultParamsReader
+    from pyspark.sql import SparkSession
 
-    if os.path.exists(os.path.join(path.replace("file:", ""), "nodes")):
+    from ..sources.io import path_exists
+    spark = spark or SparkSession.getActiveSession()
+    if path_exists(spark, f"{path}/nodes"):
         from .unsupervised import IsolationForestModel
         return IsolationForestModel.load(path, spark)
-    from pyspark import SparkContext
-    meta = DefaultParamsReader.loadMetadata(path, SparkContext._active_spark_context)
+    if path_exists(spark, f"{path}/core"):
+        from .dbscan import DBSCANModel
+        return DBSCANModel.load(path, spark)
+    meta = DefaultParamsReader.loadMetadata(path, spark.sparkContext)
     jcls = meta["class"]
+    if jcls.startswith("pyspark."):
+        mod, cls = jcls.rsplit(".", 1)
+        return getattr(importlib.import_module(mod), cls).load(path)
     mod, cls = jcls.rsplit(".", 1)
     pymod = importlib.import_module(mod.replace("org.apache.spark.ml", "pyspark.ml"))
     return getattr(pymod, cls).load(path)
@@ -59,7 +67,7 @@ def score_batch(df: DataFrame, features_model, model, labels: list[str] | None =
     pred = F.col("prediction")
     if labels:
         arr = F.array(*[F.lit(v) for v in labels])
-        pred = F.element_at(arr, F.col("prediction").cast("int") + 1)
+        pred = F.get(arr, F.col("prediction").cast("int"))
     conf = F.lit(None).cast("double")
     if "probability" in out.columns:
         from pyspark.ml.functions import vector_to_array

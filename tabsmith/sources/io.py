@@ -25,7 +25,8 @@ SOURCE_TYPES = ("csv", "json", "sql", "parquet")
 def load(spark: SparkSession, source, source_type: str = "csv", schema=None,
          multiline_json: bool | None = None) -> DataFrame:
     """CSV with header and inferred types, JSON, SQL query (``(url, query)``
-    for JDBC or a query text over registered views), parquet.  NaN -> NULL."""
+    or ``(url, query, column, low, high, tasks)`` for JDBC, or a query text over registered
+    views), parquet.  NaN -> NULL."""
     if source_type not in SOURCE_TYPES:
         raise ValueError(f"Unsupported source type: {source_type}")  # S4
     if source_type == "csv":
@@ -46,8 +47,15 @@ def load(spark: SparkSession, source, source_type: str = "csv", schema=None,
         df = r.option("multiLine", bool(multiline_json)).json(source)
     elif source_type == "sql":
         if isinstance(source, (tuple, list)):
-            url, query = source
-            df = spark.read.format("jdbc").option("url", url).option("query", query).load()
+            url, query, *bounds = source
+            r = spark.read.format("jdbc").option("url", url)
+            if bounds:  # read in ranges of a numeric column, one task each
+                column, low, high, parts = bounds
+                r = (r.option("dbtable", f"({query}) q").option("partitionColumn", column)
+                     .option("lowerBound", low).option("upperBound", high).option("numPartitions", parts))
+            else:
+                r = r.option("query", query)
+            df = r.load()
         else:
             df = spark.sql(source)
     else:
@@ -112,13 +120,24 @@ def read_run_meta(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path).first()["value"])
 
 
-def export_per_model(metrics: DataFrame, importances: DataFrame, path: str) -> None:
-    """Metrics and importances per model as CSV, one job per table
-    (``partitionBy(model_name)`` writes one folder per model)."""
+def export_per_model(metrics: DataFrame, importances: DataFrame, path: str,
+                     shared: dict[str, DataFrame] | None = None) -> None:
+    """Metrics and importances per model as CSV, one job per table (``partitionBy(model_name)``
+    writes one folder per model), and the run's shared tables (arrays and maps as JSON text)."""
     metrics.write.mode("overwrite").option("header", True).partitionBy("model_name").csv(f"{path}/metrics")
-    imp = importances.join(metrics.select(F.col("id").alias("metric_id"), "model_name"), "metric_id", "left_semi") \
-        .join(metrics.select(F.col("id").alias("metric_id"), "model_name"), "metric_id")
-    imp.write.mode("overwrite").option("header", True).partitionBy("model_name").csv(f"{path}/importances")
+    names = metrics.select(F.col("id").alias("metric_id"), "model_name")
+    importances.join(names, "metric_id").write.mode("overwrite").option("header", True) \
+        .partitionBy("model_name").csv(f"{path}/importances")
+    for name, df in (shared or {}).items():
+        flat = [F.to_json(f"`{c}`").alias(c) if t.startswith(("array", "map", "struct")) else F.col(f"`{c}`")
+                for c, t in df.dtypes]
+        df.select(*flat).write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system that it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def save_model(model, path: str, spark: SparkSession | None = None) -> None:
@@ -127,3 +146,8 @@ def save_model(model, path: str, spark: SparkSession | None = None) -> None:
         model.write().overwrite().save(path)
     else:
         model.save(path, spark)
+
+
+def score_csv(spark: SparkSession, source: str, target: str, score) -> None:
+    """Read a batch as CSV, apply ``score`` (DataFrame -> DataFrame), write the result as CSV."""
+    score(load(spark, source, "csv")).write.mode("overwrite").option("header", True).csv(target)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.score import score_batch
 from ..session import scratch_path
 
 
@@ -25,10 +26,10 @@ def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet",
             .option("maxFilesPerTrigger", files_per_trigger).load(path))
 
 
-def score_stream(stream: DataFrame, features_model, model, keep: list[str]) -> DataFrame:
-    """ST2: score each micro-batch with a saved pipeline (I1 on a stream)."""
-    out = model.transform(features_model.transform(stream))
-    return out.select(*keep, F.col("prediction").alias("predicted_value"))
+def score_stream(stream: DataFrame, features_model, model, keep: list[str],
+                 labels: list[str] | None = None) -> DataFrame:
+    """ST2: I1 on each micro-batch: label and confidence from a saved pipeline."""
+    return score_batch(stream, features_model, model, labels=labels, keep=keep)
 
 
 def running_metrics(stream: DataFrame, y: str, p: str, run_col: str | None = None,
