@@ -134,6 +134,12 @@ def random_search(train: DataFrame, name: str, task: str, label: str, n_classes:
 PAIRS_PER_PASS = 500     # pair aggregates in one plan; more pairs take more passes
 
 
+def _pair_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation over complete pairs; NULL where a side is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b)))
+
+
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """All column-pair Pearson correlations as a tidy (left, right, corr) frame, left before right.
 
@@ -156,7 +162,7 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     rest = [p for p in pairs if p not in found]
     for at in range(0, len(rest), PAIRS_PER_PASS):
         part = rest[at:at + PAIRS_PER_PASS]
-        row = x.agg(*[F.corr(f"c{i}", f"c{j}") for i, j in part]).first()
+        row = x.agg(*[_pair_corr(F.col(f"c{i}"), F.col(f"c{j}")) for i, j in part]).first()
         found.update(zip(part, row))
     value = lambda p: None if found[p] is None or math.isnan(found[p]) else found[p]
     return spark.createDataFrame([(cols[i], cols[j], value((i, j))) for i, j in pairs], schema)
