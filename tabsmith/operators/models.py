@@ -152,16 +152,16 @@ def permutation_importance(model, df: DataFrame, names: list[str], keys: list[st
     n = df.count()
     if not n:
         return {name: 0.0 for name in names}
-    rows = df.select(*keys, features, vector_to_array(features).alias("_x")).withColumn(
+    rows = df.select(*keys, features, vector_to_array(features).alias("_vec")).withColumn(
         "_h", F.xxhash64(F.lit(seed), *keys))
     rows = materialize(with_global_index(rows, [F.col("_h"), *[F.col(k) for k in keys]], "_i"), "importance-rows")
-    donors = rows.select(((F.col("_i") + 1) % n).alias("_i"), F.col("_x").alias("_donor"))
-    base = model.transform(rows.select("_i", features, "_x")).select(
-        "_i", "_x", F.col(output).cast("double").alias("_p0"))
+    donors = rows.select(((F.col("_i") + 1) % n).alias("_i"), F.col("_vec").alias("_donor"))
+    base = model.transform(rows.select("_i", features, "_vec")).select(
+        "_i", "_vec", F.col(output).cast("double").alias("_p0"))
     copies = base.join(donors, "_i").select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_j"))
     copies = copies.withColumn(features, array_to_vector(F.transform(
-        "_x", lambda v, i: F.when(i == F.col("_j"), F.col("_donor")[i]).otherwise(v))))
+        "_vec", lambda v, i: F.when(i == F.col("_j"), F.col("_donor")[i]).otherwise(v))))
     change = F.abs(F.col(output).cast("double") - F.col("_p0"))
     change = (change > 0).cast("double") if discrete else change
-    per = model.transform(copies.drop("_x", "_donor")).groupBy("_j").agg(F.avg(change).alias("v")).collect()
+    per = model.transform(copies.drop("_vec", "_donor")).groupBy("_j").agg(F.avg(change).alias("v")).collect()
     return {names[r["_j"]]: float(r["v"] or 0.0) for r in per}
