@@ -1,12 +1,17 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-A candidate is a word of some length that holds a digit or mixed case in an unusual
-amount (a wide net).  The forest sees its length, its character transitions (under
+A candidate is a run of key characters (printable ASCII without quotes, brackets and list
+marks) of some length that holds digits or mixed case in an unusual amount (a wide net), in
+words of any length and beside any byte.  Issuer formats, private key blocks and values
+assigned to names of secrets are candidates of their own at any length, wherever they stand
+in a word; they are cut out of the run around them, so candidates don't overlap.  A word that
+passes the net with no such run of 8 bytes is a candidate as a whole.  The forest sees its length, its character transitions (under
 letter-pair counts of all documents), the share that dictionary words cover (common
 short words of all documents), whether it looks like a path or address, and the
 words beside it.  It learns from labelled findings: issuer formats and assignments to
-names of secrets are secrets, addresses, numbers, dates and links are not; candidates
-without a label are left to the forest.  It is fitted on at most ``train_rows``
+names of secrets are secrets, whatever harmless form they have otherwise (a link but for its
+own parts); addresses, numbers, dates and links are not; candidates without a label are left
+to the forest, and a labelled secret stays one whatever the forest says.  It is fitted on at most ``train_rows``
 findings, those with the smallest hash (the documented bound of the fit); counts cover
 all documents.
 
@@ -31,13 +36,19 @@ from .trees import Forest, random_forest
 
 TRAIN_ROWS = 20_000
 DICTIONARY = 4096        # most common short words that may be sent to all tasks
-SHORTEST, LONGEST = 12, 512
+SHORTEST = 12            # bytes of a word in the wide net; its value may have 4 less
+CONTEXT = 64             # bytes that are read of a word beside a candidate, and of a name
 SLICE_BYTES = 2 << 20
 REDACTED = "[SECRET]"
 
 # Formats that issuers publish, and names that secrets are assigned to.
-ISSUED = re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}"
-                    r"|[sr]k_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_.-]{10,}")
+ISSUED = re.compile(rb"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+                    rb"|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9])|[sr]k_live_[A-Za-z0-9]{16,}|glpat-[A-Za-z0-9_-]{20,}"
+                    rb"|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_.-]{10,}"
+                    rb"|-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----)[^\0])*-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----"
+                    rb"|(?:(?:\\[rn]|\s)*[A-Za-z0-9+/=]{16,})+)")
+ISSUED_HEADS = [b"AKIA", b"ASIA", *(b"gh%c_" % c for c in b"pousr"), *(b"xox%c-" % c for c in b"abprs"), b"AIza", b"sk_live_", b"rk_live_",
+                b"glpat-", b"eyJ", b"-----BEGIN "]
 NAMES = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential|private[_-]?key)$", re.I)
 HARMLESS = [re.compile(p) for p in (
     r"[\w.+-]+@[\w-]+(\.[\w-]+)+", r"[+(]?[\d().\s+-]+", r"\d{1,3}(\.\d{1,3}){3}(:\d+)?", r"\d{4}-\d{2}-\d{2}.*", r"(https?|ftp)://.*",
@@ -47,6 +58,18 @@ FEATURES = ["length", "digits", "upper", "lower", "other", "distinct", "entropy"
             "word_before_known", "word_after_known", "longest_digits"]
 _SPACE = tk.space_words()
 _TRIM = "\"'`,;:()[]{}<>"
+_KEY = np.zeros(256, bool)
+_KEY[33:127] = True
+_KEY[list(b"\"'`,;(){}[]<>|&?")] = False
+_QUOTE = rb"\\?[\"'`]|\xe2\x80[\x98-\x9f]"
+_LEFT = re.compile(rb"([A-Za-z_][\w-]*)(?:" + _QUOTE + rb"|[\])])*[ \t]*$")
+_RIGHT = re.compile(rb"(?::=|=>|[=:]+)(?!//)([ \t]*)(" + _QUOTE + rb")?")
+_CLOSED = {b'"': rb'(?:[^"\\\r\n]|\\[^\r\n])+', b"'": rb"(?:[^'\\\r\n]|\\[^\r\n])+", b"`": rb"[^`\r\n]+"}
+_CLOSED = {k: re.compile(v + rb"(?=" + k + rb")") for k, v in _CLOSED.items()}
+_CLOSED_ESCAPED = re.compile(rb"[^\"'`\\\r\n]+(?=\\[\"'`])")
+_CLOSED_CURLY = re.compile(rb"(?:(?!\xe2\x80[\x98-\x9f])[^\r\n])+(?=\xe2\x80[\x98-\x9f])")
+# An open value of a secret's name: ASCII but blanks, quotes and list marks, and Latin letters with accents.
+_OPEN = re.compile(rb"(?:[!#-%(-+\--:<-_a-~]|[\xc3-\xc9][\x80-\xbf])+")
 
 
 @dataclass
@@ -116,48 +139,142 @@ class Candidate:
     after: str
 
 
+def _issued(raw: bytes, off: np.ndarray) -> list[tuple[int, int]]:
+    """Spans of issuer formats, in order and apart from each other; none reaches out of its text."""
+    heads = []
+    for head in ISSUED_HEADS:
+        at = raw.find(head)
+        while at >= 0:
+            heads.append(at)
+            at = raw.find(head, at + 1)
+    out: list[tuple[int, int]] = []
+    for at in sorted(heads):
+        if (not out or at >= out[-1][1]) and (m := ISSUED.match(raw, at, int(off[np.searchsorted(off, at, "right")]))):
+            out.append((at, at + len(m[0].rstrip(b"."))))
+    return out
+
+
+def _assigned(raw: bytes, at: int, low: int, high: int):
+    """(name, start of the name, start and end of the value, quoted, blank) of the pair whose sign stands at ``at``;
+    the value of another name than a secret's has no end."""
+    left = _LEFT.search(raw, max(low, at - 2 * CONTEXT), at)
+    right = _RIGHT.match(raw, at, high)
+    if not left or not right or right.end() >= high:
+        return None
+    name, start, quote = left[1].decode(), right.end(), right[2]
+    end = None
+    if NAMES.search(name):
+        m = None
+        if quote:
+            m = (_CLOSED_CURLY if quote[0] > 127 else _CLOSED_ESCAPED if len(quote) > 1 else _CLOSED[quote]).match(raw, start, high)
+        if m is None and (m := _OPEN.match(raw, start, high)):
+            value = m[0].decode("utf-8", "replace").rstrip(_TRIM + ".!?")
+            start += len(m[0]) - len(m[0].lstrip(_TRIM.encode()))
+            end = m.start() + len(value.encode())
+        elif m:
+            end = m.end()
+        if end is not None and (end <= start or raw[start:start + 2] == b"//" or re.match(rb"(https?|ftp)://", raw[start:end])):
+            end = None
+    return name, left.start(), start, end, bool(quote), bool(right[1])
+
+
 def candidates(buf: np.ndarray, off: np.ndarray) -> list[Candidate]:
     start, end, woff = tk.words(buf, off, _SPACE)
     if not len(start):
         return []
-    sums = [np.concatenate([[0], np.cumsum(m)]) for m in (
-        (buf >= 48) & (buf <= 57), (buf >= 65) & (buf <= 90), (buf >= 97) & (buf <= 122), buf >= 128)]
-    digits, upper, lower, high = (s[end] - s[start] for s in sums)
-    n = end - start
-    pick = (n >= SHORTEST) & (n <= LONGEST) & (high == 0) & ((digits >= 2) | ((upper >= 3) & (lower >= 3)) | (upper >= 10) & (digits >= 1))
     raw = buf.tobytes()
+    digits, upper, lower, high = (np.concatenate([[0], np.cumsum(m)]) for m in (
+        (buf >= 48) & (buf <= 57), (buf >= 65) & (buf <= 90), (buf >= 97) & (buf <= 122), buf >= 128))
+
+    def net(i, j):
+        d, u, w = (s[j] - s[i] for s in (digits, upper, lower))
+        return (d >= 2) | ((u >= 3) & (w >= 3)) | ((u >= 10) & (d >= 1))
+
+    fixed = [(i, j, "", False) for i, j in _issued(raw, off)]     # candidates whatever their form
+    named: dict[int, tuple[str, int, bool]] = {}             # start of a value: its name, start of the name, quoted
+    ops: list[tuple[int, int]] = []                          # signs and quotes between a name and its value in one word
+    sign = np.flatnonzero((buf == 58) | (buf == 61))
+    if len(sign):
+        sign = sign[np.concatenate([[True], sign[1:] != sign[:-1] + 1])]
+        text = np.searchsorted(off, sign, "right") - 1
+        for at, lo, hi in zip(sign.tolist(), off[text].tolist(), off[text + 1].tolist(), strict=True):
+            pair = _assigned(raw, at, lo, hi)
+            if pair is None:
+                continue
+            name, left, first, last, quoted, blank = pair
+            named[first] = (name, left, quoted)
+            if last is not None:
+                fixed.append((first, last, name, quoted))
+            if not blank:
+                ops.append((at, first))
+    taken: list[tuple[int, int, str, bool]] = []             # apart from each other, the earlier and longer first
+    for i, j, name, quoted in sorted(fixed, key=lambda x: (x[0], -x[1], -len(x[2]))):
+        if not taken or i >= taken[-1][1]:
+            taken.append((i, j, name, quoted))
+        elif j > taken[-1][1]:
+            k = taken[-1]
+            taken[-1] = (k[0], j, k[2], k[3])
+
+    # Runs of key characters: cut at pair signs and at what is taken.
+    key = _KEY[buf]
+    for i, j in ops:
+        key[i:j] = False
+    for i, j, _, _ in taken:
+        key[i:j] = False
+    n = end - start
+    pick = (n >= SHORTEST) & net(start, end)
+    rs, re_, _ = tk.words(np.where(key, buf, np.uint8(32)), off, _SPACE)
+    word = np.searchsorted(start, rs, "right") - 1
+    use = (re_ - rs >= SHORTEST - 4) & pick[word] if len(rs) else np.zeros(0, bool)
+    rs, re_, word = rs[use], re_[use], word[use]
+    many = np.bincount(word, minlength=len(start))
+    touched = np.zeros(len(start), bool)
+    for i, j, _, _ in taken:
+        touched[max(0, int(np.searchsorted(start, i, "right")) - 1):int(np.searchsorted(start, j, "left"))] = True
+    found = [(i, j, name, quoted, False) for i, j, name, quoted in taken]
+    for i, j, w in zip(rs.tolist(), re_.tolist(), word.tolist(), strict=True):
+        name, left, quoted = named.get(i, ("", i, i > 0 and raw[i - 1:i] in (b'"', b"'", b"`")))
+        if many[w] == 1 and not touched[w] or net(max(left, int(start[w])), j) and j - max(left, int(start[w])) >= SHORTEST - 4:
+            found.append((i, j, name, quoted, True))
+    for w in np.flatnonzero(pick & (many == 0) & ~touched & (high[end] == high[start])).tolist():
+        found.append((int(start[w]), int(end[w]), "", raw[start[w]:start[w] + 1] in (b'"', b"'", b"`"), True))
+
+    def context(w, last):
+        return (raw[max(start[w], end[w] - CONTEXT):end[w]] if last else raw[start[w]:min(end[w], start[w] + CONTEXT)]).decode("utf-8", "replace")
+
     out = []
-    word = lambda i: raw[start[i]:end[i]].decode("utf-8", "replace")
-    for i in np.flatnonzero(pick).tolist():
-        d = int(np.searchsorted(woff, i, "right")) - 1
-        whole = raw[start[i]:end[i]].decode()
-        name, at = "", 0
-        m = re.match(r"[\"'`(]*([A-Za-z_][\w-]*)[\"'`]?\s*[=:]+(?!//)", whole)
-        before = [word(k) for k in range(max(int(woff[d]), i - 2), i)]
-        if m:
-            name, at = m[1], m.end()
-        elif len(before) == 2 and before[1] in ("=", ":", ":=", "=>"):
-            name = before[0].strip(_TRIM)
-        elif before and before[-1][-1:] in "=:":
-            name = before[-1].rstrip("=:").strip(_TRIM)
-        value = whole[at:]
-        lead = len(value) - len(value.lstrip(_TRIM))
-        quoted = value[:1] in "\"'`"
-        value = value.strip(_TRIM).rstrip(".!?")
-        if len(value) >= SHORTEST - 4:
-            after = word(i + 1) if i + 1 < woff[d + 1] else ""
-            out.append(Candidate(d, int(start[i] - off[d]) + at + lead, value, name, quoted, before, after))
+    for i, j, name, quoted, free in sorted(found):
+        value = raw[i:j].decode("utf-8", "replace")
+        if free:
+            lead = len(value) - len(value.lstrip(_TRIM))
+            value = value.strip(_TRIM).rstrip(".!?")
+            i += lead
+            if len(value) < SHORTEST - 4:
+                continue
+        d = int(np.searchsorted(off, i, "right")) - 1
+        w = int(np.searchsorted(start, i, "right")) - 1
+        z = max(w, int(np.searchsorted(start, i + len(value.encode()), "left")) - 1)
+        before = [context(k, True) for k in range(max(int(woff[d]), w - 2), w)]
+        if not name:
+            if len(before) == 2 and before[1] in ("=", ":", ":=", "=>"):
+                name = before[0].strip(_TRIM)
+            elif before and before[-1][-1:] in "=:" and before[-1][-1:]:
+                name = before[-1].rstrip("=:").strip(_TRIM)
+        out.append(Candidate(d, i - int(off[d]), value, name, quoted, before, context(z + 1, False) if z + 1 < woff[d + 1] else ""))
     return out
 
 
 def label(c: Candidate) -> int:
     """Labelled findings: 1 a secret, 0 harmless, -1 unknown."""
-    if ISSUED.fullmatch(c.value):
+    if ISSUED.fullmatch(c.value.encode()):
         return 1
+    if NAMES.search(c.name) and len(c.value) >= 6 and re.search(r"\d", c.value) and re.search(r"[A-Za-z]", c.value) \
+            and not re.match(r"(https?|ftp)://", c.value):
+        return 1
+    if NAMES.search(c.name) and c.quoted:
+        return -1
     if any(p.fullmatch(c.value) for p in HARMLESS):
         return 0
-    if NAMES.search(c.name) and len(c.value) >= 16 and re.search(r"\d", c.value) and re.search(r"[A-Za-z]", c.value):
-        return 1
     return -1
 
 
@@ -184,7 +301,7 @@ def features(c: Candidate, stats: Statistics) -> list[float]:
     known = lambda w: float(w.lower().strip(_TRIM + ".").encode() in stats.dictionary)
     last = c.before[-1] if c.before else ""
     return [n, *share, len(set(v)) / n, float(-(count * np.log2(count)).sum()), float(re.fullmatch(r"[0-9a-fA-F]+", v) is not None),
-            sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / n, float(step.mean()), float((step < -5).mean()),
+            sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / n, float(step.mean()) if n > 1 else 0.0, float((step < -5).mean()) if n > 1 else 0.0,
             covered / n, longest, v.count("/") + v.count("\\"), float("@" in v) + v.count(".") / n, float(c.quoted), float(bool(c.name)),
             float(any(NAMES.search(w.strip(_TRIM + "=")) is not None for w in c.before)), float(NAMES.search(c.name) is not None),
             float(any(x.isdigit() for x in last)), known(last), known(c.after), max((len(x) for x in re.findall(r"\d+", v)), default=0)]
@@ -220,7 +337,8 @@ class Model:
             return np.zeros(0)
         if self.forest is None:
             return np.array([float(label(c) == 1) for c in found])
-        return np.clip(self.forest.raw(np.array([features(c, self.stats) for c in found], float)), 0, 1)
+        sure = np.array([float(label(c) == 1) for c in found])
+        return np.maximum(sure, np.clip(self.forest.raw(np.array([features(c, self.stats) for c in found], float)), 0, 1))
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
