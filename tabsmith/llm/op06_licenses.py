@@ -1,8 +1,9 @@
 """License scans by sentence rules, in DataFrame functions only.
 
 A text is cut into sentences, normalised (A-Z lower-cased, every run of other
-characters than a-z and 0-9 one space).  Sentences that are known licence sentences
-become their identifiers, in order; a licence is recognised when the identifiers of one
+characters than a-z and 0-9 one space).  Known licence sentences become their identifiers,
+in order: whole sentences, and also sentences that are wrapped over several lines (comment
+marks are blanks) or joined by semicolons, as long as no . ! ? or empty line stands in them; a licence is recognised when the identifiers of one
 of its rules occur in that order, other identifiers may stand between.  One projection per
 document: no shuffle, no join, no Python; the tables below are literals of the plan.
 
@@ -69,6 +70,10 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _END = r"[.!?]+([ \t]+|$)|[\r\n]+"
 _OTHER = "[^a-z0-9\x01]+"
 _EDGE = " ?\x01[ \x01]*"
+# For known sentences: \x01 an end that none spans, \x02 a line break and \x03 a semicolon, which they may span or end at.
+_HARD = r"[.!?]+([ \t\r\n]+|$)|(?>\r\n|\r|\n)([^a-z0-9\r\n\x01]*+(?>\r\n|\r|\n))+"
+_OTHER_MARKED = "[^a-z0-9\x01\x02\x03]+"
+_JOIN = "[ \x02\x03]+"
 
 
 def sentence_parts(text: str) -> list[str]:
@@ -92,6 +97,19 @@ def rule_patterns(rules=RULES) -> list[tuple[str, str]]:
     return [(name, "," + ",([0-9]+,)*".join(map(str, ids)) + ",") for name, ids in rules]
 
 
+def sentence_pattern() -> str:
+    """Pattern over a marked text: one known sentence (group 1) between two marks, the longest first."""
+    known = sorted(known_sentences(), key=lambda x: (-len(x), x))
+    return "[\x01-\x03] ?(" + "|".join(_JOIN.join(x.split(" ")) for x in known) + ")(?= ?[\x01-\x03])"
+
+
+def marked(text: Column) -> Column:
+    """Normalised text with its cuts as marks, between two marks."""
+    t = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + "\x02\x03;", _LOWER + "  \x03")
+    t = F.translate(F.regexp_replace(t, _HARD, "\x01"), "\r\n", "\x02\x02")
+    return F.concat(F.lit("\x01"), F.regexp_replace(t, _OTHER_MARKED, " "), F.lit("\x01"))
+
+
 def sentences(text: Column) -> Column:
     """Normalised sentences of a text, in order."""
     t = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
@@ -103,18 +121,17 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(doc_id, n_sentences, sentence_ids, licenses): identifiers in order, recognised licences sorted by name."""
     table = known_sentences()
     known = F.create_map(*[x for s, i in table.items() for x in (F.lit(s), F.lit(i))])
-    longest = max(map(len, table))
-    cut = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("s"))
-    # Sentences longer than any known one are not looked up.
-    ids = F.transform(F.filter("s", lambda x: (F.length(x) <= longest) & F.map_contains_key(known, x)), lambda x: known[x])
-    found = cut.select("doc_id", F.size("s").cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
+    text = F.col(text_col)
+    hits = F.regexp_extract_all(marked(text), F.lit(sentence_pattern()), F.lit(1))
+    ids = F.transform(hits, lambda x: known[F.regexp_replace(x, _JOIN, " ")])
+    found = docs.select(F.col(id_col).alias("doc_id"), F.size(sentences(text)).cast("long").alias("n_sentences"), ids.alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(","))
     hits = [F.when(line.rlike(pattern), F.lit(name)) for name, pattern in rule_patterns()]
     return found.select("doc_id", "n_sentences", "sentence_ids", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits)))).alias("licenses"))
 
 
 def duckdb_sql() -> str:
-    """The same in DuckDB SQL."""
+    """The same in DuckDB SQL, for notices that stand in one line each without clauses of their own behind a semicolon."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     sent = ", ".join(f"({quoted(s)}, {i})" for s, i in known_sentences().items())
     rules = ", ".join(f"({quoted(n)}, {quoted(p)})" for n, p in rule_patterns())
