@@ -5,7 +5,10 @@ elements, optional end tags of p, li, dt/dd, option, table parts), then all
 visible text is rendered: hidden elements and attributes are skipped, blocks
 are separated by line breaks (headings, paragraphs and tables by an empty line), lists
 get bullets or numbers, table columns are aligned, white space is collapsed
-outside pre.  Pages are independent: one map over the rows, no shuffle; the tree is built
+outside pre.  Formulas (MathML), text elements of drawings (SVG), fields, the options that a
+list shows and the content of object elements are visible; aria-hidden concerns screen
+readers only.  Style sheets aren't read, so a formula that a page holds twice (MathML and
+HTML) is rendered twice.  Pages are independent: one map over the rows, no shuffle; the tree is built
 and walked without recursion, so depth is bounded by memory of the page only.
 
 Defined results: a null or empty page has an empty text; broken markup never fails (an
@@ -24,7 +27,13 @@ from pyspark.sql import functions as F
 
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("head script style template noscript iframe object svg math canvas audio video datalist select textarea title".split())
+HIDDEN = set("head script style template noscript iframe canvas audio video datalist title".split())
+UNSHOWN = set("defs symbol desc metadata clippath mask pattern marker annotation annotation-xml mphantom".split())  # in svg and math
+LEAVES = set("""b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p
+pre ruby s small span strong strike sub sup table tt u ul var""".split())  # these end svg and math
+MATH_TEXT = set("mi mo mn ms mtext".split())
+MATH_PARTS = set("mfrac msup msub msubsup munder mover munderover mroot mtr mmultiscripts".split())  # their children stand apart
+FIELDS = set("text search tel url email number date month week time datetime-local button submit reset".split())
 RAW = set("script style textarea title iframe noembed noframes xmp".split())
 BLOCK = set("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table ul""".split())
@@ -33,7 +42,7 @@ LISTS = set("ul ol menu dir".split())
 CELLS = {"td", "th"}
 PARTS = {"thead", "tbody", "tfoot"}
 # An opening tag closes these open elements, up to a boundary.
-CLOSES = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+CLOSES = {"li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
           "tr": ({"tr", "caption", "colgroup"} | CELLS, {"table"}), "td": (CELLS | {"caption"}, {"tr", "table"}), "th": (CELLS | {"caption"}, {"tr", "table"}),
           **{p: (PARTS | {"tr"} | CELLS | {"caption", "colgroup"}, {"table"}) for p in PARTS}}
 ENDS_P = BLOCK - {"body", "html"}
@@ -41,14 +50,24 @@ ENDS_P = BLOCK - {"body", "html"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_UNQUOTED = re.compile(r"=\s*[^\s\"'][^\s\"']*/$")  # a slash that belongs to a value
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
+    __slots__ = ("tag", "attrs", "children", "foreign")
 
-    def __init__(self, tag: str, attrs: dict[str, str]):
+    def __init__(self, tag: str, attrs: dict[str, str], foreign: str = ""):
         self.tag, self.attrs, self.children = tag, attrs, []
+        self.foreign = foreign  # "svg" outside its text elements, "text" inside, "math", or "" for HTML
+
+
+def _foreign(tag: str, parent: Node) -> str:
+    if tag in ("svg", "math"):
+        return tag
+    if tag == "foreignobject" or parent.foreign == "math" and parent.tag in MATH_TEXT:
+        return ""
+    return "text" if tag == "text" and parent.foreign == "svg" else parent.foreign
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -101,14 +120,18 @@ def parse(page: str) -> Node:
             close({"p"}, {"table", "td", "th", "button"})
         if tag in CLOSES:
             close(*CLOSES[tag])
-        node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else {})
+        if tag in LEAVES and not (stack[-1].foreign == "math" and stack[-1].tag in MATH_TEXT):
+            while stack[-1].foreign:
+                stack.pop()
+        node = Node(tag, _attributes(m[3]) if m[3].strip(" /") else {}, _foreign(tag, stack[-1]))
         stack[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or node.foreign and m[3][-1:] == "/" and not _UNQUOTED.search(m[3]):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             stop = end.start() if end else size
-            node.children.append(page[at:stop])
+            text = page[at:stop]
+            node.children.append(re.sub(r"^\r?\n", "", html.unescape(text)) if tag == "textarea" else text)
             at = end.end() if end else size
             continue
         stack.append(node)
@@ -117,7 +140,8 @@ def parse(page: str) -> Node:
 
 def hidden(node: Node) -> bool:
     a = node.attrs
-    return (node.tag in HIDDEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+    return (node.tag in HIDDEN or "hidden" in a
+            or bool(node.foreign) and (node.tag in UNSHOWN or a.get("display") == "none" or a.get("visibility") == "hidden")
             or bool(_NONE.search(a.get("style", ""))) or node.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
@@ -201,6 +225,36 @@ def _render_table(rows: list[list[str]]) -> list[str]:
     return out
 
 
+def _options(node: Node) -> list:
+    """What a select shows: the chosen option, or all options and group names of a list of several lines."""
+    size = node.attrs.get("size", "")
+    every = "multiple" in node.attrs or size.isdigit() and int(size) > 1
+    shown: list = []
+    chosen = first = None
+    walk = [(c, False) for c in reversed(node.children)]
+    while walk:
+        n, off = walk.pop()
+        if isinstance(n, str) or hidden(n):
+            continue
+        off = off or "disabled" in n.attrs
+        if n.tag == "option":
+            text = n.attrs.get("label")
+            one = _wrap(text) if text else n
+            shown.append(one)
+            if "selected" in n.attrs:
+                chosen = one
+            if first is None and not off:
+                first = one
+        else:
+            if n.tag == "optgroup" and n.attrs.get("label"):
+                shown.append(_wrap(n.attrs["label"]))
+            walk += [(c, off) for c in reversed(n.children)]
+    if every:
+        return shown
+    one = chosen or first
+    return [one] if one else []
+
+
 def render(root: Node) -> str:
     """Visible text of a tree."""
     # Work items: (node or text or callable, lines, pre, list state)
@@ -228,7 +282,30 @@ def render(root: Node) -> str:
         if tag == "img" and node.attrs.get("alt"):
             out.text(f" {node.attrs['alt']} ", False)
             continue
-        gap = 2 if tag in SPACED else 1 if tag in BLOCK or tag in CELLS or tag in ("tr", "caption") else 0
+        if tag == "input":
+            kind = node.attrs.get("type", "text").lower()
+            name = {"submit": "Submit", "reset": "Reset"}.get(kind, "")
+            if kind in FIELDS and (text := node.attrs.get("value", name) or node.attrs.get("placeholder")):
+                out.text(f" {text} ", False)
+            continue
+        if tag == "select":
+            shown = _options(node)
+            for child in reversed(shown):
+                if len(shown) > 1:
+                    todo.append(("do", lambda out=out: setattr(out, "gap", max(out.gap, 1))))
+                    todo.append(("node", child, out, False, None))
+                    todo.append(("do", lambda out=out: setattr(out, "gap", max(out.gap, 1))))
+                else:
+                    todo += [("node", " ", out, False, None), *[("node", c, out, False, None) for c in reversed(child.children)], ("node", " ", out, False, None)]
+            continue
+        if tag == "textarea":
+            text = "".join(node.children)
+            if text.strip() or node.attrs.get("placeholder"):
+                out.gap = max(out.gap, 1)
+                out.text(text if text.strip() else node.attrs["placeholder"], True)
+                out.gap = max(out.gap, 1)
+            continue
+        gap = 2 if tag in SPACED else 1 if tag in BLOCK or tag in CELLS or tag in ("tr", "caption") or node.foreign and tag in ("text", "mtr") else 0
         if tag in LISTS and counter is not None:
             gap = 1  # a list in a list
         deep = 2 if tag in LISTS or tag in ("blockquote", "dd") else 0
@@ -249,8 +326,11 @@ def render(root: Node) -> str:
                 out.mark = ""
 
         todo.append(("do", leave))
-        for child in reversed(node.children):
+        inside = [c for c in node.children if isinstance(c, Node)] if node.foreign == "svg" else node.children
+        for child in reversed(inside):
             todo.append(("node", child, out, pre or tag == "pre", inner))
+            if node.foreign == "math" and tag in MATH_PARTS:
+                todo.append(("node", " ", out, False, None))
     return top.done()
 
 
