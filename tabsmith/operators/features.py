@@ -25,7 +25,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Imputer, Normalizer,
                                 OneHotEncoder, RegexTokenizer, SQLTransformer, StandardScaler,
-                                StringIndexer, VectorAssembler)
+                                StringIndexer, StringIndexerModel, VectorAssembler)
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,12 +145,22 @@ def with_class_weights(df: DataFrame, weights: DataFrame, label: str, col: str =
 
 # ---------------------------------------------------------------- F8
 def label_indexer(label: str, out: str = "label_idx") -> StringIndexer:
-    """F8: label -> index in ascending value order.  Exactly the classes of the training part;
-    rows with a label that training never saw are left out when metrics are taken."""
+    """F8: label -> index in ascending value order.  Exactly the classes of the training part
+    (``with_label_index`` keeps rows of other classes)."""
     return StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc",
                          handleInvalid="skip")
 
 
+def with_label_index(df: DataFrame, label: str, labels: list[str], out: str = "label_idx") -> DataFrame:
+    """F8 for every labelled row: a class that training never saw gets an index of its own beyond the
+    model's classes (from its hash), so its rows are scored and count as errors.  Rows without a label go."""
+    kept = StringIndexerModel.from_labels(labels, inputCol=label, outputCol="__idx", handleInvalid="keep")
+    df = kept.transform(df.where(F.col(f"`{label}`").isNotNull()))
+    beyond = (F.lit(len(labels)) + F.pmod(F.xxhash64(F.col(f"`{label}`").cast("string")), F.lit(1 << 52))).cast("double")
+    index = F.when(F.col("__idx") < len(labels), F.col("__idx")).otherwise(beyond)
+    return df.withColumn(out, index.alias(out, metadata={"ml_attr": {"type": "nominal", "name": out, "vals": list(labels)}})).drop("__idx")
+
+
 # ---------------------------------------------------------------- F4 / F6: the column transformer
 @dataclass
 class FeatureSpec:

@@ -71,7 +71,9 @@ def score_of(pred: DataFrame, task: str, metric: str, label: str, n_classes: int
     defined (no probabilities, one class only, NaN)."""
     if metric == "roc_auc":
         if n_classes <= 2 and "rawPrediction" in pred.columns:
-            value = BinaryClassificationEvaluator(labelCol=label).evaluate(pred)
+            # a class beyond the model's two is a negative one
+            hit = pred.withColumn(label, (F.col(label) == 1.0).cast("double"))
+            value = BinaryClassificationEvaluator(labelCol=label).evaluate(hit)
         elif n_classes > 2 and "probability" in pred.columns:
             value = me.roc_auc_ovr(pred.withColumn("p", vector_to_array("probability")), label, "p",
                                    classes=[float(i) for i in range(n_classes)]).first()[0]
@@ -79,7 +81,8 @@ def score_of(pred: DataFrame, task: str, metric: str, label: str, n_classes: int
             value = None
     elif task in ("classification", "nlp_classification"):
         value = me.classification_metrics(pred, label, "prediction",
-                                          positive=1.0 if n_classes <= 2 else None).first().asDict().get(metric)
+                                          positive=1.0 if n_classes <= 2 else None,
+                                          n_classes=n_classes).first().asDict().get(metric)
     else:
         value = me.regression_metrics(pred, label, "prediction").first().asDict().get(metric)
     return None if value is None or math.isnan(value) else float(value)

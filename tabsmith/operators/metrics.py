@@ -80,8 +80,11 @@ def _one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
-def classification_metrics(df: DataFrame, y, p, positive=None) -> DataFrame:
-    """Binary rule when y has at most 2 classes, macro otherwise (reference's choice)."""
+def classification_metrics(df: DataFrame, y, p, positive=None, n_classes: int | None = None) -> DataFrame:
+    """Binary rule when y has at most 2 classes, macro otherwise (reference's choice); with the number of
+    the model's classes also macro when y holds a class beyond them, which the binary rule may not count."""
+    if n_classes is not None and not df.where(_c(y) >= n_classes).isEmpty():
+        return macro_metrics(df, y, p)
     n_cls = df.select(_c(y)).where(_c(y).isNotNull()).distinct().limit(3).count()
     if n_cls > 2:
         return macro_metrics(df, y, p)
