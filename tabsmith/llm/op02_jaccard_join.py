@@ -206,6 +206,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     searched = described.filter("tokens is not null").select(
         "class", "n", "own", *[F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)], "tokens").dropDuplicates(["class"])
     sets = materialize(searched.join(reps, "class").drop("class"), "classes")
+    # An id that stands in several classes joins them.
+    several = described.filter("doc_id is not null").select("doc_id", F.xxhash64("class").alias("h")).groupBy("doc_id").agg(
+        F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("doc_id")
+    same = described.select("doc_id", "class").join(several, "doc_id").join(reps, "class").select(
+        F.col("rep").alias("a"), F.col("doc_id").alias("b")).filter("a <> b").distinct()
     if boundary is None:
         boundary = boundary_by_cost(sets, sim)
     keys = materialize(_emit(sets, boundary, sim), "keys")
@@ -224,7 +229,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lists = listed.groupBy("key", "band").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).filter("c > 1")
     best = (listed.join(lists.drop("c"), ["key", "band"]).filter("rep <> hub").groupBy("rep", "hub").agg(F.count("*").alias("c"))
             .groupBy("rep").agg(F.max_by("hub", "c").alias("hub")))
-    first = materialize(_verify(best.toDF("a", "b"), sets, sim).unionByName(links), "links")
+    first = materialize(_verify(best.toDF("a", "b"), sets, sim).unionByName(links).unionByName(same), "links")
     label = components(first)
 
     # Then: pairs that still are in different components, by the first shared posting's bounds.
@@ -243,6 +248,6 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     label = components(materialize(rest.unionByName(first), "links"))
 
     out = described.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "class").join(reps, "class", "left")
-    out = out.join(label.toDF("rep", "component_id"), "rep", "left")
+    out = out.join(label.toDF("node", "component_id"), F.coalesce("rep", "doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"),
                       F.coalesce("component_id", "rep", "doc_id").alias("component_id"))

@@ -164,14 +164,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         edges.append(found.filter("edge").select(F.col("x").alias("a"), F.col("y").alias("b")))
         counts.append(found.filter("not edge").select(F.col("x").alias("k1"), F.col("y").alias("n")))
     if edges:
+        # An id that stands in several classes joins them.
+        several = rows.filter("vec_id is not null").select("vec_id", F.xxhash64("k1", "k2").alias("h")).groupBy("vec_id").agg(
+            F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo <> hi").select("vec_id")
+        edges.append(rows.select("vec_id", "k1", "k2").join(several, "vec_id").join(classes.select("k1", "k2", "id"), ["k1", "k2"])
+                     .select(F.col("id").alias("a"), F.col("vec_id").alias("b")).filter("a <> b").distinct())
         label = components(_union(edges))
         links = _union(counts).groupBy("k1").agg(F.sum("n").alias("n"))
     else:
         label = spark.createDataFrame([], "node long, component long")
         links = spark.createDataFrame([], "k1 long, n long")
     info = classes.select("k1", "k2", "id", "copies")
-    info = info.join(links, "k1", "left").join(label.toDF("id", "component"), "id", "left")
+    info = info.join(links, "k1", "left")
     out = rows.select("vec_id", "k1", "k2").join(info, ["k1", "k2"], "left")
+    out = out.join(label.toDF("node", "component"), F.coalesce("id", "vec_id") == F.col("node"), "left")
     component = F.coalesce("component", "id", "vec_id")
     return out.select("vec_id", F.coalesce(F.col("copies") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
                       F.coalesce("id", "vec_id").alias("class_id"), component.alias("component_id"),
