@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (op01_bpe, op02_jaccard_join, op03_phrases, op04_grid_join, op05_quality, op06_licenses, op07_suffix_trees,
-               op08_secrets, op09_html, op10_decontaminate)
+               op08_secrets, op09_html, op10_decontaminate, op12_alignment)
 from .base import register, table
 
 
@@ -130,3 +130,11 @@ def op8(spark, sf_dir):
     return found.select("doc_id", "n_candidates", F.size("secrets").cast("long").alias("n_secrets"),
                         F.transform("secrets", lambda x: x["start"]).alias("starts"),
                         F.transform("secrets", lambda x: F.sha2(x["value"], 256)).alias("values_sha256"))
+
+
+@register("op12_cross_tokenizer_alignment")
+def op12(spark, sf_dir):
+    import public_tokenizers as public
+    found = op12_alignment.align(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
+    found = found.withColumn("groups_sha256", op12_alignment.groups_sha256()).drop("groups")
+    return op12_alignment.count_links(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
