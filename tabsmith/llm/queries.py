@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import (op01_bpe, op02_jaccard_join, op03_phrases, op04_grid_join, op05_quality, op06_licenses, op07_suffix_trees,
-               op08_secrets, op09_html, op10_decontaminate, op12_alignment)
+               op08_secrets, op09_html, op10_decontaminate, op11_exact_dedup, op12_alignment, op13_whitening)
 from .base import register, table
 
 
@@ -138,3 +138,21 @@ def op12(spark, sf_dir):
     found = op12_alignment.align(table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
     found = found.withColumn("groups_sha256", op12_alignment.groups_sha256()).drop("groups")
     return op12_alignment.count_links(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+OP11_SQL = r"""
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+"""
+
+
+@register("op11_exact_dedup", OP11_SQL)
+def op11(spark, sf_dir):
+    found = op11_exact_dedup.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@register("op13_embedding_whitening")
+def op13(spark, sf_dir):
+    return op13_whitening.whiten(table(spark, sf_dir, "embeddings"))
