@@ -49,6 +49,9 @@ def load_model(path: str, spark=None):
     if path_exists(spark, f"{path}/core"):
         from .dbscan import DBSCANModel
         return DBSCANModel.load(path, spark)
+    if path_exists(spark, f"{path}/trees"):
+        from .boosting import BoostedTreesModel
+        return BoostedTreesModel.load(path, spark)
     meta = DefaultParamsReader.loadMetadata(path, spark.sparkContext)
     jcls = meta["class"]
     if jcls.startswith("pyspark."):
