@@ -32,7 +32,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -437,13 +437,20 @@ class Fitting:
         self.bins = Bins.build(edges, groups)
         cell = np.cumsum(self.bins.width)
         self.chunks = [c for c in np.split(np.arange(len(cell)), np.flatnonzero(np.diff((cell - 1) // CHUNK)) + 1) if len(c)]
+        self.blocks: DataFrame | None = None
         self.done: list[list[dict]] = []
         self.trees: list[list[Tree]] = []
         self._read(self._block_rows(rows, start))
 
     def _read(self, blocks: DataFrame) -> None:
-        self.blocks = materialize(blocks, "boost-blocks")
-        self.tasks = self.blocks.rdd.getNumPartitions()
+        """Write the blocks and keep them in memory as far as it reaches: one task per two blocks at least,
+        so that a small table doesn't cost a stage of tiny tasks in each of hundreds of passes."""
+        written = materialize(blocks, "boost-blocks")
+        few = max(1, min(written.rdd.getNumPartitions(), -(-written.count() // 2)))
+        if self.blocks is not None:
+            self.blocks.unpersist()
+        self.blocks = written.coalesce(few).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tasks = few
 
     def _block_rows(self, rows: DataFrame, start: np.ndarray) -> DataFrame:
         bins = self.bins
@@ -598,6 +605,7 @@ class Fitting:
             self.done.append([t.arrays(self.bins) for t in trees])
             if len(self.done) >= KEEP:
                 self._rewrite()
+        self.blocks.unpersist()
         return self.trees
 
 
@@ -658,10 +666,10 @@ class HistogramBoosting(Estimator, _Names, HasMaxIter, HasStepSize, HasSeed):
         rows = df.select(x.alias("x"), F.col(self.getLabelCol()).cast("double").alias("y"), weight.alias("w")).filter("y is not null and not isnan(y) and w > 0")
         if s.loss != "squared":
             rows = rows.filter(F.col("y").between(0, self.n_classes - 1))
-        tasks = df.sparkSession.sparkContext.defaultParallelism
-        if rows.rdd.getNumPartitions() < tasks:      # a small table in few files
-            rows = rows.repartition(tasks)
         rows = materialize(rows, "boost-rows")
+        tasks = min(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // BLOCK_ROWS) or 1)
+        if rows.rdd.getNumPartitions() < tasks:      # few files that hold many rows
+            rows = materialize(rows.repartition(tasks), "boost-rows")
         start = self._start(rows, s)
         fitting = Fitting(rows, s, start)
         trees = fitting.run()
