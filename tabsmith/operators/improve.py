@@ -108,8 +108,7 @@ def random_search(train: DataFrame, name: str, task: str, label: str, n_classes:
                   metric: str, goal: str = "maximize", weight: str | None = None, seed: int = 42):
     """H1: (best model refitted on all rows, [(setting, mean score)], index of the best).
 
-    A seeded sample of the grid is scored on three folds cut by the row keys (X6).  One-vs-rest
-    estimators are searched as a whole: the settings go to their inner classifier.
+    A seeded sample of the grid is scored on three folds cut by the row keys (X6).
     """
     grid = mo.PARAM_GRIDS[name]
     settings = [dict(zip(sorted(grid), v)) for v in itertools.product(*[grid[k] for k in sorted(grid)])]
@@ -117,8 +116,7 @@ def random_search(train: DataFrame, name: str, task: str, label: str, n_classes:
     if len(settings) > n:
         settings = random.Random(seed).sample(settings, n)
     est = mo.get_model(name, task, n_classes=n_classes, n_rows=n_rows, label=label, weight=weight)
-    inner = est.getClassifier() if hasattr(est, "getClassifier") else est
-    maps = [{inner.getParam("regParam"): 1.0 / (v * max(n_rows, 1))} if k == "C" else {inner.getParam(k): v}
+    maps = [{est.getParam("regParam"): 1.0 / (v * max(n_rows, 1))} if k == "C" else {est.getParam(k): v}
             for s in settings for k, v in s.items()]
     width = len(grid)
     maps = [{p: v for m in maps[i * width:(i + 1) * width] for p, v in m.items()} for i in range(len(settings))]

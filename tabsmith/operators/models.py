@@ -2,14 +2,15 @@
 
 Spark ML estimators train distributed (tree aggregation / per-partition
 gradient sums); the driver holds only model parameters.  Names follow the
-reference's model list; the two outside boosting libraries are re-aimed as
-presets of Spark's gradient-boosted trees.
+reference's model list.  Boosted classifiers of more than two classes and the
+second-order preset for classes are trained by softmax / logistic histogram boosting,
+the leaf-wise presets by its best-first growth (``boosting.py``); two-class and
+regression forms of the other presets are Spark's gradient-boosted trees.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import materialize, with_global_index
+from .boosting import HistogramBoosting
 
 SEED = 42
 DEFAULT_TREE_DEPTH = 10   # scikit-learn grows trees without limit; Spark allows at most 30
@@ -57,6 +59,11 @@ DEFAULT_MODELS = {
     "clustering": ["kmeans", "dbscan"],
     "anomaly_detection": ["isolation_forest"],
 }
+# Rounds, depth and rate of the boosted presets (depth 0: any), and what second-order training adds.
+BOOSTED = {"gradient_boosting": dict(maxIter=100, maxDepth=3, stepSize=0.1), "xgboost": dict(maxIter=100, maxDepth=6, stepSize=0.3),
+           "lightgbm": dict(maxIter=100, maxDepth=0, stepSize=0.1)}
+SECOND_ORDER = {"gradient_boosting": dict(regLambda=0.0), "xgboost": dict(regLambda=1.0, minHessian=1.0),
+                "lightgbm": dict(growth="leaf", maxLeaves=31, regLambda=0.0, minInstancesPerNode=20)}
 FAMILIES = {"classification": CLASSIFIERS, "nlp_classification": CLASSIFIERS,
             "regression": REGRESSORS, "time_series_forecasting": REGRESSORS}
 
@@ -95,18 +102,14 @@ def get_model(name: str, task: str = "classification", n_classes: int = 2, n_row
         kw = dict(numTrees=100, featureSubsetStrategy="all", maxDepth=DEFAULT_TREE_DEPTH, seed=SEED)
         kw.update(p)
         return RandomForestRegressor(**kw, **common, **wcol)
-    presets = {"gradient_boosting": (100, 3, 0.1), "xgboost": (100, 6, 0.3), "lightgbm": (100, 5, 0.1)}
-    base = name.replace("_regressor", "")
-    if base in presets:
-        it, depth, step = presets[base]
-        kw = dict(maxIter=it, maxDepth=depth, stepSize=step, seed=SEED)
+    base, regression = name.removesuffix("_regressor"), name.endswith("_regressor")
+    if base in BOOSTED:
+        kw = dict(**BOOSTED[base], seed=SEED)
         kw.update(p)
-        if name.endswith("_regressor"):
-            return GBTRegressor(**kw, **common, **wcol)
-        if n_classes > 2:
-            # binary-only in Spark: one-vs-rest (no probability column)
-            return OneVsRest(classifier=GBTClassifier(**kw), **common, **wcol)
-        return GBTClassifier(**kw, **common, **wcol)
+        if base == "lightgbm" or (not regression and (base == "xgboost" or n_classes > 2)):
+            loss = "squared" if regression else "softmax" if n_classes > 2 else "logistic"
+            return HistogramBoosting(loss, n_classes, **(SECOND_ORDER[base] | kw), **common, **wcol)
+        return GBTRegressor(**kw, **common, **wcol) if regression else GBTClassifier(**kw, **common, **wcol)
     if name == "kmeans":
         kw = dict(k=8, seed=SEED, initMode="k-means||")
         kw.update(p)
@@ -124,12 +127,10 @@ def search_size(grid: dict) -> int:
 
 # ---------------------------------------------------------------- G1-G4
 def native_importances(model, names: list[str]) -> dict[str, float] | None:
-    """G1 tree importances (one-vs-rest: mean over the classes' trees), G2 |coefficients| (first
+    """G1 tree importances, G2 |coefficients| (first
     class row when multinomial); G4 names.  None for a model that has neither."""
     if hasattr(model, "featureImportances"):
         vec = model.featureImportances.toArray()
-    elif hasattr(model, "models"):
-        vec = sum(m.featureImportances.toArray() for m in model.models) / max(len(model.models), 1)
     elif hasattr(model, "coefficientMatrix") and getattr(model, "numClasses", 2) > 2:
         vec = abs(model.coefficientMatrix.toArray()[0])
     elif hasattr(model, "coefficients"):

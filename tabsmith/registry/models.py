@@ -15,7 +15,9 @@ from ..operators import improve as im
 from ..operators import models as mo
 from ..operators import oversample as ov
 from ..operators import score as sc
+from ..operators import shap
 from ..operators import split as sp
+from ..operators.boosting import HistogramBoosting
 from ..operators.unsupervised import IsolationForest
 from ..session import scratch_path
 from ..sources import io
@@ -62,8 +64,10 @@ def _class_rows(model, train, rows, key, label="label_idx", n_classes=2):
     out = model.transform(rows)
     valid = F.col("prediction").isin([float(i) for i in range(n_classes)])
     if "probability" in out.columns:
-        conf = F.array_max(vector_to_array("probability"))
-        valid = valid & (conf >= 1.0 / n_classes - 1e-9) & (conf <= 1 + 1e-9)
+        share = vector_to_array("probability")
+        total = F.aggregate(share, F.lit(0.0), lambda a, b: a + b)
+        conf = F.array_max(share)
+        valid = valid & (conf >= 1.0 / n_classes - 1e-9) & (conf <= 1 + 1e-9) & (F.abs(total - 1) < 1e-9) & (F.size(share) == n_classes)
     return out.select(key, valid.alias("valid"), F.lit(fits).alias("fits"))
 
 
@@ -125,7 +129,7 @@ def m4_random_forest_regressor(spark, sf_dir):
 @register("m5_boosted_classifier_multiclass",
           "SELECT o_orderkey, true AS valid, true AS fits FROM orders WHERE o_orderstatus IS NOT NULL")
 def m5_boosted_classifier_multiclass(spark, sf_dir):
-    """Three-class orders status by one-vs-rest boosted trees (no probability column)."""
+    """Three-class orders status by softmax boosting: shares of three classes that sum to 1."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority") \
         .where("o_orderstatus is not null")
     train = sp.part(sp.stratified_split(o, "o_orderstatus", ["o_orderkey"]), "train")
@@ -200,6 +204,40 @@ def g1_g3_importances(spark, sf_dir):
     return spark.createDataFrame(out, "model_name string, feature_name string, valid boolean")
 
 
+@register("g3_tree_contributions", "SELECT l_orderkey, l_linenumber, true AS adds_up, true AS used_only FROM lineitem")
+def g3_tree_contributions(spark, sf_dir):
+    """Shapley contributions of a leaf-wise boosted model: they and the base sum to the prediction of every line, and
+    features that no split uses contribute nothing."""
+    train, rows = _regression_tables(spark, sf_dir)
+    m = mo.get_model("lightgbm_regressor", "regression", label="label", params={"maxIter": 10}).fit(train)
+    used = F.array(*[F.lit(v > 0) for v in m.featureImportances.toArray().tolist()])
+    out = shap.contributions(m, m.transform(rows).select("l_orderkey", "l_linenumber", "prediction", "features"))
+    phi = F.col("contributions")[0]
+    total = F.aggregate(phi, F.lit(0.0), lambda a, b: a + b)
+    idle = F.aggregate(F.zip_with(F.slice(phi, 1, F.size(phi) - 1), used, lambda v, u: F.when(u, 0.0).otherwise(F.abs(v))), F.lit(0.0), lambda a, b: a + b)
+    return out.select("l_orderkey", "l_linenumber", (F.abs(total - F.col("prediction")) < 1e-6 * (1 + F.abs("prediction"))).alias("adds_up"),
+                      (idle == 0).alias("used_only"))
+
+
+@register("m8_leaf_growth_loss", "SELECT true AS no_worse, true AS shares_sum, CAST(count(*) AS BIGINT) AS n_rows FROM orders WHERE o_orderstatus IS NOT NULL")
+def m8_leaf_growth_loss(spark, sf_dir):
+    """Three classes, 8 leaves a tree: the log loss of best-first growth isn't above that of levels of depth 3."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_orderdate").where("o_orderstatus is not null")
+    o = o.withColumn("day", F.datediff("o_orderdate", F.lit("1992-01-01")))
+    fit = fe.fit_features(o, fe.FeatureSpec(numerical=["o_totalprice", "day"], categorical=["o_orderpriority"]))
+    li = fe.label_indexer("o_orderstatus").fit(o)
+    rows = materialize(li.transform(fit.transform(o)), "query-train")
+    share, own = vector_to_array("probability"), F.col("label_idx").cast("int")
+    loss = F.avg(-F.log(F.greatest(F.get(share, own), F.lit(1e-300))))
+    even = F.abs(F.aggregate(share, F.lit(0.0), lambda a, b: a + b) - 1) < 1e-9
+    got = {}
+    for name, settings in (("level", dict(maxDepth=3)), ("leaf", dict(growth="leaf", maxDepth=0, maxLeaves=8))):
+        m = HistogramBoosting("softmax", len(li.labels), maxIter=8, stepSize=0.3, labelCol="label_idx", **settings).fit(rows)
+        got[name] = m.transform(rows).agg(loss.alias("loss"), F.bool_and(even).alias("even"), F.count("*").alias("n")).first()
+    return spark.createDataFrame([(got["leaf"]["loss"] <= got["level"]["loss"] + 1e-6, got["leaf"]["even"] and got["level"]["even"], got["leaf"]["n"])],
+                                 "no_worse boolean, shares_sum boolean, n_rows long")
+
+
 @register("h1_random_search", """
 SELECT unnest([0.01, 0.1, 1.0, 10.0]::DOUBLE[]) AS "C", true AS valid, CAST(1 AS INTEGER) AS n_best, true AS refitted
 """)
