@@ -2,10 +2,10 @@
 
 Texts are cut by the vocabulary's pattern; the encoding of a piece depends on
 the piece alone.  Each task therefore gathers the distinct pieces of its texts
-and replays the merges on that small corpus once: an inverted index maps a pair
-(by the rank of its merge) to the positions that hold it, the smallest rank is
-applied at all its positions, left to right, and only the pairs that touch a
-merged position are looked up again.  Encoded pieces are remembered across
+and replays the merges on that small corpus once: an inverted index maps the pairs
+(by the rank of their merge, ranks in rising blocks) to the positions that hold them,
+merges are applied in rank order, in all words at once and left to right, and only the
+pairs that touch a merged position are looked up again.  Encoded pieces are remembered across
 batches up to a bound; beyond it the memory is emptied, results don't change.
 No shuffle: memory is that of one slice of texts plus the bounded memory.
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 import gc
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,8 @@ from .textkit import release
 SLICE_BYTES = 2 << 20      # texts handled at a time (one longer text is a slice of its own)
 REMEMBERED = 600_000       # distinct pieces that a task remembers
 LONG_PIECE = 1000          # longer pieces are not remembered
+ID_BITS = 20               # of a token id, so that a pair is one number
+FIRST_BLOCK = 7            # the first block holds 2^(FIRST_BLOCK + 1) ranks, each further one twice as many
 MAX_VOCABULARY = 64 << 20  # bytes of a rank file that may be sent to all tasks
 
 
@@ -47,6 +48,11 @@ class Vocabulary:
         self.pattern = pattern
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class MergeReplay:
     """Encodes distinct pieces; lives in one Python worker."""
 
@@ -60,77 +66,84 @@ class MergeReplay:
             if len(t) == 2:
                 two[t[0], t[1]] = r
         self.two = two
-        self.size = max(ranks.values()) + 1
-        self.pairs = {(ranks[t[:i]] << 20) | ranks[t[i:]]: r for t, r in ranks.items()
-                      for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        size = max(ranks.values()) + 1
+        if size > 1 << ID_BITS:
+            raise ValueError(f"a vocabulary of more than {1 << ID_BITS} ids")
+        pairs = sorted((ranks[t[:i]] << ID_BITS | ranks[t[i:]], r) for t, r in ranks.items()
+                       for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        self.pair_keys, self.pair_ranks = np.array(pairs or [(-1, -1)], np.int64).T.copy()
+        halves = np.stack([self.pair_keys >> ID_BITS, self.pair_keys & ((1 << ID_BITS) - 1)])
+        self.alone = np.zeros(size, bool)         # tokens that make a pair of smaller rank: that one may go before the next of theirs
+        self.alone[halves[halves > self.pair_ranks]] = True
+        self.block_of = np.maximum(np.log2(np.arange(size) + 1).astype(np.int64) - FIRST_BLOCK, 0)
+        self.blocks = int(self.block_of[-1]) + 1
         self.known: dict[str, str] = {}
 
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each two tokens, -1 where there is none."""
+        key = left << ID_BITS | right
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+
     def replay(self, pieces: list[bytes]) -> list[str]:
-        """Token ids of each piece (decimal, comma-joined): merges in rank order over all pieces at once."""
+        """Token ids of each piece (decimal, comma-joined): merges in rank order over all pieces at once.
+
+        The index holds, for each block of ranks, the positions whose pair has such a rank.  Blocks come in
+        rank order; in a block every word merges its smallest rank, left to right, until none of the block
+        is left.  Pairs beside a merge are looked up again and go to the index of their block."""
         raw = np.frombuffer(b"".join(pieces), np.uint8)
-        size = len(raw)
-        ends = np.cumsum([len(p) for p in pieces])
-        first = np.full(size, -1, np.int64)       # rank of the pair that starts at a position
-        first[:-1] = self.two[raw[:-1], raw[1:]]
-        first[ends - 1] = -1
-        after = np.arange(1, size + 1)
+        size, count = len(raw), np.array([len(p) for p in pieces])
+        ends = np.cumsum(count)
+        word = np.repeat(np.arange(len(pieces)), count)
+        tok = self.byte_id[raw]
+        pair = np.full(size, -1, np.int64)       # rank of the pair that starts at a position
+        pair[:-1] = self.two[raw[:-1], raw[1:]]
+        pair[ends - 1] = -1
+        after, before = np.arange(1, size + 1), np.arange(-1, size - 1)
         after[ends - 1] = -1
-        before = np.arange(-1, size - 1)
         before[ends[:-1]] = -1
-        index: list[list[int] | None] = [None] * self.size   # rank -> positions of its pairs
-        at = np.flatnonzero(first >= 0)
-        at = at[np.argsort(first[at], kind="stable")]
-        heap, cut = np.unique(first[at], return_index=True)
-        for r, places in zip(heap.tolist(), np.split(at, cut[1:]), strict=True) if len(at) else ():
-            index[r] = places.tolist()
-        heap = heap.tolist()                      # sorted, so a heap
-        tok, pair, nxt, prv = (x.tolist() for x in (self.byte_id[raw], first, after, before))
-        dead = bytearray(size)
-        rank_of, push, pop = self.pairs.get, heapq.heappush, heapq.heappop
-        while heap:
-            r = pop(heap)
-            places = index[r]
-            if places is None:
-                continue
-            index[r] = None
-            places.sort()
-            for k, p in enumerate(places):
-                if pair[p] != r:
-                    continue
-                q = nxt[p]
-                tok[p] = r
-                dead[q] = 1
-                pair[q] = -1
-                least = r
-                nxt[p] = a = nxt[q]
-                if a >= 0:
-                    prv[a] = p
-                    pair[p] = new = rank_of(r << 20 | tok[a], -1)
-                    if new >= 0:
-                        least = new
-                        if index[new] is None:
-                            index[new] = [p]
-                            push(heap, new)
-                        else:
-                            index[new].append(p)
-                else:
-                    pair[p] = -1
-                b = prv[p]
-                if b >= 0:
-                    pair[b] = new = rank_of(tok[b] << 20 | r, -1)
-                    if new >= 0:
-                        least = new if new < least else least
-                        if index[new] is None:
-                            index[new] = [b]
-                            push(heap, new)
-                        else:
-                            index[new].append(b)
-                if least < r and k + 1 < len(places):  # a smaller rank appeared: it goes first
-                    index[r] = (index[r] or []) + places[k + 1:]
-                    push(heap, r)
-                    break
-        alive = np.flatnonzero(np.frombuffer(dead, np.uint8) == 0)
-        ids = list(map(str, map(tok.__getitem__, alive.tolist())))
+        dead = np.zeros(size, bool)
+        index: list[list[np.ndarray]] = [[] for _ in range(self.blocks)]
+
+        def put(at: np.ndarray, least: int) -> None:
+            at = at[pair[at] >= 0]
+            block = self.block_of[pair[at]]
+            for k in np.unique(block[block >= least]).tolist():
+                index[k].append(at[block == k])
+
+        put(np.arange(size), 0)
+        for k in range(self.blocks):
+            at = _distinct(np.concatenate([np.zeros(0, np.int64), *index[k]]))
+            at = at[(pair[at] >= 0) & (self.block_of[pair[at]] == k)]
+            while len(at):
+                rank, own = pair[at], word[at]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                least = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(at))))
+                hit = rank == least
+                p, r = at[hit], rank[hit]
+                place = np.arange(len(p))        # of overlapping pairs every second one, from the left
+                run = np.concatenate([[True], after[p[:-1]] != p[1:]])
+                keep = (place - np.maximum.accumulate(np.where(run, place, 0))) % 2 == 0
+                keep &= ~self.alone[r] | np.concatenate([[True], word[p[1:]] != word[p[:-1]]])
+                p, r = p[keep], r[keep]
+                q = after[p]
+                tok[p], pair[q], dead[q] = r, -1, True
+                a = after[q]
+                after[p] = a
+                inner = a >= 0
+                before[a[inner]] = p[inner]
+                pair[p] = -1
+                pair[p[inner]] = self._rank(r[inner], tok[a[inner]])
+                b = before[p]
+                inner = b >= 0
+                b = b[inner]
+                pair[b] = self._rank(tok[b], r[inner])
+                put(np.concatenate([p, b]), k + 1)
+                at = np.concatenate([at, b])
+                at = at[pair[at] >= 0]
+                at = _distinct(at[self.block_of[pair[at]] <= k])
+        alive = np.flatnonzero(~dead)
+        ids = list(map(str, tok[alive].tolist()))
         cut = np.searchsorted(alive, ends).tolist()
         return [",".join(ids[i:j]) for i, j in zip([0, *cut[:-1]], cut, strict=True)]
 
@@ -191,20 +204,22 @@ def _map(docs: DataFrame, vocabulary: Vocabulary, steps: str, id_col: str, in_co
     def run(batches):
         bpe = _worker(token, sent)
         gc.disable()  # many small lists, no cycles: passes over the remembered pieces only cost time
-        for b in batches:
-            given = b.column(1).to_pylist()
-            for i, j in _slices(given):
-                part = [t or "" for t in given[i:j]]
-                cols = [b.column(0).slice(i, j - i)]
-                ids = bpe.encode(part) if "e" in steps else part
-                if "e" in steps:
-                    cols += [pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()), pa.array(ids, pa.string())]
-                if "d" in steps:
-                    cols.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
-                yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in schema.split(", ")])
-        bpe.known = {}
-        gc.enable()
-        release()
+        try:
+            for b in batches:
+                given = b.column(1).to_pylist()
+                for i, j in _slices(given):
+                    part = [t or "" for t in given[i:j]]
+                    cols = [b.column(0).slice(i, j - i)]
+                    ids = bpe.encode(part) if "e" in steps else part
+                    if "e" in steps:
+                        cols += [pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()), pa.array(ids, pa.string())]
+                    if "d" in steps:
+                        cols.append(pa.array([bpe.decode(x) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(cols, names=[f.split()[0] for f in schema.split(", ")])
+        finally:
+            bpe.known = {}
+            gc.enable()
+            release()
 
     return docs.select(F.col(id_col).cast("long"), F.col(in_col).cast("string")).mapInArrow(run, schema)
 

@@ -185,7 +185,7 @@ class History:
 
     def lookup(self, digests: DataFrame) -> DataFrame:
         """(digest, doc_id, n, member, winner, before) for distinct ``digests`` (digest, doc_id, n)."""
-        left, found = digests, []
+        left, found = (digests if self.generations else materialize(digests, "first")), []
         for index in self.generations:
             met = self._dealt(left).groupBy("bucket").cogroup(index.groupBy("bucket"))
             got = materialize(met.applyInArrow(_search(self.size), FOUND), "lookup")
@@ -229,7 +229,7 @@ def verdicts(rows: DataFrame, size: int, batches: int = BATCHES) -> DataFrame:
     rows = rows.withColumn("part", part)
     seen = []
     for k in range(len(cuts) + 1):
-        found = materialize(history.lookup(grouped(rows.filter(F.col("part") == k))), "found")
+        found = history.lookup(grouped(rows.filter(F.col("part") == k)))
         history.add(found.filter("not member").select("digest", "doc_id", "n"))
         seen.append(found.select("digest", F.when(F.col("member"), F.col("winner")).otherwise(F.col("doc_id")).alias("keep_id"), "n"))
     out = seen[0]
