@@ -97,30 +97,41 @@ REPLY_SCHEMA = ("task string, target string, drop_columns array<string>, primary
                 "optimization_goal string, reasoning string")
 
 
+def closed_object(text: Column) -> Column:
+    """(json, whole): the first JSON object in ``text``, closed after its last finished field if it is cut off.
+
+    One walk over the characters keeps the depth of brackets, whether a string is open, and whether a key or a
+    value of the outer object is being read.  A field is finished when its string or bracket closes, or a
+    comma ends its number or word.  What stands before the object (prose, fences) and behind it isn't read;
+    NULL without an object."""
+    def step(s, c):
+        quoted, depth = s["quoted"], s["depth"]
+        quote = (c == '"') & ~s["escaped"]
+        opens, closes = ~quoted & c.isin("{", "["), ~quoted & (depth > 0) & c.isin("}", "]")
+        now = depth + F.when(opens & ((depth > 0) | (c == "{")), 1).when(closes, -1).otherwise(0)
+        outer = (depth == 1) & ~quoted
+        ended = s["value"] & (((depth == 1) & quoted & quote) | (closes & (now == 1)))
+        walked = F.struct(
+            (s["at"] + 1).alias("at"), now.alias("depth"), F.when(depth > 0, quoted != quote).otherwise(False).alias("quoted"),
+            (quoted & (c == "\\") & ~s["escaped"]).alias("escaped"),
+            F.when(outer & (c == ":"), True).when(outer & (c == ","), False).otherwise(s["value"]).alias("value"),
+            F.when((depth == 0) & (now == 1), s["at"] + 1).otherwise(s["start"]).alias("start"),
+            F.when(ended, s["at"] + 1).when(outer & s["value"] & (c == ","), s["at"]).otherwise(s["keep"]).alias("keep"),
+            F.when((depth == 1) & (now == 0), s["at"] + 1).otherwise(s["end"]).alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(walked)
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
+                    F.lit(False).alias("value"), F.lit(0).alias("start"), F.lit(0).alias("keep"), F.lit(0).alias("end"))
+    s = F.aggregate(F.split(text, ""), zero, step)
+    cut = F.when(s["keep"] > 0, F.concat(F.substr(text, s["start"], s["keep"] - s["start"] + 1), F.lit("}"))).otherwise(F.lit("{}"))
+    return F.when(s["start"] > 0, F.struct(F.when(s["end"] > 0, F.substr(text, s["start"], s["end"] - s["start"] + 1)).otherwise(cut).alias("json"),
+                                           (s["end"] > 0).alias("whole")))
+
+
 def read_replies(df: DataFrame, text_col: str) -> DataFrame:
-    """Strip code fences, parse the JSON; when it does not parse (cut-off reply)
-    read each field by pattern.  A reply without a task field yields NULLs."""
-    t = F.trim(F.col(text_col))
-    t = F.when(t.startswith("```"), F.regexp_replace(t, r"^```[^\n]*\n", "")).otherwise(t)
-    t = F.trim(F.regexp_replace(t, r"```\s*$", ""))
-    parsed = F.from_json(t, REPLY_SCHEMA, {"mode": "PERMISSIVE"})
-    ok = F.try_parse_json(t).isNotNull() if hasattr(F, "try_parse_json") else parsed.isNotNull()
-
-    def field(name):
-        return F.nullif(F.regexp_extract(t, rf'"{name}"\s*:\s*"([^"]+)"', 1), F.lit(""))
-
-    drops_txt = F.regexp_extract(t, r'"drop_columns"\s*:\s*\[([^\]]*)\]', 1)
-    drops = F.filter(F.transform(F.split(drops_txt, ","),
-                                 lambda s: F.regexp_replace(F.trim(s), '^"|"$', "")),
-                     lambda s: s != "")
-    reasoning = F.regexp_replace(F.regexp_extract(t, r'"reasoning"\s*:\s*"([^"]*)', 1), '"$', "")
-    task_re = field("task")
-    repaired = F.when(task_re.isNotNull(), F.struct(
-        task_re.alias("task"), field("target").alias("target"), drops.alias("drop_columns"),
-        field("primary_metric").alias("primary_metric"), field("optimization_goal").alias("optimization_goal"),
-        F.when(F.regexp_extract(t, r'"reasoning"\s*:\s*"', 0) != "", reasoning)
-        .otherwise(F.lit("Repaired from truncated response")).alias("reasoning")))
-    rep = F.when(ok, parsed).otherwise(repaired)
-    return df.select("*", F.when(ok, F.lit("parsed")).when(task_re.isNotNull(), F.lit("repaired"))
-                     .otherwise(F.lit("failed")).alias("reply_state"),
-                     rep.alias("reply")).select("*", "reply.*").drop("reply")
+    """The fields of stored model replies, also of cut-off ones: ``reply_state`` parsed (a whole object), repaired
+    (cut off, but its task is there) or failed, then the finished fields; a reply without a task yields NULLs."""
+    found = df.withColumn("_object", closed_object(F.col(text_col))).withColumn("_reply", F.from_json("_object.json", REPLY_SCHEMA))
+    state = F.when(F.col("_reply.task").isNull(), "failed").when(F.col("_object.whole"), "parsed").otherwise("repaired")
+    return (found.withColumns({"reply_state": state, "_reply": F.when(F.col("_reply.task").isNotNull(), F.col("_reply"))})
+            .select(*[F.col(f"`{c}`") for c in df.columns], "reply_state", "_reply.*"))

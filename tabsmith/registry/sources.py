@@ -14,12 +14,35 @@ from .metrics import _CAND_SQL, candidate_metrics
 
 
 # ---------------------------------------------------------------- S1-S8, S12
-@register("s1_csv_round_trip", "SELECT r_regionkey, r_name FROM region")
+_CSV_TYPES = {"c_custkey": "int", "c_name": "string", "c_acctbal": "double", "flag": "string", "clock": "string", "code": "int", "answer": "boolean",
+              "day": "date", "at": "timestamp", "gaps": "double", "no_flag": "string"}
+
+
+@register("s1_csv_round_trip", """
+SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal, CASE WHEN c_custkey % 2 = 0 THEN 'Y' ELSE 'N' END AS flag,
+  lpad(CAST(c_custkey % 24 AS VARCHAR), 2, '0') || ':30' AS clock, CAST(c_custkey % 1000 AS INTEGER) AS code, c_custkey % 3 = 0 AS answer,
+  CAST(DATE '2020-01-01' + CAST(c_custkey % 300 AS INTEGER) AS VARCHAR) AS day,
+  strftime(TIMESTAMP '2020-01-01 06:07:08' + to_days(CAST(c_custkey % 300 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS at,
+  CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal / 4 END AS gaps, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE 'N' END AS no_flag,
+  true AS types_as_stated
+FROM customer
+""")
 def s1_csv_round_trip(spark, sf_dir):
-    path = scratch_path(spark, "region-csv")
-    table(spark, sf_dir, "region").write.option("header", True).csv(path)
+    """Customers written as CSV text with flags, clock times, leading zeros, dates and NA tokens, and read back by inference."""
+    key = F.col("c_custkey")
+    plus = lambda start, form: F.date_format(F.to_timestamp(F.lit(start)) + F.make_dt_interval((key % 300).cast("int")), form)
+    text = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name", "c_acctbal", F.when(key % 2 == 0, "Y").otherwise("N").alias("flag"),
+        F.concat(F.lpad((key % 24).cast("string"), 2, "0"), F.lit(":30")).alias("clock"), F.lpad((key % 1000).cast("string"), 4, "0").alias("code"),
+        F.when(key % 3 == 0, "True").otherwise("False").alias("answer"), plus("2020-01-01 00:00:00", "yyyy-MM-dd").alias("day"),
+        plus("2020-01-01 06:07:08", "yyyy-MM-dd HH:mm:ss").alias("at"),
+        F.when(key % 7 == 0, "N/A").otherwise((F.col("c_acctbal") / 4).cast("string")).alias("gaps"), F.when(key % 5 == 0, "NA").otherwise("N").alias("no_flag"))
+    path = scratch_path(spark, "customer-csv")
+    text.write.option("header", True).csv(path)
     back = io.load(spark, path, "csv")
-    return back.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+    as_stated = dict(back.dtypes) == _CSV_TYPES
+    return back.withColumns({"day": F.date_format("day", "yyyy-MM-dd"), "at": F.date_format("at", "yyyy-MM-dd HH:mm:ss"),
+                             "types_as_stated": F.lit(as_stated)})
 
 
 @register("s2_json_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -248,7 +271,7 @@ def i7_read_model_replies(spark, sf_dir):
     t = c.select("c_custkey", F.expr(_REPLY_SPARK).alias("reply_text"))
     r = sc.read_replies(t, "reply_text")
     return r.select("c_custkey", "reply_state", "task", "target",
-                    F.when(F.col("reply_state") != "failed", F.size("drop_columns")).cast("int").alias("n_drop"))
+                    F.when(F.col("reply_state") != "failed", F.coalesce(F.size("drop_columns"), F.lit(0))).cast("int").alias("n_drop"))
 
 
 @register("s8_run_meta_round_trip", """

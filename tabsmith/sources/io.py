@@ -31,13 +31,11 @@ def load(spark: SparkSession, source, source_type: str = "csv", schema=None,
         raise ValueError(f"Unsupported source type: {source_type}")  # S4
     if source_type == "csv":
         r = spark.read.option("header", True).option("mode", "PERMISSIVE")
-        r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-        df = r.csv(source)
-        # A column that holds NA tokens is inferred as text: blank them, then infer it again.
-        fix = {f.name: F.when(F.col(f"`{f.name}`").isin(NA_TOKENS), None).otherwise(F.col(f"`{f.name}`"))
-               for f in df.schema.fields if f.dataType.simpleString() == "string"}
-        df = df.withColumns(fix) if fix else df
-        df = _infer_text(df, list(fix)) if fix and schema is None else df
+        df = (r.schema(schema) if schema is not None else r).csv(source)
+        blank = {f.name: F.when(F.trim(F.col(f"`{f.name}`")).isin(NA_TOKENS), None).otherwise(F.col(f"`{f.name}`"))
+                 for f in df.schema.fields if f.dataType.simpleString() == "string"}
+        df = df.withColumns(blank) if blank else df
+        df = _infer_text(df, list(blank)) if blank and schema is None else df
     elif source_type == "json":
         r = spark.read
         if schema is not None:
@@ -63,18 +61,28 @@ def load(spark: SparkSession, source, source_type: str = "csv", schema=None,
     return nan_to_null(df)
 
 
+# Types that a text column may be read as, narrowest first, with the form that all its values must have.  Flags
+# like Y/N, clock times without a date and the like stay text, so a file reads the same on every day.
+READ_AS = [("int", r"[+-]?[0-9]{1,10}"), ("bigint", r"[+-]?[0-9]{1,19}"),
+           ("double", r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[+-]?(?i:inf|infinity)"), ("boolean", "true|True|TRUE|false|False|FALSE"),
+           ("date", "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"),
+           ("timestamp", r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]+)?)?(Z|[+-][0-9]{1,2}:[0-9]{2})?")]
+
+
 def _infer_text(df: DataFrame, names: list[str]) -> DataFrame:
-    """Narrowest type that every value of a text column reads as, in one aggregate; text stays
-    text when there is none or no value."""
-    kinds = ["int", "bigint", "double", "boolean", "timestamp"]
-    col = lambda n: F.col(f"`{n}`")
-    row = df.agg(*[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)],
-                 *[F.count(col(n).try_cast(k)).alias(f"{k}{i}") for i, n in enumerate(names) for k in kinds]).first()
+    """Each text column as the narrowest type of READ_AS that every value reads as, from one aggregate over
+    all rows; text stays text when there is none or no value."""
+    def read(name, kind, form):
+        value = F.trim(F.col(f"`{name}`"))
+        return F.when(value.rlike(f"^(?:{form})$"), value.try_cast(kind))
+
+    row = df.agg(*[F.count(F.col(f"`{n}`")).alias(f"n{i}") for i, n in enumerate(names)],
+                 *[F.count(read(n, *k)).alias(f"{k[0]}{i}") for i, n in enumerate(names) for k in READ_AS]).first()
     cast = {}
     for i, n in enumerate(names):
-        kind = next((k for k in kinds if row[f"n{i}"] and row[f"{k}{i}"] == row[f"n{i}"]), None)
+        kind = next((k for k in READ_AS if row[f"n{i}"] and row[f"{k[0]}{i}"] == row[f"n{i}"]), None)
         if kind:
-            cast[n] = col(n).try_cast(kind)
+            cast[n] = read(n, *kind)
     return df.withColumns(cast) if cast else df
 
 

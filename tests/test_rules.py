@@ -88,8 +88,7 @@ def test_reply_reading(spark):
         ('{"target": "x"',)], "t string")
     r = sc.read_replies(df, "t").collect()
     assert (r[0].reply_state, r[0].task, r[0].drop_columns) == ("parsed", "classification", ["student_id"])
-    assert (r[1].reply_state, r[1].target, r[1].drop_columns, r[1].reasoning) == (
-        "repaired", "sales", ["a", "b"], "cut he")
+    assert (r[1].reply_state, r[1].target, r[1].drop_columns, r[1].reasoning) == ("repaired", "sales", ["a", "b"], None)
     assert r[2].reply_state == "failed" and r[2].task is None
 
 
@@ -166,3 +165,31 @@ def test_result_rows_carry_a_time_and_read_errors_show(spark, tmp_path):
     (tmp_path / "store" / "predictions").mkdir()
     with pytest.raises(Exception, match="infer schema"):
         store.read("predictions")
+
+
+def test_replies_cut_at_every_position(spark):
+    """The fields whose value had ended before the cut, whatever stands around and inside of them."""
+    import json
+    fields = [("task", "classification"), ("notes", {"a": [1, {"b": "}]"}], "c": "x, y"}), ("n", -1.5e3), ("target", 'pl"ac\\ed \U0001f600'),
+              ("drop_columns", ["a,b", "c\"]"]), ("known", None), ("primary_metric", "f1"), ("optimization_goal", "maximize"), ("reasoning", "{é} [")]
+    body, ends = "{", []
+    for i, (k, v) in enumerate(fields):
+        body += ("" if i == 0 else ", ") + json.dumps(k) + ": " + json.dumps(v, ensure_ascii=False)
+        ends.append(len(body) + (1 if not isinstance(v, (str, dict, list)) else 0))    # a number or word ends with what follows it
+    body += "}"
+    before = "Sure: here [it] is\n```json\n"
+    rows = [(n, before + body[:n]) for n in range(len(body) + 1)]
+    rows.append((len(body) + 1, before + body + "\n```\nDone {\"task\": 1}"))
+    got = {r.n: r for r in sc.read_replies(spark.createDataFrame(rows, "n int, t string"), "t").collect()}
+    for n, _ in rows:
+        done = {k: v for (k, v), e in zip(fields, ends) if e <= n}
+        want = "failed" if "task" not in done else "parsed" if n >= len(body) else "repaired"
+        assert got[n].reply_state == want, n
+        for k in ("task", "target", "drop_columns", "primary_metric", "optimization_goal", "reasoning"):
+            assert getattr(got[n], k) == done.get(k), (n, k)
+
+
+def test_replies_without_an_object(spark):
+    df = spark.createDataFrame([(None,), ("",), ("no object",), ("[1, 2]",), ("{}",), ("}{",), ('{"task"',), ('{"task": "a" junk} x',)], "t string")
+    assert {r.reply_state for r in sc.read_replies(df, "t").collect()} == {"failed"}
+    assert sc.read_replies(df.limit(0), "t").count() == 0
