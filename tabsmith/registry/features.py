@@ -123,6 +123,30 @@ def f5_tfidf_doc_norms(spark, sf_dir):
                     F.size(nz).cast("int").alias("n_terms"))
 
 
+@register("f6_numeric_categorical_text", r"""
+WITH d AS (SELECT doc_id, n_chars, lang, (n_chars - avg(n_chars) OVER ()) / nullif(stddev_pop(n_chars) OVER (), 0) AS scaled,
+  (SELECT count(DISTINCT lang) FROM documents) AS n_langs FROM documents),
+tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]{2,}') AS toks FROM documents),
+top AS (SELECT t AS term, count(*) AS tf FROM (SELECT unnest(toks) AS t FROM tok) GROUP BY t ORDER BY tf DESC, term ASC LIMIT 5000),
+k AS (SELECT doc_id, count(DISTINCT t) AS k FROM (SELECT doc_id, unnest(toks) AS t FROM tok) x JOIN top ON top.term = x.t GROUP BY doc_id)
+SELECT d.doc_id, coalesce(scaled, 0.0) AS scaled, lang AS encoded, CAST(coalesce(k, 0) AS INTEGER) AS n_terms, CASE WHEN k > 0 THEN 1.0 ELSE 0.0 END AS text_norm,
+  CAST(1 + n_langs + (SELECT count(*) FROM top) AS INTEGER) AS width
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+""")
+def f6_numeric_categorical_text(spark, sf_dir):
+    """All three branches on every document: scaled number, one-hot language, tf-idf of the whole text, in this order."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "text")
+    fit = fe.fit_features(d, fe.FeatureSpec(numerical=["n_chars"], categorical=["lang"], text=["text"], tfidf=True))
+    langs = [n[len("lang_"):] for n in fit.names[1:] if n.startswith("lang_")]
+    k = len(langs)
+    v = fit.transform(d).select("doc_id", vector_to_array("features").alias("v"))
+    text = F.slice("v", k + 2, F.greatest(F.size("v") - k - 1, F.lit(0)))
+    hot = F.array_position(F.slice("v", 2, k), 1.0).cast("int")
+    return v.select("doc_id", F.get("v", F.lit(0)).alias("scaled"), F.get(F.array(*[F.lit(x) for x in langs]), hot - 1).alias("encoded"),
+                    F.size(F.filter(text, lambda x: x != 0)).cast("int").alias("n_terms"),
+                    F.sqrt(F.aggregate(text, F.lit(0.0), lambda s, x: s + x * x)).alias("text_norm"), F.size("v").cast("int").alias("width"))
+
+
 @register("f7_class_weights", """
 SELECT toxic, count(*) * 0 + (SELECT count(*) FROM labels) / ((SELECT count(DISTINCT toxic) FROM labels) * count(*)) AS weight
 FROM labels GROUP BY toxic

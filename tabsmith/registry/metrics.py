@@ -261,3 +261,32 @@ SELECT id, pipeline_id, model_name FROM m ORDER BY id DESC LIMIT 50
 """)
 def i6_history_last_50(spark, sf_dir):
     return sc.history(candidate_metrics(spark, sf_dir), n=50).select("id", "pipeline_id", "model_name")
+
+
+# ---------------------------------------------------------------- H2 by AUC
+@register("h2_search_score_roc_auc", """
+WITH t AS (SELECT l_returnflag = 'R' AS pos, l_quantity AS s FROM lineitem),
+g AS (SELECT s, count_if(pos) AS p, count_if(NOT pos) AS n FROM t GROUP BY s),
+r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+m AS (SELECT o_orderstatus AS y, CASE WHEN o_totalprice > 150000 THEN 0.6 ELSE 0.2 END AS f FROM orders),
+ex AS (SELECT 'F' AS c, y, f AS s FROM m UNION ALL SELECT 'O', y, 0.9 - f FROM m UNION ALL SELECT 'P', y, 0.1 FROM m),
+eg AS (SELECT c, CAST(s AS DOUBLE) AS s, count_if(y = c) AS p, count_if(y <> c) AS n FROM ex GROUP BY 1, 2),
+er AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY c ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM eg),
+ea AS (SELECT c, sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) AS auc FROM er GROUP BY c)
+SELECT 'two classes' AS kind, (SELECT sum(p * (below + n / 2.0)) / (sum(p) * sum(n)) FROM r) AS score
+UNION ALL SELECT 'three classes', (SELECT avg(auc) FROM ea)
+""")
+def h2_search_score_roc_auc(spark, sf_dir):
+    """The search's score by AUC: two classes from a raw score, three from class shares."""
+    from pyspark.ml.functions import array_to_vector
+
+    from ..operators.improve import score_of
+    li = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("double").alias("y"), array_to_vector(F.array(-F.col("l_quantity"), F.col("l_quantity"))).alias("rawPrediction"))
+    o = table(spark, sf_dir, "orders")
+    f = F.when(F.col("o_totalprice") > 150000, 0.6).otherwise(0.2)
+    shares = o.where("o_orderstatus is not null").select(
+        (F.array_position(F.array(F.lit("F"), F.lit("O"), F.lit("P")), F.col("o_orderstatus")) - 1).cast("double").alias("y"),
+        array_to_vector(F.array(f, 0.9 - f, F.lit(0.1))).alias("probability"))
+    rows = [("two classes", score_of(li, "classification", "roc_auc", "y", 2)), ("three classes", score_of(shares, "classification", "roc_auc", "y", 3))]
+    return spark.createDataFrame(rows, "kind string, score double")

@@ -312,6 +312,24 @@ def j1_full_run_metrics(spark, sf_dir):
     return _run_rows(spark, r)
 
 
+@register("m12_failed_candidate_and_predictions", """
+SELECT 'no_such_model' AS failed, CAST(1 AS BIGINT) AS n_scored_models, CAST(ceil(count(*) * CAST(0.15 AS DOUBLE)) AS BIGINT) AS n_predictions,
+  true AS all_numbers, true AS measured FROM lineitem
+""")
+def m12_failed_candidate_and_predictions(spark, sf_dir):
+    """An unknown candidate is logged and doesn't stop the run (M12); the other one's held-out rows are scored
+    (S11: one stored prediction per row) and measured (E13)."""
+    from ..plans import jobs
+    r = jobs.run_full(spark, table(spark, sf_dir, "lineitem"), target="l_extendedprice", key_cols=["l_orderkey", "l_linenumber"],
+                      models=["linear_regression", "no_such_model"], time_series=False)
+    held = jobs.score_holdout(spark, r, "linear_regression")["metrics"]
+    failed = [x["model_name"] for x in spark.read.parquet(f"{r.store_root}/model_runs").select("model_name").collect()]
+    p = spark.read.parquet(f"{r.store_root}/predictions")
+    return p.agg(F.lit(",".join(failed)).alias("failed"), F.lit(len(r.metrics)).cast("long").alias("n_scored_models"), F.count("*").alias("n_predictions"),
+                 F.bool_and(F.col("predicted_value").try_cast("double").isNotNull()).alias("all_numbers"),
+                 F.lit(held["rmse"] > 0 and held["mae"] > 0 and held["r2_score"] <= 1).alias("measured"))
+
+
 @register("j1_anomaly_run", _run_sql(["isolation_forest"], "events", split=False))
 def j1_anomaly_run(spark, sf_dir):
     """J1 without a label (X5: every part is the whole table): isolation forest on events."""

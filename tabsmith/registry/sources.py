@@ -146,10 +146,10 @@ def importances(spark, sf_dir):
 {_IMP_SQL}
 SELECT metric_id, feature_name, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY metric_id ORDER BY importance_score DESC, feature_name) AS rank FROM imp)
-WHERE rank <= 2
+WHERE rank <= 20
 """)
 def g5_top_importances(spark, sf_dir):
-    t = se.top_importances(importances(spark, sf_dir), k=2)
+    t = se.top_importances(importances(spark, sf_dir))
     return t.select("metric_id", "feature_name", F.col("rank").cast("int"))
 
 
@@ -312,3 +312,24 @@ def s9_result_store_append(spark, sf_dir):
     back = store.read("model_metrics")
     return back.groupBy("model_name").agg(F.count(F.lit(1)).alias("n_rows"),
                                           F.round(F.sum("rmse"), 4).alias("rmse_sum"))
+
+
+@register("scalars_array_map", """
+WITH c AS (SELECT c_custkey, string_split(c_name, '#') AS parts, [c_custkey, c_nationkey, c_custkey % 7] AS nums, c_acctbal, c_mktsegment FROM customer)
+SELECT c_custkey, CAST(len(parts) AS INTEGER) AS n_parts, upper(parts[1]) AS head, list_max(nums) AS largest, list_sum(list_transform(nums, lambda x: x * 2)) AS doubled,
+  CAST(len(list_filter(nums, lambda x: x > 3)) AS INTEGER) AS over_three, array_to_string(list_sort(list_distinct(nums)), ',') AS ordered,
+  list_contains(nums, c_custkey % 7) AS held, c_acctbal AS looked_up, CAST(2 AS INTEGER) AS n_keys, c_mktsegment || '!' AS changed FROM c
+""")
+def scalars_array_map(spark, sf_dir):
+    """Array and map functions over every customer."""
+    key = F.col("c_custkey").cast("long")
+    c = table(spark, sf_dir, "customer").withColumns({
+        "parts": F.split("c_name", "#"), "nums": F.array(key, F.col("c_nationkey").cast("long"), key % 7),
+        "m": F.create_map(F.lit("balance"), F.col("c_acctbal").cast("string"), F.lit("segment"), F.col("c_mktsegment"))})
+    more = F.transform_values("m", lambda k, v: F.when(k == "segment", F.concat(v, F.lit("!"))).otherwise(v))
+    return c.select("c_custkey", F.size("parts").alias("n_parts"), F.upper(F.get("parts", F.lit(0))).alias("head"), F.array_max("nums").alias("largest"),
+                    F.aggregate(F.transform("nums", lambda x: x * 2), F.lit(0).cast("long"), lambda s, x: s + x).alias("doubled"),
+                    F.size(F.filter("nums", lambda x: x > 3)).alias("over_three"),
+                    F.array_join(F.array_sort(F.array_distinct("nums")).cast("array<string>"), ",").alias("ordered"),
+                    F.array_contains("nums", key % 7).alias("held"), F.element_at("m", "balance").cast("double").alias("looked_up"),
+                    F.size(F.map_keys("m")).alias("n_keys"), F.element_at(more, "segment").alias("changed"))

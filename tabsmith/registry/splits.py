@@ -112,13 +112,11 @@ def p2_resolve_target(spark, sf_dir):
                      F.col(label).alias("label"))
 
 
-@register("p4_feature_columns", """
-SELECT column_name FROM (DESCRIBE lineitem) WHERE column_name <> 'l_extendedprice'
-""")
+@register("p4_feature_columns", "SELECT * EXCLUDE (l_extendedprice), l_extendedprice AS label FROM lineitem")
 def p4_feature_columns(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    _, _, feats = pj.features_and_label(li, "l_extendedprice")
-    return spark.createDataFrame([(c,) for c in feats], "column_name string")
+    """Every line's features, and its label under the name that the trainers read."""
+    df, label, feats = pj.features_and_label(table(spark, sf_dir, "lineitem"), "l_extendedprice")
+    return df.select(*feats, F.col(label).alias("label"))
 
 
 @register("p5_drop_incomplete", """
@@ -134,17 +132,15 @@ def p5_drop_incomplete(spark, sf_dir):
     return pj.drop_incomplete(df).select("l_orderkey", "l_linenumber")
 
 
-@register("p6_columns_by_class", """
-SELECT column_name, CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE', 'FLOAT', 'SMALLINT', 'TINYINT')
-                          OR column_type LIKE 'DECIMAL%' THEN 'numerical'
-                         WHEN column_type IN ('VARCHAR', 'BOOLEAN') THEN 'categorical'
-                         ELSE 'datetime' END AS class
-FROM (DESCRIBE lineitem)
-""")
+_P6_CLASSES = {"numerical": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+               "categorical": ["l_returnflag", "l_linestatus"], "datetime": ["l_shipdate"]}
+
+
+@register("p6_columns_by_class", "SELECT " + ", ".join(f"{c} AS {k}_{c}" for k, cs in _P6_CLASSES.items() for c in cs) + " FROM lineitem")
 def p6_columns_by_class(spark, sf_dir):
+    """Every line with its columns selected by class."""
     li = table(spark, sf_dir, "lineitem")
-    rows = [(c, k) for k in ("numerical", "categorical", "datetime") for c in pj.columns_of_class(li, k)]
-    return spark.createDataFrame(rows, "column_name string, class string")
+    return li.select(*[F.col(c).alias(f"{k}_{c}") for k in _P6_CLASSES for c in pj.columns_of_class(li, k)])
 
 
 @register("p9_report_rounding", """
