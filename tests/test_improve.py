@@ -30,7 +30,7 @@ def test_search_of_a_multiclass_booster(spark, monkeypatch):
                                F.floor(F.col("id") / 30).cast("double").alias("y"))
     d = VectorAssembler(inputCols=["x"], outputCol="features").transform(d)
     model, tried, best = im.random_search(d, "gradient_boosting", "classification", "y", 3, 90, ["k"], "f1_score")
-    assert len(tried) == 2 and tried[best][1] == max(v for _, v in tried) and len(model.models) == 3
+    assert len(tried) == 2 and tried[best][1] == max(v for _, v in tried) and model.numClasses == 3
     assert set(mo.native_importances(model, ["x"])) == {"x"}
 
 
