@@ -1,4 +1,5 @@
-"""DBSCAN (M10), exact, on a grid — for low-dimensional inputs (d <= 3).
+"""DBSCAN (M10), exact: on a grid for up to three dimensions, as described here, and over a tree of
+metric balls (``metric_dbscan``) for more.
 
 Grid cells have side s = eps / sqrt(d) (a hair less), so every two points of
 one cell are within eps of each other.  This gives:
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordering import materialize, with_global_index
+from . import metric_dbscan
 
-MAX_DIMS = 3
+GRID_DIMS = 3         # cells near a cell grow as 5^d
 
 
 def _offsets(d: int, s: float, eps: float) -> list[tuple]:
@@ -113,6 +115,8 @@ class DBSCANModel:
     @staticmethod
     def load(path: str, spark) -> "DBSCANModel":
         doc = json.loads(spark.read.text(f"{path}/settings").where("value <> ''").first()["value"])
+        if doc.get("kind") == "metric":
+            return metric_dbscan.MetricDBSCANModel.load(path, spark)
         return DBSCANModel(spark.read.parquet(f"{path}/labels"), spark.read.parquet(f"{path}/core"), **doc)
 
 
@@ -135,10 +139,11 @@ class DBSCAN:
         id_col = self.id_col or "_id"
         if self.id_col is None:
             df = df.withColumn("_id", F.monotonically_increasing_id())
-        first = df.select(F.size(_points(df, self.features)).alias("d")).first()
-        d = int(first["d"]) if first else 1
-        if d > MAX_DIMS:
-            raise ValueError(f"DBSCAN on the grid supports up to {MAX_DIMS} dimensions, got {d}")
+        x = metric_dbscan.point_array(df, self.features)
+        d = int(df.select(F.max(F.size(x)).alias("d")).first()["d"] or 1)
+        if d > GRID_DIMS:
+            settings = {"id_col": id_col, "features": self.features, "prediction": self.prediction}
+            return metric_dbscan.fit(df.select(F.col(id_col).alias("id"), x.alias("x")), eps, mp, settings)
         s = eps / math.sqrt(d) * (1 - 1e-9)
         offs = _offsets(d, s, eps)
         pts = df.select(F.col(id_col).alias("id"), _points(df, self.features).alias("x"))

@@ -57,12 +57,3 @@ def test_dbscan_matches_brute_force_with_hot_cell(spark):
     got = {r.id: r.prediction for r in DBSCAN("xy", eps=0.3, min_samples=4, id_col="id").fit(df)
            .fit_labels().collect()}
     assert got == _brute_dbscan(pts, 0.3, 4)
-
-
-def test_dbscan_refuses_many_dimensions(spark):
-    import pytest
-
-    from tabsmith.operators.dbscan import DBSCAN
-    df = spark.createDataFrame([(1, [0.0] * 5)], "id long, v array<double>")
-    with pytest.raises(ValueError):
-        DBSCAN("v", id_col="id").fit(df)
