@@ -4,7 +4,8 @@
 pivots, drawn by a hash): each point goes to the nearest pivot.  A node keeps its centre, the exact
 largest distance of a point below it, and their number and weight.  One pass per level; a level reads
 and writes only the points of nodes that are still too large, and each pass is a table in the shared
-checkpoint folder.  Points must be distinct within a root, so each split makes at least two nodes.
+checkpoint folder.  Points must be distinct within a root, so splits make progress; points whose
+distances all round to zero stay one leaf.
 
 ``near_pairs`` descends the tree on both sides at once.  A pair of nodes stays while the triangle
 inequality allows a distance of at most ``eps`` between their points; its children meet by equi-joins on
@@ -70,7 +71,7 @@ class PivotTree:
 def build(points: DataFrame, cap: int = 1024, branch: int = 16, root: Column | None = None) -> PivotTree:
     """``points``: (pid, x, w, ...) with distinct x within each root; ``root``: a string without '.'."""
     cols = points.columns
-    first = Window.partitionBy("node").orderBy(F.xxhash64("pid"), "pid")
+    first = Window.partitionBy("node").orderBy(F.xxhash64("node", "pid"), "pid")
     todo = points.withColumn("node", F.lit("r") if root is None else root)
     done, levels, arity, parent = [], [], 1, F.lit(None).cast("string")
     while True:
@@ -87,7 +88,7 @@ def build(points: DataFrame, cap: int = 1024, branch: int = 16, root: Column | N
         level = met.groupBy("node").agg(
             F.first("parent").alias("parent"), F.first("centre").alias("centre"), F.max("off").alias("r"),
             F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"))
-        level = materialize(level.withColumn("leaf", F.col("n") <= cap), "pivot-nodes")
+        level = materialize(level.withColumn("leaf", (F.col("n") <= cap) | (F.col("r") == 0)), "pivot-nodes")
         levels.append(level)
         large = level.where("not leaf").select("node")
         kept = met.select(*cols, "node", "off")

@@ -3,14 +3,14 @@
 Result: the input frame plus a ``split`` column ('train', 'val', 'eval') —
 one table, written partitioned by ``split`` (S7), instead of six files.
 
-* ``ordered_split``: positional cut (70 % / 85 %) over a total order, by the
-  range-partitioned global index (no single-task window).
-* ``random_split``: exact form numbers rows in md5(seed, key) order and cuts
-  at ceil(0.15 n) and ceil(0.176 (n - n_eval)), the sizes of two successive
-  75/25-style holdouts; the scalable form ``method="hash"`` assigns parts
-  from a per-row hash with no shuffle at all.
-* ``stratified_split``: the same cut inside every class (per-class position
-  = global position in (class, md5) order minus the class start).
+* ``ordered_split``: positional cut (70 % / 85 %) over a total order.
+* ``random_split``: exact form cuts the md5(seed, key) order at ceil(0.15 n) and
+  ceil(0.176 (n - n_eval)), the sizes of two successive 75/25-style holdouts; the form
+  ``method="hash"`` assigns parts from a per-row hash in one pass.
+* ``stratified_split``: the same cut inside every class.
+
+  All three select the keys at the cuts (``selection.parts_by_cuts``) and label rows by comparison, so
+  the rows themselves are neither sorted nor shuffled.
 * ``cv_folds``: fold = per-class position mod k.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import hash_unit, order_hash
 from ..functions.ordering import with_global_index
+from ..functions.selection import parts_by_cuts, small
 
 EVAL_FRACTION = 0.15
 VAL_FRACTION = 0.176      # of the rows left after the evaluation part
@@ -33,15 +34,28 @@ def _keys(key_cols) -> list[str]:
     return [key_cols] if isinstance(key_cols, str) else list(key_cols)
 
 
-def ordered_split(df: DataFrame, order: list[str | Column], cuts=ORDERED_CUTS,
-                  num_partitions: int | None = None) -> DataFrame:
+def _named(parts: DataFrame, names: tuple) -> DataFrame:
+    return parts.withColumn("split", F.element_at(F.array(*[F.lit(v) for v in names]), F.col("_part") + 1)).drop("_part")
+
+
+def _hash_cuts(df: DataFrame, keys: list[str], seed: int, eval_fraction: float, val_fraction: float,
+               group: str | None = None) -> DataFrame:
+    """Evaluation, validation and training parts in md5 order, per group where one is named."""
+    h = order_hash(*keys, seed=seed)
+    n_eval = lambda n: F.ceil(n * eval_fraction)
+    cuts = [(eval_fraction, n_eval),
+            (eval_fraction + (1 - eval_fraction) * val_fraction,
+             lambda n: n_eval(n) + F.ceil((n - n_eval(n)) * val_fraction))]
+    lead = F.conv(F.substring(h, 1, 15), 16, 10).cast("long")      # 60 leading bits, in hash order
+    parts = parts_by_cuts(df, [h] + [F.col(k) for k in keys], cuts, group, lead)
+    return _named(parts, ("eval", "val", "train"))
+
+
+def ordered_split(df: DataFrame, order: list[str | Column], cuts=ORDERED_CUTS) -> DataFrame:
     """First int(0.70 n) rows train, next up to int(0.85 n) val, rest eval."""
-    idx = with_global_index(df, [F.col(c) if isinstance(c, str) else c for c in order], "_idx",
-                            num_partitions=num_partitions)
-    n = idx.count()  # counts the written sorted table, not the (maybe costly) input plan
-    a, b = int(n * cuts[0]), int(n * cuts[1])
-    part = F.when(F.col("_idx") < a, "train").when(F.col("_idx") < b, "val").otherwise("eval")
-    return idx.withColumn("split", part).drop("_idx")
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    at = [(cut, lambda n, cut=cut: F.floor(n * cut)) for cut in cuts]
+    return _named(parts_by_cuts(df, order, at), ("train", "val", "eval"))
 
 
 def part_sizes(n: int, eval_fraction=EVAL_FRACTION, val_fraction=VAL_FRACTION) -> tuple[int, int, int]:
@@ -51,10 +65,6 @@ def part_sizes(n: int, eval_fraction=EVAL_FRACTION, val_fraction=VAL_FRACTION) -
     return rest - n_val, n_val, n_eval
 
 
-def _cut(pos: Column, n_eval: Column, n_val: Column) -> Column:
-    return F.when(pos < n_eval, "eval").when(pos < n_eval + n_val, "val").otherwise("train")
-
-
 def random_split(df: DataFrame, key_cols, seed: int = 42, method: str = "exact",
                  eval_fraction=EVAL_FRACTION, val_fraction=VAL_FRACTION) -> DataFrame:
     """Random three-way split, repeatable from the key columns and seed."""
@@ -64,11 +74,7 @@ def random_split(df: DataFrame, key_cols, seed: int = 42, method: str = "exact",
         val_hi = eval_fraction + (1 - eval_fraction) * val_fraction
         return df.withColumn("split", F.when(u < eval_fraction, "eval")
                              .when(u < val_hi, "val").otherwise("train"))
-    idx = with_global_index(df.withColumn("_h", order_hash(*keys, seed=seed)),
-                            [F.col("_h")] + [F.col(k) for k in keys], "_idx")
-    n = idx.count()
-    _, n_val, n_eval = part_sizes(n, eval_fraction, val_fraction)
-    return idx.withColumn("split", _cut(F.col("_idx"), F.lit(n_eval), F.lit(n_val))).drop("_idx", "_h")
+    return _hash_cuts(df, keys, seed, eval_fraction, val_fraction)
 
 
 def class_positions(df: DataFrame, label: str, key_cols, seed: int = 42) -> DataFrame:
@@ -78,22 +84,14 @@ def class_positions(df: DataFrame, label: str, key_cols, seed: int = 42) -> Data
     idx = with_global_index(hashed, [F.col(label), F.col("_h")] + [F.col(k) for k in keys], "_idx")
     # one row per class: at most the number of classes
     starts = idx.groupBy(label).agg(F.min("_idx").alias("_start"), F.count(F.lit(1)).alias("_nc"))
-    out = idx.join(F.broadcast(starts), label, "left") if _small(starts) else idx.join(starts, label, "left")
+    out = idx.join(F.broadcast(starts), label, "left") if small(starts) else idx.join(starts, label, "left")
     return out.withColumn("_cpos", F.col("_idx") - F.col("_start")).drop("_idx", "_start", "_h")
 
 
-def _small(df: DataFrame, limit: int = 100_000) -> bool:
-    """Size check before broadcasting a per-class table."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def stratified_split(df: DataFrame, label: str, key_cols, seed: int = 42,
                      eval_fraction=EVAL_FRACTION, val_fraction=VAL_FRACTION) -> DataFrame:
     """Per-class cut with per-class sizes ceil(0.15 n_c), ceil(0.176 (n_c - eval_c))."""
-    pos = class_positions(df.where(F.col(label).isNotNull()), label, key_cols, seed)
-    n_eval = F.ceil(F.col("_nc") * eval_fraction)
-    n_val = F.ceil((F.col("_nc") - n_eval) * val_fraction)
-    return pos.withColumn("split", _cut(F.col("_cpos"), n_eval, n_val)).drop("_cpos", "_nc")
+    return _hash_cuts(df.where(F.col(label).isNotNull()), _keys(key_cols), seed, eval_fraction, val_fraction, label)
 
 
 def min_class_count(df: DataFrame, label: str) -> int:

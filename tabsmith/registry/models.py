@@ -484,3 +484,55 @@ def m10_dbscan_2d(spark, sf_dir):
     from ..operators.dbscan import DBSCAN
     m = DBSCAN(features="xy", eps=_DB_EPS, min_samples=_DB_MIN, id_col="vec_id").fit(e)
     return m.fit_labels()
+
+
+_DB64_EPS, _DB64_MIN = 1.17, 4
+
+
+@register("m10_dbscan_64d", f"""
+WITH RECURSIVE p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+nb AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON list_distance(a.x, b.x) <= CAST({_DB64_EPS} AS DOUBLE)),
+core AS (SELECT a AS id FROM nb GROUP BY a HAVING count(*) >= {_DB64_MIN}),
+ce AS (SELECT nb.a, nb.b FROM nb JOIN core c1 ON nb.a = c1.id JOIN core c2 ON nb.b = c2.id),
+r(id, lab) AS (SELECT id, id FROM core UNION SELECT ce.b, r.lab FROM r JOIN ce ON ce.a = r.id),
+comp AS (SELECT id, min(lab) AS lab FROM r GROUP BY id),
+border AS (SELECT nb.a AS id, min(comp.lab) AS lab FROM nb JOIN comp ON nb.b = comp.id
+           WHERE nb.a NOT IN (SELECT id FROM core) GROUP BY nb.a),
+lab AS (SELECT * FROM comp UNION ALL SELECT * FROM border),
+num AS (SELECT lab, CAST(dense_rank() OVER (ORDER BY lab) - 1 AS INTEGER) AS cluster FROM (SELECT DISTINCT lab FROM lab))
+SELECT p.id AS vec_id, CAST(coalesce(num.cluster, -1) AS INTEGER) AS prediction
+FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN num ON lab.lab = num.lab
+""")
+def m10_dbscan_64d(spark, sf_dir):
+    """DBSCAN on all 64 coordinates of every embedding, eps 1.17, 4 samples (balls of a metric tree)."""
+    from ..operators.dbscan import DBSCAN
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return DBSCAN(features="embedding", eps=_DB64_EPS, min_samples=_DB64_MIN, id_col="vec_id").fit(e).fit_labels()
+
+
+@register("h5_nearest_in_class", """
+WITH p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE label IS NOT NULL),
+d AS (SELECT a.id AS vec_id, b.id AS near_id, list_distance(a.x, b.x) AS distance,
+      row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.x, b.x), b.id) AS place
+      FROM p a JOIN p b ON a.label = b.label AND a.id <> b.id)
+SELECT vec_id, CAST(place AS INTEGER) AS place, near_id, distance FROM d WHERE place <= 5
+""")
+def h5_nearest_in_class(spark, sf_dir):
+    """The exact five nearest vectors of the same label for every embedding: the neighbours that H5 takes."""
+    from ..operators import pivot_tree as pt
+    e = table(spark, sf_dir, "embeddings").where("label is not null")
+    points = e.select(F.col("vec_id").alias("pid"), F.col("embedding").cast("array<double>").alias("x"), F.lit(1).alias("w"),
+                      F.hex(F.encode(F.col("label").cast("string"), "utf-8")).alias("root"))
+    near = pt.nearest(pt.build(points, root=F.concat(F.lit("c"), F.col("root"))), 5)
+    near = near.select(F.col("pid").alias("vec_id"), F.posexplode("near").alias("i", "n"))
+    return near.select("vec_id", (F.col("i") + 1).cast("int").alias("place"), F.col("n.pid").alias("near_id"),
+                       F.sqrt("n.d").alias("distance"))
+
+
+@register("j1_clustering_64d", _run_sql(["kmeans", "dbscan"], "embeddings", split=False))
+def j1_clustering_64d(spark, sf_dir):
+    """J1 without a label on the 64 coordinates of every embedding as columns: both candidates are scored."""
+    from ..plans import jobs
+    e = table(spark, sf_dir, "embeddings")
+    e = e.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i:02d}") for i in range(64)])
+    return _run_rows(spark, jobs.run_full(spark, e, task="clustering", key_cols=["vec_id"]))
