@@ -1,10 +1,14 @@
 """Second-order histogram boosting (M5, M7, M8) with softmax, logistic or squared loss.
 
 The feature table is turned once into a table of blocks under the shared checkpoint folder: binned
-columns, label, weight and margins of some thousand rows per row.  A pass over the blocks routes the
+columns, label, weight and margins of some thousand rows per row.  Rows with the same bins (and class)
+take the same way through every tree, so where they are many they are added up first to one weighted row
+per cell (``_cells``, exact; not with sampled rows); a table of few columns then has at most as many rows as
+its bins have combinations, and one of many stays as it is.  A pass over the blocks routes the
 rows through the trees grown so far and sums gradients and hessians by (tree, node, feature, bin) for
-all classes at once; the sums are added tree-wise (two steps of ``applyInArrow`` beyond ``FAN_IN``
-tasks) and only the best split of each node comes back to the driver, which holds trees, never rows.
+all classes at once.  Sums of up to ``DIRECT`` bytes from all tasks are added on the driver; larger ones
+are added tree-wise (two steps of ``applyInArrow`` beyond ``FAN_IN`` tasks) and only the best split of each
+node comes back to the driver, which holds trees, never rows.
 Margins are rewritten every ``KEEP`` rounds, so a pass routes rows through at most ``KEEP`` finished
 trees and a lost executor re-reads its blocks.
 
@@ -49,8 +53,15 @@ BLOCK_ROWS = 16_384     # rows of a block
 FAN_IN = 64             # tasks whose sums meet in one step
 CHUNK = 8_192           # histogram cells that travel in one row
 CELLS = 8 << 20         # histogram cells (24 bytes) that a task holds; more nodes take further passes
+SCORED = 8_192          # rows scored at a time
 SUMMARY = 2_048         # points of a column's summary
 MAX_BINS = 256
+DIRECT = 16 << 20       # bytes of sums from all tasks of a pass that the driver adds itself
+DIRECT_SPLITS = 20_000  # (node, feature) pairs of a pass that it searches itself
+CELLS_FROM = 4 * BLOCK_ROWS    # rows from which equal ones are added up,
+CELL_SHARE = 0.25       # if that leaves at most this part of them
+CELL_CODES = 1 << 50    # combinations of bins that a cell's number may tell apart
+HELD = 1 << 18          # rows that a task adds up at a time
 MAX_BUNDLED = 2_048     # sparse columns considered for sharing (their co-occurrence is a square matrix)
 SPARSE = 0.3            # a column may share if at most this part of its values isn't 0
 
@@ -76,37 +87,52 @@ class Tree:
         return len(self.feature) - 1
 
     def arrays(self, bins: Bins) -> dict[str, np.ndarray]:
-        """The tree over binned columns: a row goes right if low <= bin < high."""
+        """The tree over binned columns: a row goes right if low <= bin < high.  A leaf's children (left, right by turns
+        in ``kids``) are the leaf itself, so that all rows take ``steps`` steps."""
         f, b = np.array(self.feature), np.array(self.bin)
-        g = np.maximum(f, 0)
-        return {"column": np.where(f >= 0, bins.column[g], -1), "low": bins.offset[g] + b, "high": bins.offset[g] + bins.count[g] - 1,
-                "left": np.array(self.left), "right": np.array(self.right), "value": np.array(self.value)}
+        g, inner = np.maximum(f, 0), f >= 0
+        return {"column": np.where(inner, bins.column[g], 0).astype(np.int32), "low": np.where(inner, bins.offset[g] + b, 0).astype(np.int16),
+                "high": np.where(inner, bins.offset[g] + bins.count[g] - 1, 0).astype(np.int16), "kids": _kids(f, self.left, self.right),
+                "steps": int(max(self.depth)), "value": np.array(self.value), "shared": bins.shared}
+
+
+def _kids(feature, left, right) -> np.ndarray:
+    here = np.arange(len(feature))
+    return np.stack([np.where(feature >= 0, left, here), np.where(feature >= 0, right, here)], 1).astype(np.int32).reshape(-1)
 
 
 def route(columns: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
     """Leaf (or open node) of each row of binned ``columns`` (columns x rows)."""
     n = columns.shape[1]
-    node, at = np.zeros(n, np.int64), np.arange(n)
-    while len(at):
-        here = node[at]
-        c = tree["column"][here]
-        inner = c >= 0
-        at, here, c = at[inner], here[inner], c[inner]
-        v = columns[c, at]
-        goes = (v >= tree["low"][here]) & (v < tree["high"][here])
-        node[at] = np.where(goes, tree["right"][here], tree["left"][here])
+    node, at, flat = np.zeros(n, np.int32), np.arange(n, dtype=np.int32 if columns.size < 1 << 31 else np.int64), columns.reshape(-1)
+    start = tree["column"].astype(at.dtype) * at.dtype.type(n)
+    for _ in range(tree["steps"]):
+        v = flat.take(start.take(node) + at)
+        goes = v >= tree["low"].take(node)
+        if tree["shared"]:           # else the bins from ``low`` on are the column's last ones
+            goes &= v < tree["high"].take(node)
+        node = tree["kids"].take(2 * node + goes)
     return node
 
 
+def stepped(tree: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A flattened tree over values, in the form that ``route_values`` walks."""
+    feature = np.asarray(tree["feature"])
+    left, right = np.asarray(tree["left"]), np.asarray(tree["right"])
+    steps, level = 0, np.zeros(1, np.int64)
+    while len(level := level[feature[level] >= 0]):
+        steps, level = steps + 1, np.concatenate([left[level], right[level]])
+    return {"column": np.maximum(feature, 0).astype(np.int64), "threshold": np.asarray(tree["threshold"], np.float64),
+            "kids": _kids(feature, left, right), "steps": steps, "value": tree.get("value")}
+
+
 def route_values(x: np.ndarray, tree: dict[str, np.ndarray]) -> np.ndarray:
-    """Leaf of each row of ``x`` (rows x features)."""
-    node, at = np.zeros(len(x), np.int64), np.arange(len(x))
-    while len(at):
-        f = tree["feature"][node[at]]
-        inner = f >= 0
-        at, f = at[inner], f[inner]
-        here = node[at]
-        node[at] = np.where(x[at, f] > tree["threshold"][here], tree["right"][here], tree["left"][here])
+    """Leaf of each row of ``x`` (features x rows, contiguous), for a tree from ``stepped``; NaN goes left."""
+    n = x.shape[1]
+    node, at, flat, start = np.zeros(n, np.int32), np.arange(n), x.reshape(-1), tree["column"] * n
+    for _ in range(tree["steps"]):
+        goes = flat.take(start.take(node) + at) > tree["threshold"].take(node)
+        node = tree["kids"].take(2 * node + goes)
     return node
 
 
@@ -121,6 +147,7 @@ class Bins:
     offset: np.ndarray      # physical bin of the feature's bin 1
     count: np.ndarray       # physical bins of the feature, plus 1
     width: np.ndarray       # physical bins of each column
+    shared: bool = False    # whether a column holds more than one feature
 
     @classmethod
     def build(cls, edges: list[np.ndarray], groups: list[list[int]]) -> Bins:
@@ -133,7 +160,7 @@ class Bins:
                 column[f], offset[f], count[f] = c, at, len(edges[f]) + 1
                 at += len(edges[f])
             wide.append(at)
-        return cls(edges, column, offset, count, np.array(wide, np.int64))
+        return cls(edges, column, offset, count, np.array(wide, np.int64), any(len(m) > 1 for m in groups))
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         """uint8 columns (columns x rows)."""
@@ -289,15 +316,24 @@ class Block:
     columns: np.ndarray
     y: np.ndarray
     w: np.ndarray
+    count: np.ndarray       # rows of the table that a row stands for
     margin: np.ndarray
 
 
+BLOCKS = "block long, columns binary, y binary, w binary, count binary, margin binary"
+
+
+def _block_batch(number: int, columns: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([number]), *[pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in (columns, *rest)]],
+                                      names=[f.split()[0] for f in BLOCKS.split(", ")])
+
+
 def _blocks(batches, r: Round, n_columns: int, with_margin=True):
     for b in batches:
         for row in b.to_pylist():
             y = np.frombuffer(row["y"])
             block = Block(row["block"], np.frombuffer(row["columns"], np.uint8).reshape(n_columns, len(y)), y, np.frombuffer(row["w"]),
-                          np.frombuffer(row["margin"]).reshape(-1, len(y)))
+                          np.frombuffer(row["count"]), np.frombuffer(row["margin"]).reshape(-1, len(y)))
             if r.done:
                 block.margin = block.margin.copy()
                 for trees in r.done:
@@ -316,8 +352,8 @@ def _sampled(block: Block, r: Round, g: np.ndarray) -> np.ndarray | None:
     return np.where(np.abs(g).sum(0) > r.top, 1.0, np.where(draw < r.rest, r.boost, 0.0))
 
 
-def _histogram_rows(r: Round, width: np.ndarray, chunks: list[np.ndarray]):
-    """Task body: one row per (tree, wanted node, chunk of columns) with its sums of g, h and rows."""
+def _histogram_rows(r: Round, width: np.ndarray, chunks: list[np.ndarray], whole: bool = False):
+    """Task body: one row per (tree, wanted node, chunk of columns) with its sums of g, h and rows; ``whole``: one per tree."""
     def run(batches):
         sums = [np.zeros((3, int(p.max()) + 1, int(width.sum()))) if len(p) and p.max() >= 0 else None for p in r.wanted]
         base = np.cumsum(width) - width
@@ -331,13 +367,17 @@ def _histogram_rows(r: Round, width: np.ndarray, chunks: list[np.ndarray]):
                 use = (place >= 0) if s is None else (place >= 0) & (s > 0)
                 at, m = place[use], total.shape[1]
                 gk, hk = (g[k][use], h[k][use]) if s is None else (g[k][use] * s[use], h[k][use] * s[use])
+                ck = block.count[use]
                 for c in range(len(width)):
                     cell = at * width[c] + block.columns[c][use]
-                    for q, v in enumerate((gk, hk, None)):
+                    for q, v in enumerate((gk, hk, ck)):
                         total[q, :, base[c]:base[c] + width[c]] += np.bincount(cell, v, m * width[c]).reshape(m, -1)
         for k, total in enumerate(sums):
             if total is None:
                 continue
+            if whole:
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total.tobytes()], pa.binary())], names=["tree", "sums"])
+                continue
             nodes = np.flatnonzero(r.wanted[k] >= 0)
             for q, columns in enumerate(chunks):
                 lo, hi = base[columns[0]], base[columns[-1]] + width[columns[-1]]
@@ -388,6 +428,29 @@ def best_split(total: np.ndarray, bins: Bins, features: np.ndarray, base: np.nda
     return best
 
 
+def best_splits(total: np.ndarray, bins: Bins, allowed: np.ndarray, l2: float, least_h: float, least_rows: float) -> list[tuple]:
+    """``best_split`` of many nodes at once, from their sums (3, nodes, cells) over all columns."""
+    base = np.cumsum(bins.width) - bins.width
+    g, h, c = total[:, :, :bins.width[0]].sum(2)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        parent = np.where(h + l2 > 0, g * g / (h + l2), 0.0)
+    m = np.arange(len(g))
+    feature, cut, gain, left3 = np.full(len(g), -1), np.zeros(len(g), np.int64), np.zeros(len(g)), np.zeros((3, len(g)))
+    for f in np.flatnonzero(allowed & (bins.count > 1)):
+        n = bins.count[f] - 1
+        at = base[bins.column[f]] + bins.offset[f]
+        right = np.cumsum(total[:, :, at:at + n][:, :, ::-1], axis=2)[:, :, ::-1]
+        left = np.stack([g, h, c])[:, :, None] - right
+        ok = (left[1] >= least_h) & (right[1] >= least_h) & (left[2] >= least_rows) & (right[2] >= least_rows) & (left[1] + l2 > 0) & (right[1] + l2 > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = np.where(ok, left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2) - parent[:, None], -np.inf)
+        t = found.argmax(1)
+        better = found[m, t] > gain + 1e-12 * np.abs(parent)
+        feature[better], cut[better], gain[better] = f, t[better], found[m, t][better]
+        left3[:, better] = left[:, m, t][:, better]
+    return [(int(feature[i]), int(cut[i]), float(gain[i]), *(float(v) for v in left3[:, i]), float(g[i]), float(h[i]), float(c[i])) for i in range(len(g))]
+
+
 def _split_rows(bins: Bins, chunks: list[np.ndarray], allowed: np.ndarray, l2: float, least_h: float, least_rows: float):
     def run(table: pa.Table) -> pa.Table:
         columns = chunks[table["chunk"][0].as_py()]
@@ -402,6 +465,117 @@ def _split_rows(bins: Bins, chunks: list[np.ndarray], allowed: np.ndarray, l2: f
     return run
 
 
+# ---------------------------------------------------------------- blocks of rows or cells
+def _columns(m: np.ndarray, bins: Bins) -> np.ndarray:
+    return bins.binned(m if m.shape[1] else np.zeros((len(m), len(bins.edges))))
+
+
+def _row_blocks(rows: DataFrame, bins: Bins, start: np.ndarray) -> DataFrame:
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for k in range(0, b.num_rows, BLOCK_ROWS):
+                part = b.slice(k, BLOCK_ROWS)
+                y = np.asarray(part.column(1), np.float64)
+                yield _block_batch(number, _columns(_matrix(part.column(0)), bins), y, np.asarray(part.column(2), np.float64), np.ones(len(y)),
+                                   np.repeat(start[:, None], len(y), 1))
+                number += 1
+
+    return rows.mapInArrow(run, BLOCKS)
+
+
+def _radix(bins: Bins) -> np.ndarray | None:
+    """What each column counts in a cell's number; None if there are too many combinations."""
+    step, out = 1, []
+    for w in bins.width.tolist():
+        out.append(step)
+        step *= w
+        if step > CELL_CODES:
+            return None
+    return np.array(out, np.int64)
+
+
+def _codes(columns: np.ndarray, radix: np.ndarray) -> np.ndarray:
+    code = np.zeros(columns.shape[1], np.int64)
+    for c, step in zip(columns, radix, strict=True):
+        code += c.astype(np.int64) * step
+    return code
+
+
+CELL = "code long, y double, w double, wy double, n double"
+
+
+def _added(code: np.ndarray, y: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (code, y) and their sums (quantities x rows)."""
+    classes, kind = np.unique(y, return_inverse=True)
+    if len(classes) > 1:
+        order = np.lexsort((kind, code))
+        new = np.concatenate([[True], (np.diff(code[order]) != 0) | (np.diff(kind[order]) != 0)])
+        place = np.cumsum(new) - 1
+        code, y, sums = code[order], y[order], sums[:, order]
+        return code[new], y[new], np.stack([np.bincount(place, v) for v in sums])
+    code, place = np.unique(code, return_inverse=True)
+    return code, np.full(len(code), y[0]), np.stack([np.bincount(place, v, len(code)) for v in sums])
+
+
+def _cells(rows: DataFrame, bins: Bins, mean: bool) -> DataFrame | None:
+    """(code, y, w, n): rows of the same bins and the same label (``mean``: of any label, with the mean one) added up;
+    None where that wouldn't leave clearly fewer rows."""
+    radix, n = _radix(bins), rows.count()
+    if radix is None or n < CELLS_FROM or not len(bins.width):
+        return None
+    most = int(radix[-1] * bins.width[-1])
+
+    def codes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_codes(_columns(_matrix(b.column(0)), bins), radix))], names=["code"])
+
+    if most > CELL_SHARE * n and rows.mapInArrow(codes, "code long").agg(F.approx_count_distinct("code")).first()[0] > CELL_SHARE * n:
+        return None
+
+    def add(batches):
+        held, size = [], 0
+
+        def together():
+            return _added(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held], 1))
+
+        def batch(code, y, sums):
+            return pa.RecordBatch.from_arrays([pa.array(code), pa.array(y), *[pa.array(v) for v in sums]], names=[f.split()[0] for f in CELL.split(", ")])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y, w = np.asarray(b.column(1), np.float64), np.asarray(b.column(2), np.float64)
+            held.append((_codes(_columns(_matrix(b.column(0)), bins), radix), np.zeros(len(y)) if mean else y, np.stack([w, w * y, np.ones(len(y))])))
+            size += len(y)
+            if size >= 2 * HELD:
+                held = [together()]
+                size = len(held[0][0])
+                if size >= HELD:          # too many different ones to hold
+                    yield batch(*held[0])
+                    held, size = [], 0
+        if held:
+            yield batch(*together())
+
+    cells = rows.mapInArrow(add, CELL).groupBy("code", "y").agg(*[F.sum(c).alias(c) for c in ("w", "wy", "n")])
+    return cells.select("code", (F.col("wy") / F.col("w") if mean else F.col("y")).alias("y"), "w", "n")
+
+
+def _cell_blocks(cells: DataFrame, bins: Bins, start: np.ndarray) -> DataFrame:
+    radix = _radix(bins)
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            code, y, w, n = (np.asarray(b.column(i)) for i in range(4))
+            if len(code):
+                columns = ((code[None, :] // radix[:, None]) % bins.width[:, None]).astype(np.uint8)
+                yield _block_batch(number, columns, y, w, n, np.repeat(start[:, None], len(y), 1))
+                number += 1
+
+    return cells.mapInArrow(run, BLOCKS)
+
+
 # ---------------------------------------------------------------- fitting
 @dataclass
 class Settings:
@@ -440,7 +614,8 @@ class Fitting:
         self.blocks: DataFrame | None = None
         self.done: list[list[dict]] = []
         self.trees: list[list[Tree]] = []
-        self._read(self._block_rows(rows, start))
+        cells = _cells(rows, self.bins, s.loss == "squared") if s.subsample >= 1 and s.top_share == 0 else None
+        self._read(_row_blocks(rows, self.bins, start) if cells is None else _cell_blocks(cells, self.bins, start))
 
     def _read(self, blocks: DataFrame) -> None:
         """Write the blocks and keep them in memory as far as it reaches: one task per two blocks at least,
@@ -452,31 +627,12 @@ class Fitting:
         self.blocks = written.coalesce(few).persist(StorageLevel.MEMORY_AND_DISK)
         self.tasks = few
 
-    def _block_rows(self, rows: DataFrame, start: np.ndarray) -> DataFrame:
-        bins = self.bins
-
-        def run(batches):
-            number = TaskContext.get().partitionId() << 32
-            for b in batches:
-                for k in range(0, b.num_rows, BLOCK_ROWS):
-                    part = b.slice(k, BLOCK_ROWS)
-                    y = np.asarray(part.column(1), np.float64)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([number]), pa.array([bins.binned(_matrix(part.column(0))).tobytes()]), pa.array([y.tobytes()]),
-                        pa.array([np.asarray(part.column(2), np.float64).tobytes()]),
-                        pa.array([np.repeat(start[:, None], len(y), 1).tobytes()])], names=["block", "columns", "y", "w", "margin"])
-                    number += 1
-
-        return rows.mapInArrow(run, "block long, columns binary, y binary, w binary, margin binary")
-
     def _rewrite(self) -> None:
         r, n_columns = Round(self.s.loss, self.done), len(self.bins.width)
 
         def run(batches):
             for block in _blocks(batches, r, n_columns):
-                yield pa.RecordBatch.from_arrays([pa.array([block.id]), pa.array([block.columns.tobytes()]), pa.array([block.y.tobytes()]),
-                                                  pa.array([block.w.tobytes()]), pa.array([np.ascontiguousarray(block.margin).tobytes()])],
-                                                 names=["block", "columns", "y", "w", "margin"])
+                yield _block_batch(block.id, block.columns, block.y, block.w, block.count, block.margin)
 
         self._read(self.blocks.mapInArrow(run, self.blocks.schema))
         self.done = []
@@ -520,6 +676,14 @@ class Fitting:
             place = np.full(len(t.feature), -1, np.int64)
             place[wanted.get(k, [])] = np.arange(len(wanted.get(k, [])))
             r.wanted.append(place)
+        n, width = sum(len(v) for v in wanted.values()), int(self.bins.width.sum())
+        if self.tasks * n * width * 24 <= DIRECT and n * self.d <= DIRECT_SPLITS:
+            total: dict[int, np.ndarray] = {}
+            for x in self.blocks.mapInArrow(_histogram_rows(r, self.bins.width, self.chunks, True), "tree long, sums binary").collect():
+                part = np.frombuffer(x["sums"]).reshape(3, -1, width)
+                total[x["tree"]] = total[x["tree"]] + part if x["tree"] in total else part
+            return {(k, node): found for k, sums in total.items()
+                    for node, found in zip(wanted[k], best_splits(sums, self.bins, allowed, s.l2, s.least_h, s.least_rows), strict=True)}
         sums = self.blocks.mapInArrow(_histogram_rows(r, self.bins.width, self.chunks), SUMS)
         if self.tasks > FAN_IN:
             sums = _salted(sums).groupBy("tree", "node", "chunk", "part").applyInArrow(_add, SUMS)
@@ -694,11 +858,13 @@ NODES = "round long, tree long, node long, feature long, threshold double, left
 
 
 def margins(x: np.ndarray, trees: list[tuple[int, dict]], start: list[float]) -> np.ndarray:
-    """Scores (rows x outputs) of "trees" (output, tree) for the rows of ``x``."""
-    out = np.repeat(np.array(start, np.float64)[None, :], len(x), 0)
-    for k, t in trees:
-        out[:, k] += t["value"][route_values(x, t)]
-    return out
+    """Scores (rows x outputs) of "trees" (output, tree from ``stepped``) for the rows of ``x``."""
+    out = np.repeat(np.array(start, np.float64)[:, None], len(x), 1)
+    for i in range(0, len(x), SCORED):
+        part = np.ascontiguousarray(x[i:i + SCORED].T)
+        for k, t in trees:
+            out[k, i:i + SCORED] += t["value"].take(route_values(part, t))
+    return out.T
 
 
 class BoostedTreesModel(Model, _Names):
@@ -717,7 +883,7 @@ class BoostedTreesModel(Model, _Names):
         return out
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        trees, start, name = self.trees(), self.start, self.getFeaturesCol()
+        trees, start, name = [(k, stepped(t)) for k, t in self.trees()], self.start, self.getFeaturesCol()
 
         @F.pandas_udf(ArrayType(DoubleType()))
         def score(col: pd.Series) -> pd.Series:

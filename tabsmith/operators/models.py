@@ -2,18 +2,16 @@
 
 Spark ML estimators train distributed (tree aggregation / per-partition
 gradient sums); the driver holds only model parameters.  Names follow the
-reference's model list.  Boosted classifiers of more than two classes and the
-second-order preset for classes are trained by softmax / logistic histogram boosting,
-the leaf-wise presets by its best-first growth (``boosting.py``); two-class and
-regression forms of the other presets are Spark's gradient-boosted trees.
+reference's model list.  All boosted presets are trained by softmax, logistic or squared-loss
+histogram boosting (``boosting.py``), the leaf-wise ones by its best-first growth.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,10 +104,8 @@ def get_model(name: str, task: str = "classification", n_classes: int = 2, n_row
     if base in BOOSTED:
         kw = dict(**BOOSTED[base], seed=SEED)
         kw.update(p)
-        if base == "lightgbm" or (not regression and (base == "xgboost" or n_classes > 2)):
-            loss = "squared" if regression else "softmax" if n_classes > 2 else "logistic"
-            return HistogramBoosting(loss, n_classes, **(SECOND_ORDER[base] | kw), **common, **wcol)
-        return GBTRegressor(**kw, **common, **wcol) if regression else GBTClassifier(**kw, **common, **wcol)
+        loss = "squared" if regression else "softmax" if n_classes > 2 else "logistic"
+        return HistogramBoosting(loss, n_classes, **(SECOND_ORDER[base] | kw), **common, **wcol)
     if name == "kmeans":
         kw = dict(k=8, seed=SEED, initMode="k-means||")
         kw.update(p)

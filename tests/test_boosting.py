@@ -194,3 +194,39 @@ def test_hot_value_and_many_blocks(spark, monkeypatch):
     two = bo.HistogramBoosting(**kw).fit(df.repartition(9))
     assert one.nodes.shape == two.nodes.shape
     assert np.abs(margins(one, df) - margins(two, df)).max() < 1e-9
+
+
+@pytest.mark.parametrize("loss", ["squared", "logistic", "softmax"])
+def test_rows_of_a_cell_are_added_up_exactly(spark, monkeypatch, loss):
+    """A table with few combinations of bins is fitted on its cells, with the trees of its rows."""
+    rng = np.random.default_rng(5)
+    a, b, w = rng.integers(0, 9, 3000), rng.integers(0, 7, 3000), rng.integers(1, 4, 3000)
+    y = a * 0.5 - b + rng.normal(size=3000) if loss == "squared" else ((a + b + rng.integers(0, 3, 3000)) % 3 if loss == "softmax" else (a + rng.normal(size=3000) > b))
+    df = spark.createDataFrame([([float(p), float(q)], float(v), float(u)) for p, q, v, u in zip(a, b, y, w)],
+                               "features array<double>, label double, w double").repartition(3)
+    read, sizes = bo.Fitting._read, []
+
+    def seen(self, blocks):
+        read(self, blocks)
+        sizes.append(sum(len(r["y"]) // 8 for r in self.blocks.select("y").collect()))
+
+    monkeypatch.setattr(bo.Fitting, "_read", seen)
+    fit = lambda: bo.HistogramBoosting(loss=loss, nClasses=3 if loss == "softmax" else 2, maxIter=4, maxDepth=3, stepSize=0.3, weightCol="w",
+                                       labelCol="label", minInstancesPerNode=30).fit(df)
+    whole = fit()
+    monkeypatch.setattr(bo, "CELLS_FROM", 100)
+    cells = fit()
+    assert sizes[0] == 3000 and sizes[1] <= 63 * (1 if loss == "squared" else 3)
+    assert cells.nodes[["feature", "threshold", "left", "cover"]].equals(whole.nodes[["feature", "threshold", "left", "cover"]])
+    assert np.allclose(cells.nodes["value"], whole.nodes["value"], atol=1e-9)
+
+
+def test_small_sums_and_large_sums_give_the_same_trees(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 3))
+    df = spark.createDataFrame([(r.tolist(), float(r[0] * r[1] > 0)) for r in x], "features array<double>, label double").repartition(2)
+    fit = lambda: bo.HistogramBoosting(loss="logistic", maxIter=3, maxDepth=3, labelCol="label").fit(df).nodes
+    near = fit()
+    monkeypatch.setattr(bo, "DIRECT", 0)
+    far = fit()
+    assert near[["feature", "threshold"]].equals(far[["feature", "threshold"]]) and np.allclose(near["value"], far["value"])
