@@ -100,7 +100,7 @@ REPLY_SCHEMA = ("task string, target string, drop_columns array<string>, primary
 def closed_object(text: Column) -> Column:
     """(json, whole): the first JSON object in ``text``, closed after its last finished field if it is cut off.
 
-    One walk over the characters keeps the depth of brackets, whether a string is open, and whether a key or a
+    One walk over the characters that matter and the runs between them keeps the depth of brackets, whether a string is open, and whether a key or a
     value of the outer object is being read.  A field is finished when its string or bracket closes, or a
     comma ends its number or word.  What stands before the object (prose, fences) and behind it isn't read;
     NULL without an object."""
@@ -112,7 +112,7 @@ def closed_object(text: Column) -> Column:
         outer = (depth == 1) & ~quoted
         ended = s["value"] & (((depth == 1) & quoted & quote) | (closes & (now == 1)))
         walked = F.struct(
-            (s["at"] + 1).alias("at"), now.alias("depth"), F.when(depth > 0, quoted != quote).otherwise(False).alias("quoted"),
+            (s["at"] + F.length(c)).alias("at"), now.alias("depth"), F.when(depth > 0, quoted != quote).otherwise(False).alias("quoted"),
             (quoted & (c == "\\") & ~s["escaped"]).alias("escaped"),
             F.when(outer & (c == ":"), True).when(outer & (c == ","), False).otherwise(s["value"]).alias("value"),
             F.when((depth == 0) & (now == 1), s["at"] + 1).otherwise(s["start"]).alias("start"),
@@ -122,7 +122,7 @@ def closed_object(text: Column) -> Column:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
                     F.lit(False).alias("value"), F.lit(0).alias("start"), F.lit(0).alias("keep"), F.lit(0).alias("end"))
-    s = F.aggregate(F.split(text, ""), zero, step)
+    s = F.aggregate(F.regexp_extract_all(text, F.lit(r'[{}\[\]",:\\]|[^{}\[\]",:\\]+'), F.lit(0)), zero, step)
     cut = F.when(s["keep"] > 0, F.concat(F.substr(text, s["start"], s["keep"] - s["start"] + 1), F.lit("}"))).otherwise(F.lit("{}"))
     return F.when(s["start"] > 0, F.struct(F.when(s["end"] > 0, F.substr(text, s["start"], s["end"] - s["start"] + 1)).otherwise(cut).alias("json"),
                                            (s["end"] > 0).alias("whole")))
