@@ -145,7 +145,8 @@ def permutation_importance(model, df: DataFrame, names: list[str], keys: list[st
     All rows take part.  Rows are ordered by a hash of their *keys*, and a row's donor is the row
     before it (the last one for the first), so equal rows have different donors.  ``discrete``:
     share of changed predictions (classes, clusters), else the mean absolute change.  The copies
-    (rows x features) are scored as they are made and only summed; nothing wider is shuffled.
+    (a row and a feature in which it differs from its donor; the others are the row itself and change
+    nothing) are scored as they are made and only summed; nothing wider is shuffled.
     Defined cases: no rows give 0 for every feature.
     """
     n = df.count()
@@ -157,10 +158,11 @@ def permutation_importance(model, df: DataFrame, names: list[str], keys: list[st
     donors = rows.select(((F.col("_i") + 1) % n).alias("_i"), F.col("_vec").alias("_donor"))
     base = model.transform(rows.select("_i", features, "_vec")).select(
         "_i", "_vec", F.col(output).cast("double").alias("_p0"))
-    copies = base.join(donors, "_i").select("*", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_j"))
+    differs = F.filter(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda j: ~F.get("_vec", j).eqNullSafe(F.get("_donor", j)))
+    copies = base.join(donors, "_i").select("*", F.explode(differs).alias("_j"))
     copies = copies.withColumn(features, array_to_vector(F.transform(
         "_vec", lambda v, i: F.when(i == F.col("_j"), F.col("_donor")[i]).otherwise(v))))
     change = F.abs(F.col(output).cast("double") - F.col("_p0"))
     change = (change > 0).cast("double") if discrete else change
-    per = model.transform(copies.drop("_vec", "_donor")).groupBy("_j").agg(F.avg(change).alias("v")).collect()
-    return {names[r["_j"]]: float(r["v"] or 0.0) for r in per}
+    per = model.transform(copies.drop("_vec", "_donor")).groupBy("_j").agg(F.sum(change).alias("v")).collect()
+    return {name: 0.0 for name in names} | {names[r["_j"]]: float(r["v"] or 0.0) / n for r in per}

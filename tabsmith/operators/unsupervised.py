@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 EULER = 0.5772156649015329
+SCORED = 8_192          # rows scored at a time
 
 
 def c_factor(n):
@@ -74,11 +75,15 @@ class IsolationForestModel:
         self.features, self.prediction, self.score = features, prediction, score
 
     def _arrays(self):
+        """Per tree its columns, thresholds, children (left, right by turns; a leaf's are the leaf itself), the
+        path length of each node, and the number of steps to its deepest leaf."""
         nd = self.nodes.sort_values(["tree", "node"])
         trees = []
         for _, g in nd.groupby("tree"):
-            trees.append((g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left_child"].to_numpy(),
-                          g["right_child"].to_numpy(), g["size"].to_numpy(), g["depth"].to_numpy()))
+            feature, depth, here = g["feature"].to_numpy(), g["depth"].to_numpy(), np.arange(len(g))
+            kids = [np.where(feature >= 0, g[c].to_numpy(), here) for c in ("left_child", "right_child")]
+            trees.append((np.maximum(feature, 0).astype(np.int64), g["threshold"].to_numpy(np.float64),
+                          np.stack(kids, 1).astype(np.int32).reshape(-1), depth + c_factor(g["size"].to_numpy()), int(depth.max())))
         return trees
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -89,15 +94,16 @@ class IsolationForestModel:
         def score_udf(col: pd.Series) -> pd.Series:
             x = np.vstack(col.to_numpy()) if len(col) else np.zeros((0, 1))
             total = np.zeros(len(x))
-            for feat, thr, left, right, size, depth in trees:
-                node = np.zeros(len(x), dtype=int)
-                active = feat[node] >= 0
-                while active.any():
-                    ni = node[active]
-                    go_left = x[active, feat[ni]] < thr[ni]
-                    node[active] = np.where(go_left, left[ni], right[ni])
-                    active = feat[node] >= 0
-                total += depth[node] + c_factor(size[node])
+            for i in range(0, len(x), SCORED):
+                part = np.ascontiguousarray(x[i:i + SCORED].T)
+                n, flat = part.shape[1], part.reshape(-1)
+                at = np.arange(n)
+                for feat, thr, kids, length, steps in trees:
+                    node, start = np.zeros(n, np.int32), feat * n
+                    for _ in range(steps):
+                        right = ~(flat.take(start.take(node) + at) < thr.take(node))
+                        node = kids.take(2 * node + right)
+                    total[i:i + SCORED] += length.take(node)
             return pd.Series(np.power(2.0, -(total / len(trees)) / cpsi))
 
         arr = vector_to_array(self.features) if self._is_vector(df) else F.col(self.features)

@@ -57,3 +57,23 @@ def test_dbscan_matches_brute_force_with_hot_cell(spark):
     got = {r.id: r.prediction for r in DBSCAN("xy", eps=0.3, min_samples=4, id_col="id").fit(df)
            .fit_labels().collect()}
     assert got == _brute_dbscan(pts, 0.3, 4)
+
+
+def test_importance_scores_only_copies_that_differ(spark, monkeypatch):
+    """A copy equal to its row isn't scored; the shares stay those over all rows."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    from tabsmith.operators import models as mo
+
+    class Sign:
+        scored = spark.sparkContext.accumulator(0)
+
+        def transform(self, df):
+            seen, vec = self.scored, F.udf(lambda v: (seen.add(1), float(v[0] > 0))[1], "double")
+            return df.withColumn("prediction", vec("features"))
+
+    rows = spark.createDataFrame([(i, [1.0 if i % 2 else -1.0, float(i == 3), 5.0]) for i in range(20)], "k int, x array<double>")
+    got = mo.permutation_importance(Sign(), rows.select("k", array_to_vector("x").alias("features")), ["a", "b", "c"], ["k"])
+    assert 0 < got["a"] <= 1 and got["b"] == 0 and got["c"] == 0
+    assert Sign.scored.value <= 20 + 20 + 2       # each row, each change of a, two of b, none of c
