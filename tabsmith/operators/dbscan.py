@@ -11,12 +11,12 @@ one cell are within eps of each other.  This gives:
   sparse points, so this step is linear in the data;
 * all core points of one cell belong to one cluster, so connectivity is a
   graph over *core cells*.  Two neighbouring core cells are joined when some
-  pair of their core points is within eps.  Pairs are formed only between
-  points lying in the eps-band facing the other cell, after a sub-cell test
-  (side s/4) settles most cell pairs without looking at points: sub-cell
-  pairs whose farthest corners are within eps connect at once, those whose
-  nearest corners are farther than eps never do, and only the remaining
-  boundary sub-cell pairs are checked point by point;
+  pair of their core points is within eps.  A sub-cell test (side s/4, then
+  quarters of the undecided ones, ``LEVELS`` times) settles most cell pairs
+  without looking at points: sub-cell pairs whose farthest corners are within
+  eps connect at once, those whose nearest corners are farther than eps never
+  do, and only the remaining boundary pairs of the smallest sub-cells are
+  checked, between different points in the eps-band facing the other cell;
 * connected components: smallest labels over the core-cell edge table with
   pointer jumping, each round written to the shared checkpoint folder;
 * border points (non-core, always in sparse cells) take the smallest label of
@@ -41,6 +41,15 @@ from ..functions.ordering import materialize, with_global_index
 from . import metric_dbscan
 
 GRID_DIMS = 3         # cells near a cell grow as 5^d
+LEVELS = 4            # times that undecided sub-cells are cut before their points are compared
+
+
+def _corners(pairs: DataFrame, sub: float, e2: float) -> DataFrame:
+    """Pairs of sub-cells (side ``sub``) whose nearest corners are within reach; ``sure`` where the farthest are, too."""
+    total = lambda gap: F.aggregate(F.zip_with("sa", "sb", gap), F.lit(0).cast("long"), lambda acc, z: acc + z).cast("double") * (sub * sub)
+    near = lambda p, q: F.greatest(F.abs(p - q) - 1, F.lit(0))
+    pairs = pairs.withColumn("gap", total(lambda p, q: near(p, q) * near(p, q))).withColumn("far", total(lambda p, q: (F.abs(p - q) + 1) * (F.abs(p - q) + 1)))
+    return pairs.where(F.col("gap") <= e2).select("a", "b", "sa", "sb", (F.col("far") <= e2).alias("sure"))
 
 
 def _offsets(d: int, s: float, eps: float) -> list[tuple]:
@@ -195,28 +204,38 @@ class DBSCAN:
         """Edges between neighbouring core cells having a core pair within eps."""
         sub = s / 4.0
         e2 = eps * eps
-        band = core.select("id", "x", "cell", F.explode(_lit_arrays(offs)).alias("o"))
-        band = band.withColumn("tcell", _shift(F.col("cell"), F.col("o")))
-        band = band.where(_box_gap(F.col("x"), F.col("tcell"), s) <= e2)   # only points facing the other cell
-        band = band.withColumn("sc", F.transform("x", lambda v: F.floor(v / sub)))
-        band = materialize(band.drop("o"), "dbscan-band")
-        occ = band.select("cell", "tcell", "sc").distinct()
+        points = materialize(core.select("cell", F.transform("x", lambda v: F.floor(v / sub)).alias("sc"), "x"), "dbscan-band")
+        # neighbours are named for the sub-cells that hold points, not for the points
+        occ = materialize(points.select("cell", "sc").distinct(), "dbscan-sub-cells")
+        occ = occ.withColumn("o", F.explode(_lit_arrays(offs))).select("cell", _shift(F.col("cell"), F.col("o")).alias("tcell"), "sc")
+        occ = occ.join(occ.select(F.col("cell").alias("tcell"), F.col("tcell").alias("cell")).distinct(), ["cell", "tcell"], "left_semi")
         left = occ.select(F.col("cell").alias("a"), F.col("tcell").alias("b"), F.col("sc").alias("sa"))
         right = occ.select(F.col("cell").alias("b"), F.col("tcell").alias("a"), F.col("sc").alias("sb"))
-        pairs = left.join(right, ["a", "b"]).where(F.col("a") < F.col("b"))
-        # nearest / farthest corner distances of two sub-cells (side ``sub``)
-        gap = F.aggregate(F.zip_with("sa", "sb", lambda p, q: F.greatest(F.abs(p - q) - 1, F.lit(0)) *
-                                     F.greatest(F.abs(p - q) - 1, F.lit(0))), F.lit(0).cast("long"),
-                          lambda acc, z: acc + z).cast("double") * (sub * sub)
-        far = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (F.abs(p - q) + 1) * (F.abs(p - q) + 1)),
-                          F.lit(0).cast("long"), lambda acc, z: acc + z).cast("double") * (sub * sub)
-        pairs = pairs.withColumn("gap", gap).withColumn("far", far).where(F.col("gap") <= e2)
-        sure = pairs.where(F.col("far") <= e2).select("a", "b").distinct()
-        open_ = pairs.where(F.col("far") > e2).join(sure, ["a", "b"], "left_anti").select("a", "b", "sa", "sb")
-        lp = band.select(F.col("cell").alias("a"), F.col("tcell").alias("b"), F.col("sc").alias("sa"),
-                         F.col("x").alias("xa"))
-        rp = band.select(F.col("cell").alias("b"), F.col("tcell").alias("a"), F.col("sc").alias("sb"),
-                         F.col("x").alias("xb"))
+        open_ = left.join(right, ["a", "b"]).where(F.col("a") < F.col("b"))
+        sure = None
+        for level in range(LEVELS):
+            found = materialize(_corners(open_, sub, e2), "dbscan-pairs")
+            near = materialize(found.where("sure").select("a", "b").distinct(), "dbscan-sure")
+            sure = near if sure is None else sure.unionByName(near)
+            open_ = materialize(found.where("not sure").join(near, ["a", "b"], "left_anti").select("a", "b", "sa", "sb"), "dbscan-open")
+            if level + 1 == LEVELS or open_.isEmpty():
+                break
+            # the undecided sub-cells in quarters: crowded ones are settled before their points meet
+            sub /= 4.0
+            held = open_.select(F.col("a").alias("cell"), F.col("sa").alias("sc")).unionByName(
+                open_.select(F.col("b").alias("cell"), F.col("sb").alias("sc"))).distinct()
+            points = points.join(held, ["cell", "sc"], "left_semi").select(
+                "cell", F.col("sc").alias("up"), F.transform("x", lambda v: F.floor(v / sub)).alias("sc"), "x")
+            points = materialize(points, "dbscan-band")
+            fine = materialize(points.select("cell", "up", "sc").distinct(), "dbscan-sub-cells")
+            points = points.drop("up")
+            open_ = open_.join(fine.select(F.col("cell").alias("a"), F.col("up").alias("sa"), F.col("sc").alias("ta")), ["a", "sa"]) \
+                .join(fine.select(F.col("cell").alias("b"), F.col("up").alias("sb"), F.col("sc").alias("tb")), ["b", "sb"]) \
+                .select("a", "b", F.col("ta").alias("sa"), F.col("tb").alias("sb"))
+        # only points of these sub-cells, facing the other cell
+        lp = open_.select("a", "b", "sa").distinct().join(points.select(F.col("cell").alias("a"), F.col("sc").alias("sa"), F.col("x").alias("xa")), ["a", "sa"])
+        rp = open_.select("a", "b", "sb").distinct().join(points.select(F.col("cell").alias("b"), F.col("sc").alias("sb"), F.col("x").alias("xb")), ["b", "sb"])
+        lp, rp = lp.where(_box_gap(F.col("xa"), F.col("b"), s) <= e2).distinct(), rp.where(_box_gap(F.col("xb"), F.col("a"), s) <= e2).distinct()
         checked = (open_.join(lp, ["a", "b", "sa"]).join(rp, ["a", "b", "sb"])
                    .where(_sqdist(F.col("xa"), F.col("xb")) <= e2).select("a", "b").distinct())
         return sure.unionByName(checked).distinct()

@@ -77,3 +77,22 @@ def test_importance_scores_only_copies_that_differ(spark, monkeypatch):
     got = mo.permutation_importance(Sign(), rows.select("k", array_to_vector("x").alias("features")), ["a", "b", "c"], ["k"])
     assert 0 < got["a"] <= 1 and got["b"] == 0 and got["c"] == 0
     assert Sign.scored.value <= 20 + 20 + 2       # each row, each change of a, two of b, none of c
+
+
+def test_grid_edges_compare_few_points_of_crowded_cells(spark, monkeypatch):
+    """Two crowded cells whose sub-cells at first stay undecided: finer ones settle them, without comparing their points."""
+    import numpy as np
+
+    from tabsmith.operators import dbscan as db
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.uniform(0, 0.01, (400, 2)), rng.uniform(0, 0.01, (400, 2)) + [0.98, 0.0], rng.uniform(0, 0.01, (5, 2)) + [3.0, 0.0]])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, x array<double>")
+    names = []
+    real = db._sqdist
+    monkeypatch.setattr(db, "materialize", lambda d, n, real=db.materialize: (names.append((n, r := real(d, n))), r)[1])
+    got = {r["id"]: r["prediction"] for r in db.DBSCAN(features="x", eps=0.99, min_samples=4, id_col="id").fit(df).fit_labels().collect()}
+    gap = np.sqrt(((x[:400, None] - x[None, 400:800]) ** 2).sum(2)).min()
+    assert got[0] == 0 and got[400] == (0 if gap <= 0.99 else 1) and got[804] == got[400] + 1 and real is db._sqdist
+    assert len({got[i] for i in range(400)}) == 1 and len({got[i] for i in range(400, 800)}) == 1
+    assert [d for n, d in names if n == "dbscan-open"][-1].count() == 0      # nothing left for points to decide
