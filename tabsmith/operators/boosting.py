@@ -11,6 +11,8 @@ are added tree-wise (two steps of ``applyInArrow`` beyond ``FAN_IN`` tasks) and
 node comes back to the driver, which holds trees, never rows.
 Margins are rewritten every ``KEEP`` rounds, so a pass routes rows through at most ``KEEP`` finished
 trees and a lost executor re-reads its blocks.
+A table of at most ``FEW_ROWS`` rows or cells is one task in every pass, however many rows its cells stand for.  There
+a job per pass buys nothing, so one job grows all rounds by the same steps (``TaskGrowth``) and returns the trees.
 
 Growth "level" splits all nodes of a level in one pass.  Growth "leaf" is best-first: a priority queue
 of leaves by gain, replayed on the driver; a pass fetches all nodes that the replay would reach, so a
@@ -58,7 +60,8 @@ SUMMARY = 2_048         # points of a column's summary
 MAX_BINS = 256
 DIRECT = 16 << 20       # bytes of sums from all tasks of a pass that the driver adds itself
 DIRECT_SPLITS = 20_000  # (node, feature) pairs of a pass that it searches itself
-CELLS_FROM = 4 * BLOCK_ROWS    # rows from which equal ones are added up,
+FEW_ROWS = 2 * BLOCK_ROWS      # rows or cells that make one task in any case: with at most CHUNK bins it grows all rounds in one job
+CELLS_FROM = FEW_ROWS + 1      # rows from which equal ones are added up,
 CELL_SHARE = 0.25       # if that leaves at most this part of them
 CELL_CODES = 1 << 50    # combinations of bins that a cell's number may tell apart
 HELD = 1 << 18          # rows that a task adds up at a time
@@ -352,27 +355,33 @@ def _sampled(block: Block, r: Round, g: np.ndarray) -> np.ndarray | None:
     return np.where(np.abs(g).sum(0) > r.top, 1.0, np.where(draw < r.rest, r.boost, 0.0))
 
 
+def _histograms(blocks, r: Round, width: np.ndarray) -> list[np.ndarray | None]:
+    """Sums of g, h and rows (3, wanted nodes, bins) of each tree over ``blocks``; None for a tree without wanted nodes."""
+    sums = [np.zeros((3, int(p.max()) + 1, int(width.sum()))) if len(p) and p.max() >= 0 else None for p in r.wanted]
+    base = np.cumsum(width) - width
+    for block in blocks:
+        g, h = gradients(r.loss, block.margin, block.y, block.w)
+        s = _sampled(block, r, g)
+        for k, total in enumerate(sums):
+            if total is None:
+                continue
+            place = r.wanted[k][route(block.columns, r.trees[k])]
+            use = (place >= 0) if s is None else (place >= 0) & (s > 0)
+            at, m = place[use], total.shape[1]
+            gk, hk = (g[k][use], h[k][use]) if s is None else (g[k][use] * s[use], h[k][use] * s[use])
+            ck = block.count[use]
+            for c in range(len(width)):
+                cell = at * width[c] + block.columns[c][use]
+                for q, v in enumerate((gk, hk, ck)):
+                    total[q, :, base[c]:base[c] + width[c]] += np.bincount(cell, v, m * width[c]).reshape(m, -1)
+    return sums
+
+
 def _histogram_rows(r: Round, width: np.ndarray, chunks: list[np.ndarray], whole: bool = False):
     """Task body: one row per (tree, wanted node, chunk of columns) with its sums of g, h and rows; ``whole``: one per tree."""
     def run(batches):
-        sums = [np.zeros((3, int(p.max()) + 1, int(width.sum()))) if len(p) and p.max() >= 0 else None for p in r.wanted]
         base = np.cumsum(width) - width
-        for block in _blocks(batches, r, len(width)):
-            g, h = gradients(r.loss, block.margin, block.y, block.w)
-            s = _sampled(block, r, g)
-            for k, total in enumerate(sums):
-                if total is None:
-                    continue
-                place = r.wanted[k][route(block.columns, r.trees[k])]
-                use = (place >= 0) if s is None else (place >= 0) & (s > 0)
-                at, m = place[use], total.shape[1]
-                gk, hk = (g[k][use], h[k][use]) if s is None else (g[k][use] * s[use], h[k][use] * s[use])
-                ck = block.count[use]
-                for c in range(len(width)):
-                    cell = at * width[c] + block.columns[c][use]
-                    for q, v in enumerate((gk, hk, ck)):
-                        total[q, :, base[c]:base[c] + width[c]] += np.bincount(cell, v, m * width[c]).reshape(m, -1)
-        for k, total in enumerate(sums):
+        for k, total in enumerate(_histograms(_blocks(batches, r, len(width)), r, width)):
             if total is None:
                 continue
             if whole:
@@ -598,63 +607,48 @@ class Settings:
     seed: int
 
 
-class Fitting:
-    """Grows the trees; rows stay in the blocks."""
+def _gradient_cells(blocks, r: Round) -> np.ndarray:
+    """Rows by the upper half of the float pattern of their summed absolute gradients."""
+    total = np.zeros(1 << 16, np.int64)
+    for block in blocks:
+        g = np.abs(gradients(r.loss, block.margin, block.y, block.w)[0]).sum(0)
+        total += np.bincount((g.astype(np.float32).view(np.uint32) >> 16).astype(np.int64), minlength=1 << 16)
+    return total
 
-    def __init__(self, rows: DataFrame, s: Settings, start: np.ndarray):
-        """``rows``: x array<double>, y double, w double."""
-        self.s, self.spark = s, rows.sparkSession
-        summary = column_summaries(rows.select("x"))
-        self.d = 1 + max(summary, default=-1)
-        edges = [cut_points(*summary[f], min(s.bins, MAX_BINS - 1)) if f in summary else np.zeros(0) for f in range(self.d)]
-        groups = exclusive_groups(rows.select("x"), edges, summary) if s.bundle else [[f] for f in range(self.d)]
-        self.bins = Bins.build(edges, groups)
-        cell = np.cumsum(self.bins.width)
-        self.chunks = [c for c in np.split(np.arange(len(cell)), np.flatnonzero(np.diff((cell - 1) // CHUNK)) + 1) if len(c)]
-        self.blocks: DataFrame | None = None
-        self.done: list[list[dict]] = []
-        self.trees: list[list[Tree]] = []
-        cells = _cells(rows, self.bins, s.loss == "squared") if s.subsample >= 1 and s.top_share == 0 else None
-        self._read(_row_blocks(rows, self.bins, start) if cells is None else _cell_blocks(cells, self.bins, start))
 
-    def _read(self, blocks: DataFrame) -> None:
-        """Write the blocks and keep them in memory as far as it reaches: one task per two blocks at least,
-        so that a small table doesn't cost a stage of tiny tasks in each of hundreds of passes."""
-        written = materialize(blocks, "boost-blocks")
-        few = max(1, min(written.rdd.getNumPartitions(), -(-written.count() // 2)))
-        if self.blocks is not None:
-            self.blocks.unpersist()
-        self.blocks = written.coalesce(few).persist(StorageLevel.MEMORY_AND_DISK)
-        self.tasks = few
-
-    def _rewrite(self) -> None:
-        r, n_columns = Round(self.s.loss, self.done), len(self.bins.width)
-
-        def run(batches):
-            for block in _blocks(batches, r, n_columns):
-                yield _block_batch(block.id, block.columns, block.y, block.w, block.count, block.margin)
+class Growth:
+    """Rounds and trees from the sums of passes.  The subclass has the rows: it makes a pass (``_pass``), adds finished
+    rounds to the margins (``_rewrite``) and finds the threshold of gradient-based sampling (``_gradient_threshold``)."""
 
-        self._read(self.blocks.mapInArrow(run, self.blocks.schema))
-        self.done = []
+    @property
+    def keep(self) -> int:
+        return KEEP
 
-    def _gradient_threshold(self, r: Round) -> float:
-        """Sum of absolute gradients that the kept share exceeds: from a histogram of 2^16 cells over their float pattern."""
-        n_columns = len(self.bins.width)
+    def __init__(self, s: Settings, bins: Bins):
+        self.s, self.bins, self.d = s, bins, len(bins.edges)
+        self.done: list[list[dict]] = []
+        self.trees: list[list[Tree]] = []
 
-        def run(batches):
-            total = np.zeros(1 << 16, np.int64)
-            for block in _blocks(batches, r, n_columns):
-                g = np.abs(gradients(r.loss, block.margin, block.y, block.w)[0]).sum(0)
-                total += np.bincount((g.astype(np.float32).view(np.uint32) >> 16).astype(np.int64), minlength=1 << 16)
-            cell = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+    def _round(self, r: Round, wanted: dict[int, list[int]], trees: list[Tree]) -> None:
+        r.trees = [t.arrays(self.bins) for t in trees]
+        r.wanted = []
+        for k, t in enumerate(trees):
+            place = np.full(len(t.feature), -1, np.int64)
+            place[wanted.get(k, [])] = np.arange(len(wanted.get(k, [])))
+            r.wanted.append(place)
 
-        got = self.blocks.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("cell")).collect()
-        keep, seen = self.s.top_share * sum(x["n"] for x in got), 0
-        for x in got:
-            seen += x["n"]
-            if seen >= keep:
-                return float(np.array([x["cell"] << 16], np.uint32).view(np.float32)[0])
+    def _found(self, total: dict[int, np.ndarray], wanted: dict[int, list[int]], allowed: np.ndarray) -> dict[tuple[int, int], tuple]:
+        s = self.s
+        return {(k, node): found for k, sums in total.items()
+                for node, found in zip(wanted[k], best_splits(sums, self.bins, allowed, s.l2, s.least_h, s.least_rows), strict=True)}
+
+    def _threshold(self, counts: list[tuple[int, int]]) -> float:
+        """The sum of absolute gradients that the kept share exceeds, from (cell, rows), the largest cell first."""
+        left, seen = self.s.top_share * sum(n for _, n in counts), 0
+        for cell, n in counts:
+            seen += n
+            if seen >= left:
+                return float(np.array([cell << 16], np.uint32).view(np.float32)[0])
         return 0.0
 
     def _splits(self, r: Round, wanted: dict[int, list[int]], trees: list[Tree], allowed: np.ndarray) -> dict[tuple[int, int], tuple]:
@@ -668,32 +662,6 @@ class Fitting:
             best |= self._pass(r, part, trees, allowed)
         return best
 
-    def _pass(self, r: Round, wanted: dict[int, list[int]], trees: list[Tree], allowed: np.ndarray) -> dict[tuple[int, int], tuple]:
-        s = self.s
-        r.trees = [t.arrays(self.bins) for t in trees]
-        r.wanted = []
-        for k, t in enumerate(trees):
-            place = np.full(len(t.feature), -1, np.int64)
-            place[wanted.get(k, [])] = np.arange(len(wanted.get(k, [])))
-            r.wanted.append(place)
-        n, width = sum(len(v) for v in wanted.values()), int(self.bins.width.sum())
-        if self.tasks * n * width * 24 <= DIRECT and n * self.d <= DIRECT_SPLITS:
-            total: dict[int, np.ndarray] = {}
-            for x in self.blocks.mapInArrow(_histogram_rows(r, self.bins.width, self.chunks, True), "tree long, sums binary").collect():
-                part = np.frombuffer(x["sums"]).reshape(3, -1, width)
-                total[x["tree"]] = total[x["tree"]] + part if x["tree"] in total else part
-            return {(k, node): found for k, sums in total.items()
-                    for node, found in zip(wanted[k], best_splits(sums, self.bins, allowed, s.l2, s.least_h, s.least_rows), strict=True)}
-        sums = self.blocks.mapInArrow(_histogram_rows(r, self.bins.width, self.chunks), SUMS)
-        if self.tasks > FAN_IN:
-            sums = _salted(sums).groupBy("tree", "node", "chunk", "part").applyInArrow(_add, SUMS)
-        found = sums.groupBy("tree", "node", "chunk").applyInArrow(
-            _split_rows(self.bins, self.chunks, allowed, s.l2, s.least_h, s.least_rows), BEST).collect()
-        best: dict[tuple[int, int], tuple] = {}
-        for x in sorted(found, key=lambda x: (x["gain"], -x["feature"])):
-            best[x["tree"], x["node"]] = tuple(x)[2:]
-        return best
-
     def _expand(self, t: Tree, node: int, found: tuple) -> list[int]:
         """Make ``node`` an inner one; its children."""
         feature, b, gain, gl, hl, cl, g, h, c = found
@@ -767,11 +735,150 @@ class Fitting:
             if all(len(t.feature) == 1 for t in trees) and s.subsample >= 1 and s.feature_share >= 1:
                 break
             self.done.append([t.arrays(self.bins) for t in trees])
-            if len(self.done) >= KEEP:
+            if len(self.done) >= self.keep:
                 self._rewrite()
+        return self.trees
+
+
+class TaskGrowth(Growth):
+    """Grows the trees on the blocks that one task holds."""
+
+    keep = 1
+
+    def __init__(self, s: Settings, bins: Bins, blocks: list[Block]):
+        super().__init__(s, bins)
+        self.blocks = blocks
+        for b in blocks:
+            b.margin = b.margin.copy()
+
+    def _rewrite(self) -> None:
+        for b in self.blocks:
+            for trees in self.done:
+                for k, t in enumerate(trees):
+                    b.margin[k] += t["value"][route(b.columns, t)]
+        self.done = []
+
+    def _gradient_threshold(self, r: Round) -> float:
+        total = _gradient_cells(self.blocks, r)
+        return self._threshold([(int(c), int(total[c])) for c in np.flatnonzero(total)[::-1]])
+
+    def _pass(self, r: Round, wanted: dict[int, list[int]], trees: list[Tree], allowed: np.ndarray) -> dict[tuple[int, int], tuple]:
+        self._round(r, wanted, trees)
+        sums = _histograms(self.blocks, r, self.bins.width)
+        return self._found({k: total for k, total in enumerate(sums) if total is not None}, wanted, allowed)
+
+
+GROWN = "round long, tree long, node long, feature long, bin long, left long, right long, value double, gain double, cover double, depth long"
+
+
+def _grown(s: Settings, bins: Bins):
+    """Task body: all rounds on the task's blocks, one row per node."""
+    def run(batches):
+        trees = TaskGrowth(s, bins, list(_blocks(batches, Round(s.loss, []), len(bins.width)))).run()
+        names = [c.split() for c in GROWN.split(", ")]
+        for i, group in enumerate(trees):
+            rows = [(i, k, n, *(getattr(t, c)[n] for c, _ in names[3:])) for k, t in enumerate(group) for n in range(len(t.feature))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int64() if kind == "long" else pa.float64())
+                                              for j, (_, kind) in enumerate(names)], names=[c for c, _ in names])
+    return run
+
+
+class Fitting(Growth):
+    """Grows the trees; rows stay in the blocks."""
+
+    def __init__(self, rows: DataFrame, s: Settings, start: np.ndarray):
+        """``rows``: x array<double>, y double, w double."""
+        self.spark = rows.sparkSession
+        summary = column_summaries(rows.select("x"))
+        d = 1 + max(summary, default=-1)
+        edges = [cut_points(*summary[f], min(s.bins, MAX_BINS - 1)) if f in summary else np.zeros(0) for f in range(d)]
+        groups = exclusive_groups(rows.select("x"), edges, summary) if s.bundle else [[f] for f in range(d)]
+        super().__init__(s, Bins.build(edges, groups))
+        cell = np.cumsum(self.bins.width)
+        self.chunks = [c for c in np.split(np.arange(len(cell)), np.flatnonzero(np.diff((cell - 1) // CHUNK)) + 1) if len(c)]
+        self.blocks: DataFrame | None = None
+        cells = _cells(rows, self.bins, s.loss == "squared") if s.subsample >= 1 and s.top_share == 0 else None
+        self._read(_row_blocks(rows, self.bins, start) if cells is None else _cell_blocks(cells, self.bins, start))
+
+    def _read(self, blocks: DataFrame) -> None:
+        """Write the blocks and keep them in memory as far as it reaches: one task per two blocks at least,
+        so that a small table doesn't cost a stage of tiny tasks in each of hundreds of passes."""
+        written = materialize(blocks, "boost-blocks")
+        n, rows = written.agg(F.count(F.lit(1)), F.sum(F.octet_length("y"))).first()
+        self.rows = (rows or 0) // 8
+        few = 1 if self._fits_a_task() else max(1, min(written.rdd.getNumPartitions(), -(-n // 2)))
+        if self.blocks is not None:
+            self.blocks.unpersist()
+        self.blocks = written.coalesce(few).persist(StorageLevel.MEMORY_AND_DISK)
+        self.tasks = few
+
+    def _rewrite(self) -> None:
+        r, n_columns = Round(self.s.loss, self.done), len(self.bins.width)
+
+        def run(batches):
+            for block in _blocks(batches, r, n_columns):
+                yield _block_batch(block.id, block.columns, block.y, block.w, block.count, block.margin)
+
+        self._read(self.blocks.mapInArrow(run, self.blocks.schema))
+        self.done = []
+
+    def _gradient_threshold(self, r: Round) -> float:
+        """Sum of absolute gradients that the kept share exceeds: from a histogram of 2^16 cells over their float pattern."""
+        n_columns = len(self.bins.width)
+
+        def run(batches):
+            total = _gradient_cells(_blocks(batches, r, n_columns), r)
+            cell = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
+
+        got = self.blocks.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).orderBy(F.desc("cell")).collect()
+        return self._threshold([(x["cell"], x["n"]) for x in got])
+
+    def _pass(self, r: Round, wanted: dict[int, list[int]], trees: list[Tree], allowed: np.ndarray) -> dict[tuple[int, int], tuple]:
+        s = self.s
+        self._round(r, wanted, trees)
+        n, width = sum(len(v) for v in wanted.values()), int(self.bins.width.sum())
+        if self.tasks * n * width * 24 <= DIRECT and n * self.d <= DIRECT_SPLITS:
+            total: dict[int, np.ndarray] = {}
+            for x in self.blocks.mapInArrow(_histogram_rows(r, self.bins.width, self.chunks, True), "tree long, sums binary").collect():
+                part = np.frombuffer(x["sums"]).reshape(3, -1, width)
+                total[x["tree"]] = total[x["tree"]] + part if x["tree"] in total else part
+            return self._found(total, wanted, allowed)
+        sums = self.blocks.mapInArrow(_histogram_rows(r, self.bins.width, self.chunks), SUMS)
+        if self.tasks > FAN_IN:
+            sums = _salted(sums).groupBy("tree", "node", "chunk", "part").applyInArrow(_add, SUMS)
+        found = sums.groupBy("tree", "node", "chunk").applyInArrow(
+            _split_rows(self.bins, self.chunks, allowed, s.l2, s.least_h, s.least_rows), BEST).collect()
+        best: dict[tuple[int, int], tuple] = {}
+        for x in sorted(found, key=lambda x: (x["gain"], -x["feature"])):
+            best[x["tree"], x["node"]] = tuple(x)[2:]
+        return best
+
+    def run(self) -> list[list[Tree]]:
+        if self._fits_a_task():
+            self.trees = self._grown_in_a_task()
+        else:
+            super().run()
         self.blocks.unpersist()
         return self.trees
 
+    def _fits_a_task(self) -> bool:
+        return 0 < self.rows <= FEW_ROWS and int(self.bins.width.sum()) <= CHUNK
+
+    def _grown_in_a_task(self) -> list[list[Tree]]:
+        trees: list[list[Tree]] = []
+        for x in sorted(self.blocks.mapInArrow(_grown(self.s, self.bins), GROWN).collect(), key=lambda x: tuple(x)[:3]):
+            if x["round"] == len(trees):
+                trees.append([Tree() for _ in range(self.s.n_trees)])
+            t = trees[x["round"]][x["tree"]]
+            for name in ("feature", "bin", "left", "right", "value", "gain", "cover", "depth"):
+                column = getattr(t, name)
+                if x["node"] == len(column):
+                    column.append(x[name])
+                else:
+                    column[x["node"]] = x[name]
+        return trees
+
 
 def _pruned(t: Tree, inner: set[int]) -> Tree:
     """The tree with only the nodes of ``inner`` split, renumbered from the root."""
@@ -863,13 +970,38 @@ class HistogramBoosting(Estimator, _Names, HasMaxIter, HasStepSize, HasSeed):
 NODES = "round long, tree long, node long, feature long, threshold double, left long, right long, value double, gain double, cover double"
 
 
-def margins(x: np.ndarray, trees: list[tuple[int, dict]], start: list[float]) -> np.ndarray:
-    """Scores (rows x outputs) of "trees" (output, tree from ``stepped``) for the rows of ``x``."""
-    out = np.repeat(np.array(start, np.float64)[:, None], len(x), 1)
+def thresholds(trees: list[tuple[int, dict]]) -> dict[int, np.ndarray]:
+    """The thresholds of each feature that a split uses."""
+    inner = [t["kids"][::2] != np.arange(len(t["column"])) for _, t in trees]
+    column = np.concatenate([t["column"][i] for i, (_, t) in zip(inner, trees)] or [np.zeros(0, np.int64)])
+    cut = np.concatenate([t["threshold"][i] for i, (_, t) in zip(inner, trees)] or [np.zeros(0)])
+    return {int(f): np.unique(cut[column == f]) for f in np.unique(column)}
+
+
+def _alike(part: np.ndarray, cuts: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows of ``part`` (features x rows) between the same thresholds take the same way through all trees: one of each
+    kind, and the kind of each row; None if the thresholds have too many combinations to tell apart or most rows differ."""
+    if float(np.prod([len(c) + 1.0 for c in cuts.values()])) > CELL_CODES:
+        return None
+    code = np.zeros(part.shape[1], np.int64)
+    for f, c in cuts.items():
+        code = code * (len(c) + 1) + np.where(np.isnan(part[f]), 0, np.searchsorted(c, part[f], side="left"))
+    _, first, kind = np.unique(code, return_index=True, return_inverse=True)
+    return (first, kind) if 2 * len(first) <= len(code) else None
+
+
+def margins(x: np.ndarray, trees: list[tuple[int, dict]], start: list[float], cuts: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """Scores (rows x outputs) of "trees" (output, tree from ``stepped``) for the rows of ``x``; ``cuts``: their ``thresholds``."""
+    out = np.empty((len(start), len(x)))
+    cuts = thresholds(trees) if cuts is None else cuts
     for i in range(0, len(x), SCORED):
         part = np.ascontiguousarray(x[i:i + SCORED].T)
+        if alike := _alike(part, cuts):
+            part = np.ascontiguousarray(part[:, alike[0]])
+        some = np.repeat(np.array(start, np.float64)[:, None], part.shape[1], 1)
         for k, t in trees:
-            out[k, i:i + SCORED] += t["value"].take(route_values(part, t))
+            some[k] += t["value"].take(route_values(part, t))
+        out[:, i:i + SCORED] = some[:, alike[1]] if alike else some
     return out.T
 
 
@@ -890,11 +1022,12 @@ class BoostedTreesModel(Model, _Names):
 
     def _transform(self, df: DataFrame) -> DataFrame:
         trees, start, name = [(k, stepped(t)) for k, t in self.trees()], self.start, self.getFeaturesCol()
+        cuts = thresholds(trees)
 
         @F.pandas_udf(ArrayType(DoubleType()))
         def score(col: pd.Series) -> pd.Series:
             x = np.vstack(col.to_numpy()) if len(col) else np.zeros((0, 1))
-            return pd.Series(list(margins(x, trees, start)))
+            return pd.Series(list(margins(x, trees, start, cuts)))
 
         x = F.col(name) if isinstance(df.schema[name].dataType, ArrayType) else vector_to_array(name)
         out = df.withColumn("_margin", score(x))

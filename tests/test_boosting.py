@@ -230,3 +230,51 @@ def test_small_sums_and_large_sums_give_the_same_trees(spark, monkeypatch):
     monkeypatch.setattr(bo, "DIRECT", 0)
     far = fit()
     assert near[["feature", "threshold"]].equals(far[["feature", "threshold"]]) and np.allclose(near["value"], far["value"])
+
+
+@pytest.mark.parametrize("loss,growth,more", [("logistic", "level", {}), ("softmax", "leaf", dict(maxLeaves=6)), ("squared", "level", dict(subsamplingRate=0.7)),
+                                              ("logistic", "leaf", dict(topShare=0.3, otherShare=0.2)), ("squared", "leaf", dict(featureSubsetStrategy="0.5"))])
+def test_one_job_and_a_job_per_pass_give_the_same_trees(spark, monkeypatch, loss, growth, more):
+    """A table that makes one task grows all rounds in one job: the trees of the passes, with few jobs."""
+    x, rng = data(900, 7)
+    y = {"softmax": (x[:, 0] + x[:, 1]) % 3, "logistic": x[:, 0] + x[:, 1] > 8, "squared": x[:, 0] * x[:, 2]}[loss]
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 200)
+    df = frame(spark, x, np.asarray(y, float), np.ones(len(x))).coalesce(1)      # the same blocks, so the same draws, in every fit
+    passes = []
+    one_pass = bo.Fitting._pass
+    monkeypatch.setattr(bo.Fitting, "_pass", lambda self, *a: passes.append(1) or one_pass(self, *a))
+    fit = lambda: bo.HistogramBoosting(loss=loss, nClasses=3 if loss == "softmax" else 2, growth=growth, maxIter=12, maxDepth=3, stepSize=0.3, **more).fit(df).nodes
+    near = fit()
+    assert not passes
+    monkeypatch.setattr(bo, "FEW_ROWS", 0)
+    for direct in (bo.DIRECT, 0):
+        monkeypatch.setattr(bo, "DIRECT", direct)
+        far = fit()
+        assert near[["round", "tree", "node", "feature", "threshold", "left", "right"]].equals(far[["round", "tree", "node", "feature", "threshold", "left", "right"]])
+        assert np.allclose(near[["value", "gain", "cover"]], far[["value", "gain", "cover"]])
+        if direct == 0 or growth == "leaf":
+            break
+    assert len(passes) >= 12
+
+
+def test_alike_rows_are_scored_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 5, 600), rng.integers(0, 2, 600), rng.normal(size=600)]).astype(float)
+    x[::7, 0] = np.nan
+    x[::11, 0] = 2.5             # a threshold itself
+    flat = [{"feature": [0, -1, 1, -1, -1], "threshold": [2.5, 0, 0.5, 0, 0], "left": [1, -1, 3, -1, -1], "right": [2, -1, 4, -1, -1], "value": np.array([0, 1.5, 0, 2.25, -4.0])},
+            {"feature": [0, -1, -1], "threshold": [0.5, 0, 0], "left": [1, -1, -1], "right": [2, -1, -1], "value": np.array([0, 0.1, 0.7])},
+            {"feature": [-1], "threshold": [0], "left": [-1], "right": [-1], "value": np.array([0.3])}]
+    trees = [(0, bo.stepped(flat[0])), (1, bo.stepped(flat[1])), (0, bo.stepped(flat[2]))]
+    assert {f: c.tolist() for f, c in bo.thresholds(trees).items()} == {0: [0.5, 2.5], 1: [0.5]}
+    seen = []
+    whole = bo.route_values
+    monkeypatch.setattr(bo, "route_values", lambda part, t: seen.append(part.shape[1]) or whole(part, t))
+    got = bo.margins(x, trees, [0.5, -1.0])
+    assert max(seen) <= 6
+    a, b = np.nan_to_num(x[:, 0], nan=-1.0), x[:, 1]
+    want = np.column_stack([0.5 + np.where(a > 2.5, np.where(b > 0.5, -4.0, 2.25), 1.5) + 0.3, -1.0 + np.where(a > 0.5, 0.7, 0.1)])
+    assert (got == want).all()
+    monkeypatch.setattr(bo, "CELL_CODES", 1)
+    assert (bo.margins(x, trees, [0.5, -1.0]) == got).all()
+    assert bo.margins(x, [], [0.5]).tolist() == [[0.5]] * 600 and bo.margins(x[:0], trees, [0.0, 0.0]).shape == (0, 2)
