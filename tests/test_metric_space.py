@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,6 +47,43 @@ def test_metric_dbscan_matches_brute_force(spark, cap):
     assert {r.id: r.prediction for r in back.collect()} == want and back.columns == ["id", "v", "prediction"]
 
 
+def test_points_are_compared_exactly_by_products():
+    """Points at exactly the limit, a rounding beside it, far from the origin, and beyond what a product can hold."""
+    grid = np.array([[i * 0.1, j * 0.1, 0.3] for i in range(12) for j in range(12)])
+    for a, limit in ((grid, 0.09), (grid, 0.01), (grid + 1e6, 0.04), (grid * 1e200, 1e300), (np.repeat(grid[:5], 3, 0), 0.0)):
+        assert (pt.within(a, a[::-1], limit) == (pt.block_sqdist(a, a[::-1]) <= limit)).all()
+
+
+def test_forest_links_what_the_matrix_links():
+    rng = np.random.default_rng(2)
+    for share in (0.0, 0.02, 0.1, 1.0):
+        near = rng.random((40, 30)) < share
+        links = md.forest(near)
+        assert all(near[i, j] for i, j in links)
+        group = {**{("r", i): i for i in range(40)}, **{("c", j): 40 + j for j in range(30)}}
+        rest = dict(group)
+        for held, pairs in ((group, zip(*np.nonzero(near))), (rest, links)):
+            for i, j in pairs:
+                a, b = held["r", int(i)], held["c", int(j)]
+                held.update({k: min(a, b) for k, g in held.items() if g in (a, b)})
+        assert group == rest and len(links) == 70 - len(set(group.values()))
+
+
+def test_leaves_travel_once_per_tile(spark, monkeypatch):
+    """A group holds several leaves, and a tile all their pairs: a point isn't copied for every pair of leaves."""
+    rnd = random.Random(4)
+    rows = [(i, [rnd.uniform(0, 1) for _ in range(12)], 1) for i in range(400)]
+    tree = pt.build(spark.createDataFrame(rows, "pid long, x array<double>, w long"), cap=10)
+    pairs = pt.near_pairs(tree, 0.6, 5)[1]
+    monkeypatch.setattr(pt, "GROUPS", 4)
+    monkeypatch.setattr(pt, "TILE", 1600)
+    tiled = pt.tile_pairs(tree, pairs)
+    assert tiled.count() == pairs.count() > 500 and tiled.select("ta", "tb").distinct().count() <= 10
+    held = lambda pairs, leaves: pa.table({"pairs": [len(pairs)], "points": [sum(len(v.ids) for v in leaves.values())]})
+    seen = pt.in_tiles(tiled, pt.packed(tree, tree.points, "w"), held, "pairs long, points long").agg(F.sum("pairs"), F.sum("points")).first()
+    assert seen[0] == pairs.count() and seen[1] <= 4 * 400
+
+
 def test_dense_balls_are_settled_without_their_points(spark):
     rnd = random.Random(1)
     rows = [(i, [0.5 + rnd.uniform(-0.01, 0.01) for _ in range(8)], 1) for i in range(600)]
