@@ -8,7 +8,8 @@ the share of training rows that took this way.  The Shapley value of feature i f
 
 with m features on the path, o the row's 0/1 conditions and z the shares; conditions of one feature are
 merged first.  The products grow factor by factor along the path.  They depend on a row through its m
-bits only, so a batch evaluates each pattern of bits that occurs once, and looks it up for all rows.
+bits only, so a batch evaluates each pattern of bits that occurs once, and looks it up for all rows.  Leaves of few features
+are added up beforehand for every combination of intervals between their thresholds (``Tables``), so a row is one lookup per table.
 
 On Spark: the flattened trees (bounded by the model, never by rows) go to all tasks; rows are explained
 where they lie, in one map.  ``importance`` passes on one sum per feature and task.
@@ -136,6 +137,90 @@ def explain(paths: Paths, x: np.ndarray) -> np.ndarray:
     return out
 
 
+# ---------------------------------------------------------------- leaves by their cells
+CELLS = 1 << 14          # combinations of intervals in a table,
+LEAVES_A_TABLE = 4       # which pays for so many leaves at least
+TABLE_VALUES = 4 << 20   # values in all tables
+
+
+@dataclass
+class Table:
+    """Summed contributions of some leaves by the intervals of their features."""
+
+    features: list[int]
+    cuts: list[np.ndarray]
+    nan: list[int]           # interval of NaN
+    values: np.ndarray       # (outputs x features x cells)
+
+
+class Tables:
+    """Leaves that use the same few features depend on a row only through the intervals between their thresholds: they are
+    explained once for every combination of intervals, whatever rows there are, and looked up.  Leaves whose features
+    have too many combinations stay as they are (``rest``)."""
+
+    def __init__(self, paths: Paths):
+        self.paths, self.tables, rest = paths, [], []
+        used: dict[tuple, list[Path]] = {}
+        for p in paths.paths:
+            if len(p.features):
+                used.setdefault(tuple(p.features.tolist()), []).append(p)
+        left, room = dict(sorted(used.items(), key=lambda kv: (-len(kv[0]), kv[0]))), TABLE_VALUES
+        while left:
+            features, group = next(iter(left.items()))
+            names, held = set(features), list(group)
+            del left[features]
+            if self._size(held, names) <= CELLS:
+                for other in list(left):               # others whose features go into the same table
+                    if self._size(held + left[other], names | set(other)) <= CELLS:
+                        names |= set(other)
+                        held += left.pop(other)
+            size = self._size(held, names) * len(names) * len(paths.base)
+            if self._size(held, names) > CELLS or len(held) < LEAVES_A_TABLE or size > room:
+                rest += held
+                continue
+            room -= size
+            self.tables.append(self._table(held, sorted(names)))
+        self.rest = Paths(rest, paths.base, paths.n_features, paths.nan_left)
+
+    @staticmethod
+    def _cuts(held: list[Path], f: int) -> np.ndarray:
+        ends = np.concatenate([np.concatenate([p.low[p.features == f], p.high[p.features == f]]) for p in held])
+        return np.unique(ends[np.isfinite(ends)])
+
+    def _size(self, held: list[Path], names: set[int]) -> int:
+        size = 1
+        for f in names:
+            size *= len(self._cuts(held, f)) + 1 + (not self.paths.nan_left)
+            if size > CELLS:
+                break
+        return size
+
+    def _table(self, held: list[Path], names: list[int]) -> Table:
+        cuts = [self._cuts(held, f) for f in names]
+        # a value in each interval: its upper end, then one above all, and NaN where it goes a way of its own
+        ends = [np.concatenate([c, [np.inf], [] if self.paths.nan_left else [np.nan]]) for c in cuts]
+        grid = np.meshgrid(*ends, indexing="ij")
+        x = np.zeros((grid[0].size, self.paths.n_features))
+        for f, v in zip(names, grid):
+            x[:, f] = v.reshape(-1)
+        found = explain(Paths(held, self.paths.base, self.paths.n_features, self.paths.nan_left), x)
+        return Table(names, cuts, [0 if self.paths.nan_left else len(c) + 1 for c in cuts], np.ascontiguousarray(found[:, :, names].transpose(1, 2, 0)))
+
+    def explain(self, x: np.ndarray) -> np.ndarray:
+        """As the function ``explain``."""
+        out = explain(self.rest, x) if self.rest.paths else np.zeros((len(x), len(self.paths.base), self.paths.n_features))
+        for t in self.tables:
+            cell = np.zeros(len(x), np.int64)
+            for f, c, nan in zip(t.features, t.cuts, t.nan):
+                v = x[:, f]
+                cell *= len(c) + 1 + (not self.paths.nan_left)
+                cell += np.where(np.isnan(v), nan, np.searchsorted(c, v, side="left"))
+            for k, output in enumerate(t.values):
+                for f, value in zip(t.features, output):
+                    out[:, k, f] += value.take(cell)
+        return out
+
+
 # ---------------------------------------------------------------- models
 def _spark_trees(model, spark) -> tuple[list[tuple[dict, np.ndarray, float]], int]:
     """(flattened tree, node values x outputs, weight) of Spark's tree models, from their saved nodes."""
@@ -209,15 +294,19 @@ def _array(df: DataFrame, features: str):
 def contributions(model, df: DataFrame, features: str = "features", output: str = "contributions") -> DataFrame:
     """``df`` with an array per output: the contribution of each feature, then the base."""
     paths = paths_of(model, df.sparkSession)
+    tables = Tables(paths)
 
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
                 x = np.asarray(part.column(1).flatten(), np.float64).reshape(part.num_rows, -1)
-                phi = explain(paths, x)
+                phi = tables.explain(x)
                 whole = np.concatenate([phi, np.broadcast_to(paths.base[None, :, None], (*phi.shape[:2], 1))], 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole.tolist(), pa.list_(pa.list_(pa.float64())))], names=["row", output])
+                n, outputs, width = whole.shape
+                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, n * outputs * width + 1, width), pa.int32()), pa.array(whole.reshape(-1)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * outputs + 1, outputs), pa.int32()), inner)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["row", output])
 
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != features]).alias("row"), _array(df, features).alias("x"))
     schema = StructType([rows.schema["row"], StructField(output, ArrayType(ArrayType(DoubleType())))])
@@ -227,6 +316,7 @@ def contributions(model, df: DataFrame, features: str = "features", output: str
 def importance(model, df: DataFrame, names: list[str], features: str = "features") -> dict[str, float]:
     """Mean absolute contribution of each feature over all rows (and outputs); no rows give 0."""
     paths = paths_of(model, df.sparkSession)
+    tables = Tables(paths)
 
     def run(batches):
         total, n = np.zeros(paths.n_features), 0
@@ -234,7 +324,7 @@ def importance(model, df: DataFrame, names: list[str], features: str = "features
             for i in range(0, b.num_rows, SLICE):
                 part = b.slice(i, SLICE)
                 x = np.asarray(part.column(0).flatten(), np.float64).reshape(part.num_rows, -1)
-                total += np.abs(explain(paths, x)).mean(1).sum(0)
+                total += np.abs(tables.explain(x)).mean(1).sum(0)
                 n += len(x)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(paths.n_features)), pa.array(total), pa.array(np.full(paths.n_features, n))],
                                          names=["feature", "total", "n"])

@@ -119,3 +119,25 @@ def test_path_with_many_features():
     x[0] = 1
     got = shap.explain(paths, x).sum(2)[:, 0] + paths.base[0]
     assert np.abs(got - [expected(tree, value, r, set(range(d)))[0] for r in x]).max() < 1e-6
+
+
+@pytest.mark.parametrize("nan_left", [True, False])
+def test_tables_of_cells_equal_the_leaves(nan_left, monkeypatch):
+    """Also on the thresholds, beyond them, at infinity and NaN; with tables for all leaves, some, or none."""
+    rng = np.random.default_rng(3)
+    paths = []
+    for _ in range(60):
+        f = np.sort(rng.choice(5, rng.integers(1, 4), replace=False))
+        ends = np.sort(rng.integers(0, 5, (len(f), 2)).astype(float), 1)
+        ends[:, 1] += 1
+        ends[rng.random(len(f)) < 0.3, 0] = -np.inf
+        ends[rng.random(len(f)) < 0.3, 1] = np.inf
+        paths.append(shap.Path(f, ends[:, 0], ends[:, 1], rng.random(len(f)), rng.normal(size=2)))
+    whole = shap.Paths([*paths, shap.Path(np.zeros(0, np.int64), *np.zeros((3, 0)), np.ones(2))], np.zeros(2), 6, nan_left)
+    x = rng.choice([*np.arange(-1, 8.0), 0.5, 2.5, np.nan, np.inf, -np.inf], (500, 6))
+    want = shap.explain(whole, x)
+    for cells in (1, 60, 1 << 16):
+        monkeypatch.setattr(shap, "CELLS", cells)
+        tables = shap.Tables(whole)
+        assert bool(tables.rest.paths) == (cells < 1 << 16)
+        assert np.allclose(tables.explain(x), want, rtol=1e-12, atol=1e-12)
