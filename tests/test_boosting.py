@@ -278,3 +278,41 @@ def test_alike_rows_are_scored_once(monkeypatch):
     monkeypatch.setattr(bo, "CELL_CODES", 1)
     assert (bo.margins(x, trees, [0.5, -1.0]) == got).all()
     assert bo.margins(x, [], [0.5]).tolist() == [[0.5]] * 600 and bo.margins(x[:0], trees, [0.0, 0.0]).shape == (0, 2)
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_masks_find_the_nodes_of_a_walk(shared, monkeypatch):
+    """Nodes found from the last one up are those of the walk from the root, for whole, lopsided and empty trees."""
+    rng = np.random.default_rng(5)
+    groups = [[0, 1], [2]] if shared else [[0], [1], [2]]
+    bins = bo.Bins.build([np.arange(float(n)) for n in (100, 154, 255)], groups)
+    columns = np.stack([rng.integers(0, w, 3000) for w in bins.width]).astype(np.uint8)
+    for splits in (0, 1, 7, 63):
+        t = bo.Tree()
+        for _ in range(splits):
+            node = int(rng.choice(np.flatnonzero(np.array(t.feature) < 0)))
+            t.feature[node] = int(rng.integers(3))
+            t.bin[node] = int(rng.integers(len(bins.edges[t.feature[node]])))
+            t.left[node], t.right[node] = t.child(node), t.child(node)
+        flat = t.arrays(bins)
+        found = bo._by_masks(columns, flat)
+        monkeypatch.setattr(bo, "MASK_ROWS", 1 << 30)
+        assert (found == bo.route(columns, flat)).all()
+        monkeypatch.undo()
+
+
+def test_squared_loss_of_even_weights_adds_two_sums(monkeypatch):
+    """Second derivatives are the rows' own weights there, so their sums aren't made again; those of other weights are."""
+    rng = np.random.default_rng(6)
+    columns, calls, real = rng.integers(0, 8, (3, 500)).astype(np.uint8), [], np.bincount
+    tree = {"column": np.zeros(1, np.int32), "low": np.zeros(1, np.int16), "high": np.zeros(1, np.int16), "kids": np.zeros(2, np.int32), "steps": 0,
+            "value": np.zeros(1), "shared": False}
+    monkeypatch.setattr(bo.np, "bincount", lambda *a, **k: calls.append(1) or real(*a, **k))
+    for w, sums in ((np.ones(500), 2), (np.full(500, 2.0), 3)):
+        calls.clear()
+        block = bo.Block(0, columns, rng.normal(size=500), w, np.ones(500), np.zeros((1, 500)))
+        total, = bo._histograms([block], bo.Round("squared", [], [tree], [np.zeros(1, np.int64)]), np.array([8, 8, 8]))
+        assert len(calls) == 3 * sums and total.shape == (3, 1, 24)
+        for c in range(3):
+            for q, v in enumerate((-w * block.y, w, np.ones(500))):
+                assert np.allclose(total[q, 0, 8 * c:8 * c + 8], real(columns[c], v, 8))
