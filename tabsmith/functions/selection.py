@@ -54,7 +54,8 @@ def _places(keys: DataFrame, groups: DataFrame, n_cuts: int) -> DataFrame:
     less = met.groupBy("_g").agg(F.array(*before).alias("less"))
     cut = F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(j)) for j, hit in enumerate(inside)])))
     order = [F.col("_g"), F.col("j"), F.col("k")]
-    idx = with_global_index(met.select("_g", "k", cut.alias("j")), order, "i")
+    # written before it is ordered: the sampling of the order would read the whole table once more
+    idx = with_global_index(materialize(met.select("_g", "k", cut.alias("j")), "cut-brackets"), order, "i")
     start = idx.groupBy("_g", "j").agg(F.min("i").alias("start")).join(less, "_g").join(groups.select("_g", "c"), "_g")
     start = start.select("_g", "j", (F.get("less", F.col("j")) - F.col("start")).alias("shift"),
                          F.get("c", F.col("j")).alias("c"))
@@ -110,7 +111,7 @@ def parts_by_cuts(df: DataFrame, order: list[Column], cuts: list[tuple[float, Ca
                   for j in range(n_cuts)]
         first = F.coalesce(*[F.when(hit, F.col(f"_c{j}.p0")) for j, hit in enumerate(at_cut)])
         out = out.withColumn("_first", first)
-        same = with_global_index(out.where("_first is not null"), [F.col("_g"), F.col("_k")], "_i")
+        same = with_global_index(materialize(out.where("_first is not null"), "cut-shared"), [F.col("_g"), F.col("_k")], "_i")
         start = same.groupBy("_g", "_k").agg(F.min("_i").alias("_start"))
         same = same.join(start, (same["_g"] == start["_g"]) & same["_k"].eqNullSafe(start["_k"])).drop(
             start["_g"], start["_k"])

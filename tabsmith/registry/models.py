@@ -38,7 +38,7 @@ def _doc_frame(spark, sf_dir):
 def _classification_tables(spark, sf_dir, label="quality"):
     """(training table, all rows, fitted preprocessing, label indexer); fitted on the training part."""
     d = _doc_frame(spark, sf_dir).drop("text")
-    train = sp.part(sp.stratified_split(d, label, ["doc_id"]), "train")
+    train = materialize(sp.part(sp.stratified_split(d, label, ["doc_id"]), "train"), "query-part")
     fit = fe.fit_features(train, fe.FeatureSpec(numerical=["n_chars"], categorical=["lang", "source"]))
     li = fe.label_indexer(label).fit(train)
     return (materialize(li.transform(fit.transform(train)), "query-train"),
@@ -48,7 +48,7 @@ def _classification_tables(spark, sf_dir, label="quality"):
 def _regression_tables(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount",
                                                  "l_tax", "l_returnflag", "l_linestatus", "l_extendedprice")
-    train = sp.part(sp.random_split(li, ["l_orderkey", "l_linenumber"]), "train")
+    train = materialize(sp.part(sp.random_split(li, ["l_orderkey", "l_linenumber"]), "train"), "query-part")
     fit = fe.fit_features(train, fe.FeatureSpec(numerical=["l_quantity", "l_discount", "l_tax"],
                                                 categorical=["l_returnflag", "l_linestatus"]))
     add = lambda d: fit.transform(d).withColumn("label", F.col("l_extendedprice"))
@@ -132,7 +132,7 @@ def m5_boosted_classifier_multiclass(spark, sf_dir):
     """Three-class orders status by softmax boosting: shares of three classes that sum to 1."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority") \
         .where("o_orderstatus is not null")
-    train = sp.part(sp.stratified_split(o, "o_orderstatus", ["o_orderkey"]), "train")
+    train = materialize(sp.part(sp.stratified_split(o, "o_orderstatus", ["o_orderkey"]), "train"), "query-part")
     fit = fe.fit_features(train, fe.FeatureSpec(numerical=["o_totalprice"], categorical=["o_orderpriority"]))
     li = fe.label_indexer("o_orderstatus").fit(train)
     tf = materialize(li.transform(fit.transform(train)), "query-train")

@@ -51,3 +51,19 @@ def test_missed_brackets_are_numbered_whole(spark, monkeypatch):
     d = spark.range(500).select("id")
     out = {r.id: r.split for r in sp.ordered_split(d, ["id"]).collect()}
     assert [out[i] for i in range(500)] == ["train"] * 350 + ["val"] * 75 + ["eval"] * 75
+
+
+def test_the_order_of_a_bracket_samples_only_the_bracket(spark):
+    """Sampling the order of the keys in a bracket doesn't read the table once more."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    n = 20_000
+    d = spark.range(n).mapInPandas(counted, "id long")
+    parts = sp.random_split(d, ["id"])
+    assert read.value <= 4 * n
+    assert parts.count() == n
