@@ -84,6 +84,18 @@ def test_leaves_travel_once_per_tile(spark, monkeypatch):
     assert seen[0] == pairs.count() and seen[1] <= 4 * 400
 
 
+def test_groups_of_leaves_do_not_grow_with_the_points(spark):
+    """Each group meets every other: their number is the same for ten times the points, so the copies of a point are, too."""
+    def groups(n, d):
+        nodes = spark.range(200).select(F.format_string("r.%03d", "id").alias("node"), F.array_repeat(F.lit(0.0), d).alias("centre"),
+                                        F.lit(n).cast("long").alias("n"), F.lit(True).alias("leaf"))
+        own = nodes.select(F.col("node").alias("a"), F.col("node").alias("b"))
+        return pt.tile_pairs(pt.PivotTree(None, nodes), own).select("ta").distinct().count()
+
+    assert groups(100, 64) == groups(1000, 64) == pt.GROUPS
+    assert groups(1000, 640) >= 200_000 // 6_600      # wide vectors: a task's memory is bounded
+
+
 def test_dense_balls_are_settled_without_their_points(spark):
     rnd = random.Random(1)
     rows = [(i, [0.5 + rnd.uniform(-0.01, 0.01) for _ in range(8)], 1) for i in range(600)]
