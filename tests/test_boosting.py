@@ -316,3 +316,24 @@ def test_squared_loss_of_even_weights_adds_two_sums(monkeypatch):
         for c in range(3):
             for q, v in enumerate((-w * block.y, w, np.ones(500))):
                 assert np.allclose(total[q, 0, 8 * c:8 * c + 8], real(columns[c], v, 8))
+
+
+def test_a_task_scores_each_combination_of_thresholds_once(spark, monkeypatch):
+    """Rows of later batches between the same thresholds take the scores found before."""
+    x, rng = data(600, 4)
+    df = frame(spark, x, (x[:, 0] + x[:, 1]) % 3, np.ones(len(x))).coalesce(1)
+    m = bo.HistogramBoosting(loss="softmax", nClasses=3, maxIter=3, maxDepth=2).fit(df)
+    trees = [(k, bo.stepped(t)) for k, t in m.trees()]
+    cuts = bo.thresholds(trees)
+    wide = np.concatenate([x, rng.normal(size=x.shape) * 9, np.full((1, x.shape[1]), np.nan), np.full((1, x.shape[1]), np.inf)])
+    scored, walked = bo.known_margins(trees, m.start, cuts), []
+    plain = bo.margins
+    want = plain(wide, trees, m.start, cuts)
+    monkeypatch.setattr(bo, "margins", lambda x, *a: walked.append(len(x)) or plain(x, *a))
+    for _ in range(2):
+        for i in range(0, len(wide), 100):
+            assert np.array_equal(scored(wide[i:i + 100]), want[i:i + 100])
+    kinds = len(np.unique(bo._code_of(wide.T, cuts)))
+    assert sum(walked) == kinds < len(wide)
+    monkeypatch.setattr(bo, "KNOWN", 0)
+    assert np.array_equal(bo.known_margins(trees, m.start, cuts)(wide), want)

@@ -62,3 +62,25 @@ def test_forest_without_rows_and_unlabelled_rows(spark):
     assert [r["prediction"] for r in empty.transform(df).collect()] == [0.0] * 3
     m = mo.get_model("random_forest_regressor", "regression", label="label").fit(df)
     assert m.transform(df).where(F.col("prediction").between(2, 4)).count() == 3
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_few_combinations_of_bins_give_the_same_trees_in_one_pass(spark, monkeypatch, weighted):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 6, (3000, 3)).astype(float)
+    x[::50, 1] = np.nan
+    y = np.nan_to_num(x[:, 0] * 2 - x[:, 1] * x[:, 2]) + rng.integers(0, 9, 3000)
+    w = rng.integers(0, 4, 3000) if weighted else np.ones(3000)
+    df = spark.createDataFrame([(r.tolist(), float(v), float(u)) for r, v, u in zip(x, y, w)], "features array<double>, label double, w double").coalesce(1)
+    passes = []
+    sums = fo._sums
+    monkeypatch.setattr(fo, "_sums", lambda *a: passes.append(1) or sums(*a))
+    fit = lambda: mo.get_model("random_forest_regressor", "regression", label="label", weight="w", params={"numTrees": 5, "maxDepth": 6}).fit(df).nodes
+    near = fit()
+    assert not passes
+    monkeypatch.setattr(fo, "SUMS", 500)       # two trees a pass
+    assert fit().equals(near) and not passes
+    monkeypatch.setattr(fo, "SUMS", 8 << 20)
+    monkeypatch.setattr(fo, "MOST_CELLS", 0)
+    far = fit()
+    assert len(passes) == 6 and far.equals(near)
