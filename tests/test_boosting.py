@@ -337,3 +337,43 @@ def test_a_task_scores_each_combination_of_thresholds_once(spark, monkeypatch):
     assert sum(walked) == kinds < len(wide)
     monkeypatch.setattr(bo, "KNOWN", 0)
     assert np.array_equal(bo.known_margins(trees, m.start, cuts)(wide), want)
+
+
+@pytest.mark.parametrize("nodes", [1, 3, 40])
+def test_columns_added_up_together_give_the_sums_of_each(nodes):
+    rng = np.random.default_rng(nodes)
+    width = np.array([200, 2, 30, 11, 2, 9, 1, 2])
+    columns = np.stack([rng.integers(0, w, 5000) for w in width]).astype(np.uint8)
+    at, v = rng.integers(0, nodes, 5000), rng.integers(0, 9, (3, 5000)).astype(float)
+    groups = bo.joint_columns(width, nodes)
+    assert sorted(c for g in groups for c in g) == list(range(len(width))) and len(groups) < len(width)
+    cells = bo.joint_cells(width, groups)
+    assert all(n * nodes <= bo.JOINT or len(g) == 1 for n, g in zip(cells, groups))
+    sums = [np.stack([np.bincount(at * n + code, q, nodes * n) for q in v]) for n, code in zip(cells, bo.joint_codes(columns, width, groups))]
+    want = [np.stack([np.bincount(at * w + columns[c], q, nodes * w) for q in v]).reshape(3, nodes, w) for c, w in enumerate(width.tolist())]
+    assert np.array_equal(bo.apart(sums, width, groups), np.concatenate(want, 2))
+
+
+@pytest.mark.parametrize("shared", [False, True])
+@pytest.mark.parametrize("leaves,deep", [(20, 40), (64, 64), (300, 9), (200, 70)])
+def test_words_of_open_ends_give_the_leaves_of_the_walk(monkeypatch, shared, leaves, deep):
+    """Trees of any shape, also of more than 64 leaves: the walk from the root, node by node."""
+    rng = np.random.default_rng(leaves + shared)
+    groups = [[0, 1], [2], [3], [4]] if shared else [[f] for f in range(5)]
+    bins = bo.Bins.build([np.arange(k, dtype=float) for k in (40, 30, 9, 200, 1)], groups)
+    columns = np.stack([rng.integers(0, w, 6000) for w in bins.width]).astype(np.uint8)
+    t, open_ = bo.Tree(), [0]
+    while open_ and len(t.feature) < 2 * leaves - 1:
+        node = open_.pop(rng.integers(len(open_)) if rng.random() < 0.5 else -1)
+        if t.depth[node] < deep:
+            t.feature[node] = int(rng.integers(5))
+            t.bin[node] = int(rng.integers(len(bins.edges[t.feature[node]])))
+            t.left[node], t.right[node] = t.child(node), t.child(node)
+            open_ += [t.left[node], t.right[node]]
+    tree = t.arrays(bins)
+    node, steps = bo._by_words(bo.route_codes(columns, bins.width), tree)
+    assert len(t.feature) > bo.MASK_NODES and (steps > 0) == (sum(f < 0 for f in t.feature) > 64)
+    found = bo.route(columns, tree)
+    assert (found == bo.route(columns, tree, bo.route_codes(columns, bins.width))).all()
+    monkeypatch.setattr(bo, "MASK_ROWS", 1 << 30)
+    assert len(np.unique(found)) > 1 and (found == bo.route(columns, tree)).all()
